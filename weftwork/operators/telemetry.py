@@ -1,0 +1,42 @@
+"""Telemetry aggregates: per-tool counts, error rates and exact nearest-rank percentiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def micros(ms: Column) -> Column:
+    """Milliseconds as whole microseconds."""
+    return F.round(ms * F.lit(1000.0)).cast("long")
+
+
+def nearest_rank_by(df: DataFrame, keys: list[str], value: Column, p: float, out: str) -> DataFrame:
+    """Exact nearest-rank percentile ``sorted[round((n-1)*p)]`` of each group.
+
+    Rows are first folded to (key, value, count) so that what is ordered per key is the number of
+    distinct values, not of rows; the rank is then found on running counts.
+    """
+    folded = df.where(value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*keys)
+    run = by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = folded.select(*keys, "_v", F.sum("_n").over(run).alias("_upto"), F.sum("_n").over(by).alias("_all"))
+    at = F.round((F.col("_all") - 1) * F.lit(float(p))).cast("long")
+    return ranked.where(F.col("_upto") > at).groupBy(*keys).agg(F.min("_v").alias(out))
+
+
+def tool_summary(calls: DataFrame, tool: str, ms: str, is_error: Column, ts: str, seq: str) -> DataFrame:
+    """Per tool: calls, errors, error rate, mean and p95 on whole microseconds, raw maximum, last seen."""
+    base = calls.groupBy(F.col(tool).alias("tool")).agg(
+        F.count("*").alias("calls"),
+        F.count_if(is_error).alias("errors"),
+        F.avg(micros(F.col(ms)) / F.lit(1000.0)).alias("avg_ms"),
+        F.max(ms).alias("max_ms"),
+        F.max_by(ts, seq).alias("last_ts"),
+    )
+    p95 = nearest_rank_by(calls.select(F.col(tool).alias("tool"), ms), ["tool"], micros(F.col(ms)), 0.95, "p95_us")
+    return base.join(p95, "tool", "left").select(
+        "tool", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"),
+        F.round("avg_ms", 6).alias("avg_ms"), (F.coalesce("p95_us", F.lit(0)) / F.lit(1000.0)).alias("p95_ms"), "max_ms", "last_ts",
+    )
