@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,20 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("WEFTWORK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the Python workers, which on a cluster don't have it; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="weftwork-ship-")) / "weftwork.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+    return spark
