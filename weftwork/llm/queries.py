@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import decontaminate, simhash
+from weftwork.llm import decontaminate, quality_rules, simhash
 from weftwork.plans.registry import table
 
 QUERIES, ORACLES = {}, {}
@@ -41,3 +41,36 @@ def op7(spark, sf_dir):
 )
 def op8(spark, sf_dir):
     return decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
+
+@_query(
+    "op2_quality_rules",
+    rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+    win AS (SELECT doc_id, i, w[i : i + 7] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+    twice AS (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM twice GROUP BY doc_id),
+    m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                 length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                 len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                 len(lines) AS n_lines, len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stops,
+                 length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+          FROM w LEFT JOIN rep USING (doc_id)),
+    r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                 word_chars / greatest(n_words, 1) AS mean_word_length, n_symbols / greatest(word_chars, 1) AS symbol_ratio,
+                 n_stops / greatest(n_words, 1) AS stop_word_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+                 n_capitals / greatest(word_chars, 1) AS capital_ratio FROM m)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+           CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT base_failed AND mean_word_length BETWEEN 2 AND 15 AND symbol_ratio <= 0.05 AND stop_word_ratio >= 0.02
+           AND dup_line_ratio <= 0.5 AND capital_ratio <= 0.5 AS kept
+    FROM r
+    """,
+)
+def op2(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
