@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import decontaminate, quality_rules, simhash
+from weftwork.llm import decontaminate, quality_rules, simhash, warc
 from weftwork.plans.registry import table
 
 QUERIES, ORACLES = {}, {}
@@ -74,3 +74,20 @@ _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 )
 def op2(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+
+@_query(
+    "op1_warc_capture_index",
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS low FROM p)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+           CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+    FROM f
+    """,
+)
+def op1(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
