@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from weftwork.llm import decontaminate, quality_rules, simhash, warc
+from weftwork.llm import decontaminate, pieces, quality_rules, simhash, warc
 from weftwork.plans.registry import table
 
+#: The public SentencePiece model that the queries encode with; a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -91,3 +94,8 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0
 )
 def op1(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@_query("op4_sentencepiece")
+def op4(spark, sf_dir):
+    return pieces.summary(table(spark, sf_dir, "documents"), PIECE_MODEL)
