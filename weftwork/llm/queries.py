@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import decontaminate, pieces, quality_rules, simhash, warc
+from weftwork.llm import decontaminate, language_id, pieces, quality_rules, simhash, warc
 from weftwork.plans.registry import table
 
 #: The public SentencePiece model that the queries encode with; a parameter of the operator.
@@ -99,3 +99,8 @@ def op1(spark, sf_dir):
 @_query("op4_sentencepiece")
 def op4(spark, sf_dir):
     return pieces.summary(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@_query("op3_language_id")
+def op3(spark, sf_dir):
+    return language_id.held_out_languages(table(spark, sf_dir, "documents"))
