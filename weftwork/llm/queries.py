@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import bradley_terry, decontaminate, language_id, pieces, quality_rules, simhash, warc
+from weftwork.llm import bradley_terry, decontaminate, language_id, pieces, quality_rules, simhash, toxicity, warc
 from weftwork.plans.registry import table
 
 #: The public SentencePiece model that the queries encode with; a parameter of the operator.
@@ -109,3 +109,8 @@ def op3(spark, sf_dir):
 @_query("op6_quality_ranking")
 def op6(spark, sf_dir):
     return bradley_terry.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_toxicity_chain")
+def op9(spark, sf_dir):
+    return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
