@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import bradley_terry, decontaminate, language_id, pieces, quality_rules, simhash, toxicity, warc
+from weftwork.llm import bradley_terry, brown_lm, decontaminate, language_id, pieces, quality_rules, simhash, toxicity, warc
 from weftwork.plans.registry import table
 
 #: The public SentencePiece model that the queries encode with; a parameter of the operator.
@@ -114,3 +114,8 @@ def op6(spark, sf_dir):
 @_query("op9_toxicity_chain")
 def op9(spark, sf_dir):
     return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op5_class_lm")
+def op5(spark, sf_dir):
+    return brown_lm.scored(table(spark, sf_dir, "documents"))
