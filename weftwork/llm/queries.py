@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import bradley_terry, brown_lm, decontaminate, language_id, pieces, quality_rules, simhash, toxicity, warc
+from weftwork.llm import bradley_terry, brown_lm, decontaminate, language_id, pieces, quality_rules, simhash, suffix_dedup, toxicity, warc
 from weftwork.plans.registry import table
 
 #: The public SentencePiece model that the queries encode with; a parameter of the operator.
@@ -119,3 +119,8 @@ def op9(spark, sf_dir):
 @_query("op5_class_lm")
 def op5(spark, sf_dir):
     return brown_lm.scored(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffix_dedup.summary(table(spark, sf_dir, "documents"))
