@@ -37,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers at most; then it starts anew. And pieces pairs likewise.
 MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
 UNKNOWN_PENALTY = 10.0
+#: Rows that are handed on at a time.
+STEP_ROWS = 256
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -215,6 +217,12 @@ class PieceModel:
         return raw[1:] if self.dummy_prefix and raw.startswith(b" ") else raw
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    """Arrays of ids as one Arrow list column."""
+    off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 _MODELS: dict[bytes, PieceModel] = {}
 
 
@@ -237,19 +245,15 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     """The documents with a column of piece ids (empty for a null text)."""
     (name,) = fresh(docs, out_col)
     columns, held = docs.columns, _held(docs, model_path)
-    out = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         model = _model(held.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, STEP_ROWS):
+                part = b.slice(lo, STEP_ROWS)
                 ids = [model.encode(t or "") for t in part.column(columns.index(text_col)).to_pylist()]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-                lists = pa.Array.from_buffers(kind, len(ids), [None, pa.py_buffer(off.tobytes())], children=[values])
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*columns, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids)], names=[*columns, name])
 
     return docs.mapInArrow(run, out)
 
@@ -270,22 +274,27 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", out_c
     return tokens.mapInArrow(run, out)
 
 
-def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: tokens, byte tokens, SHA-256 of the ids (32-bit little-endian), and whether decoding gives the text again."""
+def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: tokens, byte tokens, SHA-256 of the ids (32-bit little-endian), whether decoding gives the text again, and the ids if asked for."""
     held = _held(docs, model_path)
-    out = T.StructType([*schema_of(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("n_byte_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
+    ids_field = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    out = T.StructType([*schema_of(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("n_byte_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), *ids_field])
 
     def run(batches):
         model = _model(held.value)
         is_byte = np.zeros(len(model.text), bool)
         is_byte[list(model.byte_piece.values())] = True
-        for b in batches:
-            rows = {c: [] for c in ("n_tokens", "n_byte_tokens", "ids_sha256", "round_trip")}
-            for t in b.column(1):
-                t = t.as_py() or ""
-                ids = model.encode(t)
-                for c, v in zip(rows, (len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), model.decode(ids) == t.encode()), strict=True):
-                    rows[c].append(v)
-            yield arrow_rows({id_col: b.column(0), **rows}, out)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, STEP_ROWS):
+                b = whole.slice(lo, STEP_ROWS)
+                rows, every = {c: [] for c in ("n_tokens", "n_byte_tokens", "ids_sha256", "round_trip")}, []
+                for t in b.column(1):
+                    t = t.as_py() or ""
+                    ids = model.encode(t)
+                    for c, v in zip(rows, (len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), model.decode(ids) == t.encode()), strict=True):
+                        rows[c].append(v)
+                    if with_ids:
+                        every.append(ids)
+                yield arrow_rows({id_col: b.column(0), **rows} | ({"token_ids": id_lists(every)} if with_ids else {}), out)
 
     return docs.select(id_col, text_col).mapInArrow(run, out)
