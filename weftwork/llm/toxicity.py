@@ -109,8 +109,8 @@ def kinds(x: np.ndarray, toxic: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.column_stack([word, (toxic == 1) & ~word, toxic == 1]).astype(np.float32)
 
 
-def _choose(sample: DataFrame, text_col: str, label_col: str, most: int) -> np.ndarray:
-    """Keys of the features that speak most for the label; they are counted on the executors."""
+def _choose(sample: DataFrame, most: int) -> np.ndarray:
+    """Keys of the features that speak most for the label, from rows (text, label); they are counted on the executors."""
 
     def count(batches):
         for b in batches:
@@ -122,8 +122,8 @@ def _choose(sample: DataFrame, text_col: str, label_col: str, most: int) -> np.n
                 bad = np.bincount(n, label[lo + pairs["f1"]] == 1, len(k)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(bad), pa.array(np.bincount(n, minlength=len(k)) - bad)], names=["key", "bad", "good"])
 
-    total = sample.agg(F.count_if(F.col(label_col) == 1), F.count_if(F.col(label_col) == 0)).first()
-    counts = sample.select(text_col, label_col).mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    total = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    counts = sample.select("text", "label").mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.log((F.col("bad") + 0.5) / F.lit(total[0] + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(total[1] + 1.0))
     z = lift / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     top = counts.where(F.col("bad") >= LEAST_DOCS).select("key", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "key").limit(most).collect()
@@ -135,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     own = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     share = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     chosen_rows = F.broadcast(bounded_sample(own, "id", F.col("label"), per_label))  # bounded by its parameter
-    sample = docs.join(chosen_rows, docs[id_col] == F.col("id")).select(text_col, "label")
-    chosen = _choose(sample, text_col, "label", most)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(chosen_rows, "id").select("text", "label")
+    chosen = _choose(sample, most)
 
     def extract(batches):
         for b in batches:
