@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftwork.plans import logs  # noqa: F401
+from weftwork.plans import joins, logs, texts  # noqa: F401
