@@ -33,11 +33,12 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import shared_dir, stored
+from weftwork.llm.common import shared_dir
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,6 +50,9 @@ MIN_REVISIT_BYTES = 0
 READ_GAP, READ_MOST = 64 << 10, 4 << 20
 
 
+CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
 def file_system(at: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a folder named as Spark names it, and the folder's path in it."""
     if re.match(r"^(file:|/)", at):
@@ -112,7 +116,11 @@ def parse(raw: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Writes the archives under ``folder``; capture rows (key, page_id, url, file, offset, length)."""
+    """Writes the archives under ``folder``; capture rows (key, page_id, url, file, offset, length).
+
+    Beside each archive lies a Parquet file with its captures. The names of finished archives come to
+    the driver, one for each task.
+    """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     sums = p.select("page_id", F.sha1("html").alias("sum"), F.octet_length("html").alias("size")).where(f"size >= {int(min_revisit_bytes)}")
     first = sums.groupBy("sum").agg(F.min("page_id").alias("first"))
@@ -120,35 +128,39 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     marked = p.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1("html") == F.col("id_sum")), "left").select("page_id", "url", "html", "first", F.col("id_sum").isNotNull().alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, name = None, 0, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        out, at, name = None, 0, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         fs, root = file_system(folder)
-        try:
-            for b in batches:
-                rows = []
-                for page_id, url, html, low, revisit in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                    if out is None:
-                        fs.create_dir(root, recursive=True)
-                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    raw = record(page_id, url, html.encode(), low, revisit)
-                    out.write(raw)
-                    rows.append((surt(url), page_id, url, name, at, len(raw)))
-                    at += len(raw)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "url", "file", "offset", "length"])
-        finally:
-            if out is not None:
-                out.close()
-
-    return stored(marked.mapInArrow(write, "key string, page_id long, url string, file string, offset long, length long"), "captures")
-
-
-def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes blocks and directories under ``folder``; a row (file, first key, last key, lines) for each index file."""
+        for b in batches:
+            rows = []
+            for page_id, url, html, low, revisit in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                raw = record(page_id, url, html.encode(), low, revisit)
+                rows.append((surt(url), page_id, url, f"{name}.warc.gz", at, len(raw)))
+                at += len(raw)
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out, listed = fs.open_output_stream(f"{root}/{name}.warc.gz", compression=None), pq.ParquetWriter(f"{root}/{name}.captures.parquet", CAPTURES, filesystem=fs)
+                out.write(raw)
+            if rows:
+                listed.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CAPTURES, strict=True)], schema=CAPTURES))
+        if out is not None:
+            out.close()
+            listed.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    done = [r["name"] for r in marked.mapInArrow(write, "name string").collect()]
+    ddl = "key string, page_id long, url string, file string, offset long, length long"
+    if not done:
+        return pages.sparkSession.createDataFrame([], ddl)
+    return pages.sparkSession.read.schema(ddl).parquet(*(f"{folder}/{n}.captures.parquet" for n in done))
+
+
+def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, str, str]]:
+    """Writes blocks and directories under ``folder``; (first key, last key, file) of each index file, in order. There is one for each task."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        out, directory, lines, first, last, n, at = None, [], [], None, None, 0, 0
+        out, directory, lines, first, last, at = None, [], [], None, None, 0
 
         def flush():
             nonlocal lines, at
@@ -165,7 +177,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                     fs.create_dir(root, recursive=True)
                     out, first = fs.open_output_stream(f"{root}/{name}.blocks", compression=None), row[0]
                 lines.append(row)
-                last, n = row[0], n + 1
+                last = row[0]
                 if len(lines) == block_lines:
                     flush()
         if out is None:
@@ -175,10 +187,10 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         out.close()
         with fs.open_output_stream(f"{root}/{name}.directory", compression=None) as d:
             d.write("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in directory).encode())
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, first, last, n)], names=["file", "first", "last", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, last, name)], names=["first", "last", "file"])
 
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return stored(ordered.mapInArrow(write, "file string, first string, last string, lines long"), "index")
+    return sorted((r["first"], r["last"], r["file"]) for r in ordered.mapInArrow(write, "first string, last string, file string").collect())
 
 
 class IndexFile:
@@ -209,9 +221,8 @@ class IndexFile:
                 yield lines[i]
 
 
-def lookup(keys: DataFrame, index: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
-    """Captures (key, page_id, file, offset, length) of the distinct keys. To the driver: two keys per index file."""
-    tops = sorted((r["first"], r["last"], r["file"]) for r in index.collect())
+def lookup(keys: DataFrame, tops: list[tuple[str, str, str]], folder: str, key_col: str = "key") -> DataFrame:
+    """Captures (key, page_id, file, offset, length) of the distinct keys; ``tops`` is what ``write_index`` gives."""
 
     def route(batches):
         firsts = [t[0] for t in tops]
@@ -276,8 +287,8 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
     return ordered.mapInArrow(read, ", ".join(f"{c} {ddl[t]}" for c, t in fields))
 
 
-def archive(spark: SparkSession, pages: DataFrame, **columns) -> tuple[DataFrame, DataFrame, str]:
-    """Writes pages and their index; captures, index files, and the folder."""
+def archive(spark: SparkSession, pages: DataFrame, **columns) -> tuple[DataFrame, list, str]:
+    """Writes pages and their index; captures, keys of the index files, and the folder."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     captures = write_archives(pages, folder, **columns)
     return captures, write_index(captures, folder), folder
@@ -287,5 +298,5 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Each page's record, found through the index and read from the archives again."""
     spark = pages.sparkSession
     captures, index, folder = archive(spark, pages, **columns)
-    found = stored(lookup(captures, index, folder), "found")
+    found = lookup(captures, index, folder)
     return read_records(found, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
