@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftwork.plans import graphs, joins, logs, scalars, states, texts  # noqa: F401
+from weftwork.plans import graphs, joins, logs, meshes, scalars, states, texts  # noqa: F401

@@ -30,7 +30,7 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-_ERR = F.col("event_type") == "error"
+_ERR = "event_type = 'error'"
 
 
 @query("telemetry_overall", """
@@ -39,7 +39,7 @@ _ERR = F.col("event_type") == "error"
 def telemetry_overall(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_type", "value")
     p95 = telemetry.nearest_rank_by(e.select(F.lit(1).alias("k"), "value"), ["k"], telemetry.micros(F.col("value")), 0.95, "us")
-    a = e.agg(F.count("*").alias("calls"), F.count_if(_ERR).alias("errors")).withColumn("k", F.lit(1))
+    a = e.agg(F.count("*").alias("calls"), F.count_if(F.expr(_ERR)).alias("errors")).withColumn("k", F.lit(1))
     return a.join(p95, "k").select("calls", "errors", F.round(F.col("errors") / F.col("calls"), 6).alias("error_rate"), (F.col("us") / F.lit(1000.0)).alias("p95_ms"))
 
 
@@ -82,7 +82,7 @@ def stats_by_tool(spark, sf_dir):
     SELECT event_id, event_type, value, (SELECT round(count(*) FILTER (WHERE event_type = 'error') / count(*), 3) FROM t) AS error_rate FROM t ORDER BY value DESC, event_id LIMIT 8""")
 def telemetry_snapshot(spark, sf_dir):
     t = _events(spark, sf_dir).select("event_id", "ts", "event_type", "value").orderBy(F.desc("ts"), F.desc("event_id")).limit(300)
-    rate = t.agg(F.round(F.count_if(_ERR) / F.count("*"), 3).alias("error_rate"))
+    rate = t.agg(F.round(F.count_if(F.expr(_ERR)) / F.count("*"), 3).alias("error_rate"))
     return t.orderBy(F.desc("value"), "event_id").limit(8).join(F.broadcast(rate)).select("event_id", "event_type", "value", "error_rate")
 
 
@@ -102,8 +102,8 @@ def alarm_rules(spark, sf_dir):
     e = _events(spark, sf_dir)
     now = e.agg(F.max("ts")).first()[0]
     beats = e.groupBy(F.col("user_id").cast("string").alias("loop")).agg(F.max("ts").alias("last_ts"))
-    overall = e.agg(F.count("*").alias("calls"), F.count_if(_ERR).alias("errors"))
-    return telemetry.alarms(tool_summary(e, "event_type", "value", _ERR, "ts", "event_id"), overall, beats, F.lit(now), p95_slow_ms=130)
+    overall = e.agg(F.count("*").alias("calls"), F.count_if(F.expr(_ERR)).alias("errors"))
+    return telemetry.alarms(tool_summary(e, "event_type", "value", F.expr(_ERR), "ts", "event_id"), overall, beats, F.lit(now), p95_slow_ms=130)
 
 
 @query("alarm_suppression", """
