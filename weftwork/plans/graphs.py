@@ -1,4 +1,4 @@
-"""Graph queries; edges are customer -> supplier of at least some shared orders, or orders' keys."""
+"""Graph queries; edges are customer -> supplier by orders, or customers and suppliers -> their nation."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from weftwork.operators import graph as G
 from weftwork.plans.registry import query, table
 
-_EDGES = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 48"
+_EDGES = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
 def _edges(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("src"))
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", (F.col("l_suppkey") + 1000000).alias("dst"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + 1000000).alias("dst"))
     return o.join(li, o.o_orderkey == li.l_orderkey).select("src", "dst").distinct()
 
 
@@ -36,7 +36,7 @@ def in_degree_hubs(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "dst").limit(20)
 
 
-_FILES = "SELECT DISTINCT l_partkey AS src, l_partkey + 7 * (l_orderkey % 3) + 1 AS dst FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 4 = 0"
+_FILES = "SELECT c_custkey AS src, 1000000 + c_nationkey AS dst FROM customer UNION ALL SELECT 2000000 + s_suppkey, 1000000 + s_nationkey FROM supplier"
 _WALK = f"""
     WITH RECURSIVE e AS ({_FILES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), v AS (SELECT DISTINCT src AS id FROM u),
     w AS (SELECT id, id AS seen FROM v UNION SELECT w.id, u.dst FROM w JOIN u ON u.src = w.seen),
@@ -45,8 +45,8 @@ _WALK = f"""
 
 
 def _files(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_orderkey % 4 = 0")
-    return li.select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + 7 * (F.col("l_orderkey") % 3) + 1).alias("dst")).distinct()
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") + F.lit(1000000)).cast("long").alias("dst"))
+    return c.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 2000000).alias("src"), (F.col("s_nationkey") + F.lit(1000000)).cast("long").alias("dst")))
 
 
 @query("connected_components", _WALK + "SELECT id, component FROM c")

@@ -48,9 +48,9 @@ def tail_records(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@query("query_logs", "SELECT event_id, ts, value FROM events WHERE event_type = 'purchase' AND user_id % 7 = 3 ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("query_logs", "SELECT event_id, ts, value FROM events WHERE event_type = 'purchase' AND user_id = 17 ORDER BY ts DESC, event_id DESC LIMIT 200")
 def query_logs(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_type = 'purchase' AND user_id % 7 = 3").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "value")
+    return _events(spark, sf_dir).where("event_type = 'purchase' AND user_id = 17").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "ts", "value")
 
 
 @query("telemetry_query_tail_then_filter", "SELECT event_id, ts FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) WHERE event_type = 'error'")
@@ -107,12 +107,12 @@ def alarm_rules(spark, sf_dir):
 
 
 @query("alarm_suppression", """
-    WITH RECURSIVE t AS (SELECT event_type, epoch(ts) AS t0 FROM events WHERE user_id < 50),
+    WITH RECURSIVE t AS (SELECT event_type, epoch(ts) AS t0 FROM events),
     kept AS (SELECT event_type, min(t0) AS t0 FROM t GROUP BY event_type
              UNION ALL SELECT k.event_type, (SELECT min(t.t0) FROM t WHERE t.event_type = k.event_type AND t.t0 - k.t0 >= 1800) FROM kept k WHERE k.t0 IS NOT NULL)
     SELECT event_type, t0 FROM kept WHERE t0 IS NOT NULL""")
 def alarm_suppression(spark, sf_dir):
-    rows = _events(spark, sf_dir).where("user_id < 50").select("event_type", telemetry.seconds(F.col("ts")).alias("t0"))
+    rows = _events(spark, sf_dir).select("event_type", telemetry.seconds(F.col("ts")).alias("t0"))
     return telemetry.suppress(rows, ["event_type"], "t0", 1800)
 
 

@@ -37,12 +37,12 @@ def ucb_backprop(spark, sf_dir):
 
 
 @query("ucb_select", """
-    WITH n AS (SELECT c_custkey AS id, c_nationkey AS parent, c_acctbal / 1000 AS reward_sum, c_custkey % 17 AS visits FROM customer WHERE c_custkey % 17 > 0 OR c_nationkey % 5 = 0),
+    WITH n AS (SELECT c_custkey AS id, c_nationkey AS parent, c_acctbal / 1000 AS reward_sum, c_custkey % 17 AS visits FROM customer),
     t AS (SELECT parent, greatest(1, sum(visits)) AS total FROM n GROUP BY parent),
     s AS (SELECT id, parent, CASE WHEN visits = 0 THEN 'infinity'::DOUBLE ELSE reward_sum / visits + 1.414::DOUBLE * sqrt(ln(total)) / sqrt(visits) END AS score FROM n JOIN t USING (parent))
     SELECT parent, id, score FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, id) AS rn FROM s) WHERE rn = 1""")
 def ucb_select(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 17 > 0 OR c_nationkey % 5 = 0")
+    c = table(spark, sf_dir, "customer")
     return S.ucb_select(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"), (F.col("c_acctbal") / 1000).alias("reward_sum"), (F.col("c_custkey") % 17).alias("visits")), "parent")
 
 

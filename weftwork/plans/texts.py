@@ -28,7 +28,7 @@ def inverted_index(spark, sf_dir):
 _BM25 = f"""
     WITH tok AS (SELECT doc_id AS doc, unnest({_TOK}) AS term FROM documents), p AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY 1, 2),
     dl AS (SELECT doc_id AS doc, len({_TOK}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
-    q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(({_TOK})[1:8]) AS term FROM benchmark) GROUP BY 1, 2),
+    q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     sc AS (SELECT query, p.doc, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))) AS score, count(*) AS matched
            FROM p JOIN q USING (term) JOIN df USING (term) JOIN dl ON dl.doc = p.doc, s GROUP BY 1, 2),
@@ -39,7 +39,7 @@ _BM25 = f"""
 def _bm25(spark, sf_dir, conjunctive=False):
     d = _docs(spark, sf_dir)
     t = X.plain_tokens(F.col("text"))
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(t, 1, 8)).alias("term"))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(t).alias("term"))
     return X.bm25(X.postings(d, "doc_id", t), d.select(F.col("doc_id").alias("doc"), F.size(t).alias("dl")), terms, conjunctive)
 
 
@@ -104,9 +104,9 @@ def data_filter_counts(spark, sf_dir):
     return c.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("commit_tags", "SELECT doc_id, list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(left(text, 400)), '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in X.TAGS.items()) + "], lambda x: x IS NOT NULL) AS tags FROM documents")
+@query("commit_tags", "SELECT doc_id, list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in X.TAGS.items()) + "], lambda x: x IS NOT NULL) AS tags FROM documents")
 def commit_tags(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.tags(F.substring("text", 1, 400)).alias("tags"))
+    return _docs(spark, sf_dir).select("doc_id", X.tags(F.col("text")).alias("tags"))
 
 
 @query("lesson_lines", """
