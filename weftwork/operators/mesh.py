@@ -99,3 +99,68 @@ def array_pattern(vertices: DataFrame, counts: tuple[int, int, int], step: tuple
     k = F.col("copy")
     shift = (k % nx, F.floor(k / nx) % ny, F.floor(k / (nx * ny)))
     return vertices.withColumn("copy", copies).select("mesh_id", "copy", "vid", *((F.col(c) + s * F.lit(float(d))).alias(c) for c, s, d in zip("xyz", shift, step, strict=True)))
+
+
+def splats(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, fid, x, y, z, nx, ny, nz, area): centre, unit normal and area of each face; a face without area has no normal."""
+    a, b, c = ([F.col(k + x) for x in "xyz"] for k in "abc")
+    n = _cross([q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)])
+    length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    centre = [((a[k] + b[k] + c[k]) / 3).alias(x) for k, x in enumerate("xyz")]
+    return corners(vertices, faces).select("mesh_id", "fid", *centre, *(F.try_divide(m, length).alias(f"n{x}") for m, x in zip(n, "xyz", strict=True)), (length / 2).alias("area"))
+
+
+def ray_hits(rays: DataFrame, vertices: DataFrame, faces: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """(ray_id, fid, t): the nearest face of its mesh that each ray (ray_id, mesh_id, ox..oz, dx..dz) meets."""
+    a, b, c = ([F.col(k + x) for x in "xyz"] for k in "abc")
+    o, d = [F.col(f"o{x}") for x in "xyz"], [F.col(f"d{x}") for x in "xyz"]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    minus = lambda u, v: [p - q for p, q in zip(u, v, strict=True)]
+    e1, e2 = minus(b, a), minus(c, a)
+    h = _cross(d, e2)
+    det = dot(e1, h)
+    s = minus(o, a)
+    q = _cross(s, e1)
+    u, v, t = (F.try_divide(x, det) for x in (dot(s, h), dot(d, q), dot(e2, q)))
+    hit = (F.abs(det) > eps) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0)
+    met = rays.join(corners(vertices, faces), "mesh_id").where(hit).select("ray_id", "fid", t.alias("t"))
+    return met.groupBy("ray_id").agg(F.min_by("fid", F.struct("t", "fid")).alias("fid"), F.min("t").alias("t"))
+
+
+def voxels(vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
+    """(mesh_id, i, j, k): cells whose centre lies inside its closed mesh, by the parity of faces above the centre.
+
+    Faces are dealt to the columns of cells that their shadow covers, so no grid is crossed with a mesh.
+    A shadow's edges count on one side alone (x and y are moved by a tiny, fixed step), so a shared edge counts once.
+    """
+    col = lambda lo, n: F.explode(F.sequence(F.floor(lo / cell), F.greatest(F.floor(n / cell), F.floor(lo / cell)))).alias
+    least = lambda x: F.least(F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"c{x}"))
+    most = lambda x: F.greatest(F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"c{x}"))
+    t = corners(vertices, faces).select("*", col(least("x"), most("x"))("i")).select("*", col(least("y"), most("y"))("j"))
+    px, py = (F.col("i") + 0.5 + 1.1e-7) * cell, (F.col("j") + 0.5 + 0.7e-7) * cell
+    side = lambda p, q: (F.col(f"{q}x") - F.col(f"{p}x")) * (py - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (px - F.col(f"{p}x"))
+    w = [side("b", "c"), side("c", "a"), side("a", "b")]
+    inside = ((w[0] > 0) & (w[1] > 0) & (w[2] > 0)) | ((w[0] < 0) & (w[1] < 0) & (w[2] < 0))
+    z = F.try_divide(w[0] * F.col("az") + w[1] * F.col("bz") + w[2] * F.col("cz"), w[0] + w[1] + w[2])
+    crossed = t.where(inside).groupBy("mesh_id", "i", "j").agg(F.array_sort(F.collect_list(z)).alias("zs"))
+    k = F.explode(F.sequence(F.floor(F.col("zs")[0] / cell), F.floor(F.element_at("zs", -1) / cell))).alias("k")
+    above = F.size(F.filter("zs", lambda v: v > (F.col("k") + 0.5) * cell))
+    return crossed.select("mesh_id", "i", "j", "zs", k).where(above % 2 == 1).select("mesh_id", "i", "j", "k")
+
+
+def surface_voxels(cells: DataFrame) -> DataFrame:
+    """Occupied cells with an empty one among their six neighbours."""
+    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, "xyz", strict=True))) for s in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))))
+    near = cells.select("mesh_id", "i", "j", "k", steps.alias("s")).select("mesh_id", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"), (F.col("k") + F.col("s.z")).alias("k"))
+    full = near.groupBy("mesh_id", "i", "j", "k").agg(F.count("*").alias("n")).where("n = 6")
+    return cells.join(full, ["mesh_id", "i", "j", "k"], "left_anti")
+
+
+def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame:
+    """Vertices moved by the weighted mean of their bones' shifts: weights (mesh_id, vid, bone, w), bones (bone, tx, ty, tz).
+
+    Weights are scaled to sum 1; a vertex with a negative or no weight in all stays where it is.
+    """
+    ok = weights.groupBy("mesh_id", "vid").agg(F.sum("w").alias("total"), F.min("w").alias("least")).where("least >= 0 AND total > 0")
+    shift = weights.join(ok, ["mesh_id", "vid"]).join(bones, "bone").groupBy("mesh_id", "vid").agg(*(F.sum(F.col("w") / F.col("total") * F.col(f"t{x}")).alias(f"_{x}") for x in "xyz"))
+    return vertices.join(shift, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *(F.round(F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)), 6).alias(x) for x in "xyz"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,15 +71,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query, id, cosine, rank) of the ``k`` nearest vectors of each query, itself left out.
+#: Queries that visit the vectors together.
+QUERY_BLOCK = 2048
 
-    The queries are a stated set; they are gathered into one array that visits all vectors, and each
-    partition passes on its best before the ranks are settled.
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, id, cosine) of the ``k`` nearest vectors of each query, itself left out; ties by id. Vectors without length have cosine 0.
+
+    The stated query set goes to the executors in blocks of about ``block`` queries, so what is sent at a
+    time is bounded; for each block the vectors are passed once, a batch of them multiplied with the
+    block as matrices, and each batch hands on its best ``k`` of each query.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(q), F.col("query") != F.col("id"))
-    return first_by(pairs.select("query", "id", cosine(F.col("v"), F.col("qv")).alias("cosine")), ["query"], [F.desc("cosine"), F.col("id")], k)
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    schema = f"query {queries.schema[id_col].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, cosine double"
+    found = None
+    for part in range(parts):
+        q = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part).select(id_col, vec_col).toArrow()
+        held = queries.sparkSession.sparkContext.broadcast((q.column(0).to_pylist(), _unit(q.column(1).to_pylist())))
+
+        def nearest(batches, held=held):
+            ids, m = held.value
+            numbers = np.array(ids, dtype=object)
+            for b in batches:
+                own, names = b.column(0).to_pylist(), np.array(b.column(0).to_pylist(), dtype=object)
+                if not own or not ids:
+                    continue
+                c = np.round(_unit(b.column(1).to_pylist()) @ m.T, 12)
+                c[names[:, None] == numbers[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(own))[:, None], c.shape), -c), axis=0)[:k]
+                rows = [(ids[j], own[i], float(c[i, j])) for j in range(len(ids)) for i in order[:, j] if c[i, j] > -np.inf]
+                yield pa.RecordBatch.from_pylist([dict(zip(("query", "id", "cosine"), r, strict=True)) for r in rows]) if rows else pa.RecordBatch.from_arrays([b.column(0).slice(0, 0), b.column(0).slice(0, 0), pa.array([], pa.float64())], names=["query", "id", "cosine"])
+
+        each = vectors.select(id_col, vec_col).mapInArrow(nearest, schema)
+        found = each if found is None else found.unionByName(each)
+    return first_by(found, ["query"], [F.desc("cosine"), F.col("id")], k)
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Rows scaled to length 1 (a row without length, or none, becomes zero)."""
+    width = max((len(r) for r in rows if r), default=1)
+    m = np.array([r if r else [0.0] * width for r in rows], np.float64).reshape(len(rows), -1)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
 #: Tokens of well-known services, and assignments of secrets.

@@ -50,3 +50,34 @@ def mesh_half_edges(spark, sf_dir):
 @query("mesh_pattern", "SELECT p_partkey AS mesh_id, 48::BIGINT AS n, round(p_partkey % 500 * 3.0::DOUBLE + p_size + 20, 9) AS max_x FROM part")
 def mesh_pattern(spark, sf_dir):
     return M.array_pattern(_boxes(spark, sf_dir)[0], (3, 2, 1), (10.0, 5.0, 1.0)).groupBy("mesh_id").agg(F.count("*").alias("n"), F.round(F.max("x"), 9).alias("max_x"))
+
+
+@query("mesh_splats", "SELECT p_partkey AS mesh_id, 12::BIGINT AS n, round(2.0::DOUBLE * (p_size * (p_partkey % 7 + 1) + 2 * p_size + 2 * (p_partkey % 7 + 1)), 6) AS area, 0.0::DOUBLE AS sum_nx FROM part")
+def mesh_splats(spark, sf_dir):
+    s = M.splats(*_boxes(spark, sf_dir))
+    return s.groupBy("mesh_id").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("nx"), 6).alias("sum_nx"))
+
+
+@query("mesh_rays", "SELECT p_partkey AS ray_id, round(p_partkey % 500 * 3.0::DOUBLE + 10, 9) AS t FROM part")
+def mesh_rays(spark, sf_dir):
+    v, f = _boxes(spark, sf_dir)
+    rays = v.where("vid = 0").select(F.col("mesh_id").alias("ray_id"), "mesh_id", F.lit(-10.0).alias("ox"), F.lit(0.31).alias("oy"), F.lit(0.77).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    return M.ray_hits(rays, v, f).select("ray_id", F.round("t", 9).alias("t"))
+
+
+@query("mesh_voxels", "SELECT p_partkey AS mesh_id, CAST(p_size * (p_partkey % 7 + 1) * 2 AS BIGINT) AS n FROM part")
+def mesh_voxels(spark, sf_dir):
+    return M.voxels(*_boxes(spark, sf_dir), 1.0).groupBy("mesh_id").agg(F.count("*").alias("n"))
+
+
+@query("mesh_surface_voxels", "SELECT p_partkey AS mesh_id, CAST(p_size * (p_partkey % 7 + 1) * 2 AS BIGINT) AS n FROM part")
+def mesh_surface_voxels(spark, sf_dir):
+    return M.surface_voxels(M.voxels(*_boxes(spark, sf_dir), 1.0)).groupBy("mesh_id").agg(F.count("*").alias("n"))
+
+
+@query("mesh_skin", "SELECT p_partkey AS mesh_id, round(p_partkey % 500 * 3.0::DOUBLE + p_size + 2.5, 6) AS max_x FROM part")
+def mesh_skin(spark, sf_dir):
+    v, _ = _boxes(spark, sf_dir)
+    w = v.select("mesh_id", "vid", F.explode(F.array(F.struct(F.lit(1).alias("bone"), F.lit(1.0).alias("w")), F.struct(F.lit(2).alias("bone"), F.lit(3.0).alias("w")))).alias("p")).select("mesh_id", "vid", "p.*")
+    bones = spark.createDataFrame([(1, 10.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0)], "bone int, tx double, ty double, tz double")
+    return M.skin(v, w, bones).groupBy("mesh_id").agg(F.max("x").alias("max_x"))
