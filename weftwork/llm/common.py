@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a longer document is one step of its own.
 CHUNK_BYTES = 2 << 20
+#: And texts, where they are short.
+CHUNK_ROWS = 4096
 
 #: Word bytes. All non-word characters of both word patterns are ASCII, so words can be found on UTF-8 bytes.
 NOT_SPACE = np.ones(256, bool)
@@ -41,12 +43,12 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
-def text_chunks(col: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of runs of whole texts of about ``most`` bytes."""
+def text_chunks(col: pa.Array, most: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets from 0) of runs of whole texts, of about ``most`` bytes and ``most_rows`` texts at most."""
     data, off = text_buffers(col)
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
+        hi = min(n, lo + most_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

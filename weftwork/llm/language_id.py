@@ -26,6 +26,8 @@ from weftwork.llm.linear import Logistic, bounded_sample
 SAMPLE_PER_LANGUAGE = 600
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
+#: Texts whose feature rows (of BUCKETS numbers) are held at a time.
+FEATURE_ROWS = 256
 #: A decision with less than this lead of the best language over the second is flagged.
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     def extract(batches):
         for b in batches:
-            for lo, hi, data, off in text_chunks(b.column(0)):
+            for lo, hi, data, off in text_chunks(b.column(0), most_rows=FEATURE_ROWS):
                 x = features(data, off).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -135,7 +137,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         m = held.value
         for b in batches:
             text, letters = b.column(columns.index(text_col)), b.column(len(columns)).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in text_chunks(text):
+            for lo, hi, data, off in text_chunks(text, most_rows=FEATURE_ROWS):
                 has = letters[lo:hi] & bool(m.languages)
                 k, score, lead = m.decode(features(data, off))
                 cols = {c: b.column(i).slice(lo, hi - lo) for i, c in enumerate(columns)}
