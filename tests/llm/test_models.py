@@ -189,13 +189,33 @@ def test_model_probabilities_sum_to_one():
 
 
 def test_exchange_finds_planted_classes():
-    """Words of two kinds that follow each other end up in classes that no kind shares."""
+    """Words of two kinds that follow each other end up in classes that the kinds don't share."""
     pairs = np.zeros((21, 21), np.int64)
     rng = np.random.default_rng(3)
     pairs[:10, 10:20] = rng.integers(5, 9, (10, 10))
     pairs[10:20, :10] = rng.integers(5, 9, (10, 10))
-    of = brown_lm.exchange_clustering(pairs, 20, classes=3)
-    assert len(set(of[:10])) == len(set(of[10:20])) == 1 and of[0] != of[10]
+    of = brown_lm.exchange_clustering(pairs, 20, classes=6)
+    assert not set(of[:10]) & set(of[10:20]) and set(of[:20]) <= set(range(5))
+
+
+@pytest.mark.parametrize("classes", [3, 6])
+def test_no_single_exchange_is_better(classes):
+    pairs = np.random.default_rng(classes).integers(0, 20, (30, 30)).astype(float) ** 2
+
+    def likelihood(of):
+        m = np.zeros((30, classes))
+        m[np.arange(30), of] = 1
+        t = m.T @ pairs @ m
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
+
+    of = brown_lm.exchange_clustering(pairs, 29, classes=classes, sweeps=50)
+    best = likelihood(of)
+    for u in range(29):
+        for c in range(classes - 1):
+            moved = of.copy()
+            moved[u] = c
+            assert likelihood(moved) <= best + 1e-6
 
 
 def test_empty_corpus_scores(nothing, docs):
