@@ -139,6 +139,23 @@ def test_repeats_of_mixed_passages(spark, prose, seed):
     assert got == {d: w[:4] for d, w in enumerate(cut([t.encode() for t in texts], 400))}
 
 
+def test_repeats_of_copies_over_many_batches(spark, prose):
+    copies, alone = [], []
+    for k in range(8):
+        passage = prose(700 + k, 150)
+        copies += [prose(800 + k, 90) + " " + passage + " " + prose(820 + k, 90)] * 5
+        alone += [prose(840 + k, 90) + " " + passage + " " + prose(860 + k, 90)]
+    texts = copies + alone
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.summary(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got == {d: w[:4] for d, w in enumerate(cut([t.encode() for t in texts], 400))}
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(docs, corpus):
     got = suffix_dedup.remove_repeats(docs)
     assert got.columns == docs.columns

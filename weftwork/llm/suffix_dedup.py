@@ -122,7 +122,8 @@ def runs(parse: Parse, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 def repeated(rows: DataFrame, key: list[str], extra: str = "") -> DataFrame:
     """(key, bucket, count, first) of keys that occur twice or more in all; ``first`` marks one bucket of each key.
 
-    Rows are dealt and sorted by key and neighbours compared, a batch at a time.
+    A bucket may send a key in several rows and gets one row back. Rows are dealt and sorted by key and
+    neighbours compared, a batch at a time.
     """
     names = [*key, "bucket", "count", "first"]
     out = ", ".join(f"{k} long" for k in key) + ", bucket int, count long, first boolean"
@@ -136,8 +137,14 @@ def repeated(rows: DataFrame, key: list[str], extra: str = "") -> DataFrame:
         start = np.flatnonzero(new)
         run = np.cumsum(new) - 1
         total = np.add.reduceat(n, start)[run] if len(n) else n
-        keep = total >= 2
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*keys, bucket, total, new)], names=names)
+        keep = np.flatnonzero(total >= 2)
+        keep = keep[np.lexsort((bucket[keep], run[keep]))]
+        again = np.zeros(len(keep), bool)
+        again[1:] = run[keep[1:]] == run[keep[:-1]]
+        own = ~again
+        own[1:] |= bucket[keep[1:]] != bucket[keep[:-1]]
+        kept = keep[own]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (*keys, bucket, total)), pa.array(~again[own])], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
