@@ -218,6 +218,23 @@ def test_no_single_exchange_is_better(classes):
             assert likelihood(moved) <= best + 1e-6
 
 
+@pytest.mark.parametrize("head", [brown_lm.HEAD_WORDS, 1010])
+def test_words_that_are_no_units_are_classed_by_their_contexts(spark, monkeypatch, head):
+    """Words of one ending, most often between words of one of two kinds: in the head and beyond it."""
+    monkeypatch.setattr(brown_lm, "HEAD_WORDS", head)
+    rng, texts = random.Random(9), []
+    kinds = [[f"{kind}{i}" for i in range(500)] for kind in "ab"]
+    for _ in range(30):
+        texts += [" ".join(rng.sample(kind, 500)) for kind in kinds]
+    for k in range(240):
+        texts.append(" ".join(x for _ in range(4) for x in (rng.choice(kinds[k % 2]), f"w{k % 60}xyz", rng.choice(kinds[k % 2]))))
+    docs = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 or i < 60]
+    probe = dict(zip((i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 7 == 2), ["a1 w0xyz a2", "b1 w0xyz b2", "b1 w1xyz b2", "a1 w1xyz a2"], strict=False))
+    got = {r.doc_id: r.score for r in brown_lm.scored(spark.createDataFrame([*docs, *probe.items()], "doc_id long, text string")).collect()}
+    score = {t: got[i] for i, t in probe.items()}
+    assert score["a1 w0xyz a2"] > score["b1 w0xyz b2"] + 0.5 and score["b1 w1xyz b2"] > score["a1 w1xyz a2"] + 0.5
+
+
 def test_empty_corpus_scores(nothing, docs):
     assert brown_lm.scored(nothing).collect() == []
     unseen = brown_lm.scored(docs.where("doc_id IS NULL")).collect()

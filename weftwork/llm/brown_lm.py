@@ -2,13 +2,16 @@
 
 Word counts are gathered over the whole training corpus. The most frequent words are units of their
 own, all others are units by their ending; exchange clustering moves units between classes as long as
-the likelihood of the class bigrams rises. A text's probability is the product over its tokens of
+the likelihood of the class bigrams rises. Every other word that occurs ``LEAST_CLASSED`` times or
+more then goes to the class under which the classes before and after it, gathered over the whole corpus,
+are most likely; rarer and unknown words stay with their ending. Class bigrams are counted anew on the
+classes so found. A text's probability is the product over its tokens of
 P(class | class before) and P(word | class), both smoothed; it begins after an end token, and the
 last token is an end.
 
 Counts of frequent words (``HEAD_WORDS`` at most) go to the executors as a broadcast of bounded size. All
-other words of a text, which grow with the corpus, are joined with their counts by a shuffle, so
-every token gets its exact count at any size. Unit bigrams are counted in a table of fixed size.
+other words of a text, which grow with the corpus, are joined with their counts and classes by a shuffle,
+so every token gets its exact count and its word's own class at any size. Unit bigrams are counted in a table of fixed size.
 
 Edge cases: a null or empty text is one end token; a null id is scored but not learned from; rows
 with the same id are scored one by one; with nothing to learn from, base scores are 0 and the model
@@ -31,7 +34,8 @@ from pyspark.sql import types as T
 from weftwork.llm.common import arrow_rows, fold, schema_of, stored
 
 HEAD_WORDS, UNIT_WORDS, ENDINGS, CLASSES = 200_000, 1000, 256, 64
-SWEEPS = 4
+#: A word that is no unit has a class of its own from so many occurrences on.
+LEAST_CLASSED = 3
 EMISSION_PRIOR, TRANSITION_PRIOR = 0.5, 20.0
 #: Words that a task counts before it passes counts on.
 MOST_COUNTED = 400_000
@@ -122,11 +126,11 @@ def _pairs(texts: list[np.ndarray]) -> np.ndarray:
     return np.bincount((s[:-1] * N_UNITS + s[1:])[inside], minlength=N_UNITS * N_UNITS)
 
 
-def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
     """Class of each unit. Unit ``fixed`` (the end) keeps a class of its own, the last.
 
     Each sweep takes every unit out of its class and puts it where the sum of n log n over class
-    bigrams, less that over the classes, is greatest; it ends when nothing moves.
+    bigrams, less that over the classes, is greatest; it ends when nothing moves (or after ``sweeps``).
     """
     n = len(pairs)
     pairs = pairs.astype(np.float64)
@@ -141,8 +145,10 @@ def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, s
     right, left = pairs @ member, pairs.T @ member  # of each unit with each class after and before it
     table = member.T @ right
     xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
-    for _ in range(sweeps):
-        moved = 0
+    least = max(1e-9, 1e-13 * float(xlogx(pairs.sum())))  # what rounding can feign is no gain
+    moved = 1
+    while moved and (sweeps is None or sweeps > 0):
+        moved, sweeps = 0, None if sweeps is None else sweeps - 1
         for u in order:
             a = of[u]
             r, c, own = right[u].copy(), left[u].copy(), pairs[u, u]
@@ -157,7 +163,7 @@ def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, s
             gain += xlogx(d + r + c + own) - xlogx(d + r) - xlogx(d + c) + xlogx(d)
             gain -= xlogx(rows + c + r.sum() + own) - xlogx(rows + c) + xlogx(cols + r + c.sum() + own) - xlogx(cols + r)
             b = int(np.argmax(gain[: classes - 1]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             if a != b:
                 moved += 1
@@ -169,8 +175,6 @@ def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, s
             table[b, :] += right[u]
             table[:, b] += left[u]
             table[b, b] -= own
-        if not moved:
-            break
     return of
 
 
@@ -181,12 +185,79 @@ class ClassModel:
         self.of = exchange_clustering(pairs, end)
         member = np.zeros((len(self.of), CLASSES))
         member[np.arange(len(self.of)), self.of] = 1
-        table = member.T @ pairs @ member
+        self.settle(member.T @ pairs @ member, member.T @ tokens, member.T @ words)
+
+    def settle(self, table: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> None:
+        """From class bigrams, and tokens and words of each class."""
+        self.table = table
         after = table.sum(axis=0)
         prior = (after + 1) / (after.sum() + CLASSES)
         self.transition = np.log10((table + TRANSITION_PRIOR * prior) / (table.sum(axis=1, keepdims=True) + TRANSITION_PRIOR))
         # one slot of each class is for all words that it has not seen; the end is the only word of its class
-        self.below = np.log10(member.T @ tokens + EMISSION_PRIOR * (member.T @ words + 1))
+        self.below = np.log10(tokens + EMISSION_PRIOR * (words + 1))
+
+    def likely(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """For each row of counts of the classes before and after a word, the class that makes them most likely."""
+        t = self.table[:-1] + TRANSITION_PRIOR * (self.table.sum(axis=0) + 1) / (self.table.sum() + CLASSES)
+        u = self.table[:, :-1].T + TRANSITION_PRIOR * (self.table.sum(axis=1) + 1) / (self.table.sum() + CLASSES)
+        return np.argmax(after @ np.log(t / t.sum(axis=1, keepdims=True)).T + before @ np.log(u / u.sum(axis=1, keepdims=True)).T, axis=1)
+
+
+def word_classes(docs: DataFrame, text_col: str, vocabulary, model) -> DataFrame:
+    """(word, class) of the words that are no units and occur ``LEAST_CLASSED`` times or more."""
+
+    def contexts(batches):
+        v, (of, heads) = vocabulary.value, model.value
+        names, held, size, rest = pa.array([w.decode() for w in v], pa.string()), [], 0, Counter()
+
+        def rows():
+            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at // (2 * CLASSES))), pa.array((at % (2 * CLASSES)).astype(np.int32)), pa.array(n)], names=["word", "at", "n"])
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in rest], pa.string()), pa.array([a for _, a in rest], pa.int32()), pa.array(list(rest.values()), pa.int64())], names=["word", "at", "n"])
+
+        for b in batches:
+            for words in _texts(b, 0):
+                k = v.numbers(words)
+                c = of[np.concatenate([[v.end], v.unit[k], [v.end]])]
+                far = np.flatnonzero((k >= v.size))
+                own = np.flatnonzero((k >= UNIT_WORDS) & (k < v.size))
+                own = own[heads[k[own]] >= LEAST_CLASSED]
+                held += [k[own] * 2 * CLASSES + c[own], k[own] * 2 * CLASSES + CLASSES + c[own + 2]]
+                for i, x, y in zip(far.tolist(), c[far].tolist(), c[far + 2].tolist(), strict=True):
+                    rest[words[i], x] += 1
+                    rest[words[i], CLASSES + y] += 1
+                size += len(own)
+                if size > 1 << 21 or len(rest) > MOST_COUNTED:
+                    yield from rows()
+                    held, size = [], 0
+                    rest.clear()
+        yield from rows()
+
+    def settle(word, at, n):
+        new = np.append(True, word[1:] != word[:-1]) if len(word) else np.zeros(0, bool)
+        seen = np.bincount((np.cumsum(new) - 1) * 2 * CLASSES + at, n, 2 * CLASSES * int(new.sum())).reshape(-1, 2 * CLASSES)
+        keep = seen[:, :CLASSES].sum(axis=1) >= LEAST_CLASSED
+        return pa.RecordBatch.from_arrays([pa.array(word[new][keep], pa.string()), pa.array(likely.value.likely(seen[keep, :CLASSES], seen[keep, CLASSES:]).astype(np.int32))], names=["word", "class"])
+
+    def assign(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "at", "n")]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])
+            if cut:
+                yield settle(*(c[:cut] for c in cols))
+            held = [c[cut:] for c in cols]
+        if held is not None:
+            yield settle(*held)
+
+    model, likely = model
+    got = docs.select(text_col).mapInArrow(contexts, "word string, at int, n long")
+    return got.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("word").mapInArrow(assign, "word string, class int")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -224,40 +295,100 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     end = vocabulary.value.end
     tokens[end], words[end] = n_ends, 1
     head_counts = np.array([n for n, _ in ranked] + [0] * ENDINGS, np.int64)
-    model = spark.sparkContext.broadcast((ClassModel(pairs, tokens, words, end), head_counts))
+    fitted = ClassModel(pairs, tokens, words, end)
+    send = spark.sparkContext.broadcast
+    classed = stored(word_classes(learn, text_col, vocabulary, (send((fitted.of, head_counts)), send(fitted))), "classes")
+    # class of each number: its unit's, or the word's own
+    of_number = fitted.of[vocabulary.value.unit]
+    own = classed.join(counts.where(F.col("n") >= least), "word", "left_semi").toArrow()
+    for w, c in zip(own.column("word").to_pylist(), own.column("class").to_pylist(), strict=True):
+        of_number[vocabulary.value[w.encode()]] = c
+    heads = send((of_number, head_counts))
+    rare = stored(counts.where((F.col("word") != END) & (F.col("n") < least)).join(classed, "word", "left"), "rare")
+
+    def by_class(batches):
+        v, (of, _) = vocabulary.value, heads.value
+        for b in batches:
+            by_ending = of[v.size + np.array([ending(w.encode()) for w in b.column(0).to_pylist()], np.int64)]
+            c = b.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(np.isnan(c), by_ending, c).astype(np.int32) if len(c) else np.zeros(0, np.int32)), b.column(1)], names=["class", "n"])
+
+    size = vocabulary.value.size
+    tokens, words = np.bincount(of_number[:size], head_counts[:size], CLASSES), np.bincount(of_number[:size], minlength=CLASSES).astype(float)
+    for r in rare.select("word", "n", F.col("class").cast("double")).mapInArrow(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        tokens[r["class"]] += r.n
+        words[r["class"]] += r.words
+    tokens[fitted.of[end]], words[fitted.of[end]] = n_ends, 1
     base_below = float(np.log10(n_tokens + n_words + 1))
 
-    local = T.StructType([*schema_of(docs, id_col), T.StructField("row", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
+    local = T.StructType([*schema_of(docs, id_col), T.StructField("row", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("learn", T.BooleanType()), T.StructField("classes", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("which", T.BinaryType())])
     names = [f.name for f in local]
+    kept_names = ("held_out", "n_tokens", "n_known", "base", "model", "more_known", "more_base", "more_model")
 
     def score_head(batches):
-        v, (m, n) = vocabulary.value, model.value
+        v, (of, n) = vocabulary.value, heads.value
         base, emission = np.log10(n + 1.0), np.log10(n + EMISSION_PRIOR)
         at = TaskContext.get().partitionId() << 36
-        last = m.of[v.end]
         end_base, end_model = np.log10(n_ends + 1.0), np.log10(n_ends + EMISSION_PRIOR)
         for b in batches:
             rows = {c: [] for c in names[1:]}
-            for words, held_out in zip(_texts(b, 1), b.column(2).to_pylist(), strict=True):
+            for words, held_out, learnt in zip(_texts(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 k = v.numbers(words)
-                classes = np.concatenate([[last], m.of[v.unit[k]], [last]])
-                known = k[k < v.size]
-                rest = Counter(w for w, far in zip(words, (k >= v.size).tolist(), strict=True) if far) if len(known) < len(k) else {}
-                s = m.transition[classes[:-1], classes[1:]].sum() - m.below[classes[1:]].sum() + emission[known].sum() + end_model
-                for c, x in zip(names[1:], (at, held_out, len(k) + 1, len(known) + (n_ends > 0), base[known].sum() + end_base - base_below * (len(k) + 1), s, [w.decode() for w in rest], list(rest.values())), strict=True):
+                known, far = k[k < v.size], np.flatnonzero(k >= v.size)
+                number: dict[bytes, int] = {}
+                which = np.array([number.setdefault(words[i], len(number)) for i in far.tolist()], np.int32)
+                times = np.bincount(which, minlength=len(number)).tolist() if len(far) else []
+                made = (at, held_out, len(k) + 1, len(known) + (n_ends > 0), base[known].sum() + end_base - base_below * (len(k) + 1), emission[known].sum() + end_model, [w.decode() for w in number], times, learnt, of[k].astype(np.uint8).tobytes(), far.astype(np.int32).tobytes(), which.tobytes())
+                for c, x in zip(names[1:], made, strict=True):
                     rows[c].append(x)
                 at += 1
             yield arrow_rows({names[0]: b.column(0), **rows}, local)
 
-    first = stored(docs.select(id_col, text_col, out.alias("held")).mapInArrow(score_head, local), "scores")
-    rest = first.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
-    rare = counts.where((F.col("word") != END) & (F.col("n") < least))
+    first = stored(docs.select(id_col, text_col, out.alias("held"), (~out & F.col(id_col).isNotNull()).alias("learn")).mapInArrow(score_head, local), "scores")
+    rest = first.select("row", F.posexplode(F.arrays_zip("rest", "times")).alias("k", "x")).select("row", "k", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     sums = rest.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(n + 1.0)).alias("more_base"),
         F.sum(F.col("times") * F.log10(n + F.lit(EMISSION_PRIOR))).alias("more_model"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("k", "class"))).alias("own"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    final = first.drop("rest", "times").join(sums, "row", "left")
-    score = F.col("model") + zero("more_model")
+    filled = stored(first.drop("rest", "times").join(sums, "row", "left").withColumn("own_k", F.col("own.k")).withColumn("own_class", F.col("own.class")).drop("own"), "filled")
+
+    def sequences(b):
+        last = CLASSES - 1  # the end's class
+        for seq, at, which, k, c in zip(*(b.column(x).to_pylist() for x in ("classes", "at", "which", "own_k", "own_class")), strict=True):
+            s = np.frombuffer(seq, np.uint8).astype(np.int64)
+            if k:
+                at, which = np.frombuffer(at, np.int32), np.frombuffer(which, np.int32)
+                of = np.full(int(which.max()) + 1, -1, np.int64)
+                of[k] = c
+                own = of[which] >= 0
+                s[at[own]] = of[which[own]]
+            yield np.concatenate([[last], s, [last]])
+
+    def class_bigrams(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for s in sequences(b):
+                total += np.bincount(s[:-1] * CLASSES + s[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    parts = ("classes", "at", "which", "own_k", "own_class")
+    for r in filled.where("learn").select(*parts).mapInArrow(class_bigrams, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        table[r["at"]] = r.n
+    fitted.settle(table.reshape(CLASSES, CLASSES), tokens, words)
+    model = send((fitted.transition, fitted.below))
+    passed = T.StructType([*schema_of(docs, id_col), *(filled.schema[c] for c in kept_names), T.StructField("path", T.DoubleType())])
+
+    def follow(batches):
+        transition, below = model.value
+        for b in batches:
+            path = [float(transition[s[:-1], s[1:]].sum() - below[s[1:]].sum()) for s in sequences(b)]
+            yield arrow_rows({c: b.column(c) for c in (names[0], *kept_names)} | {"path": path}, passed)
+
+    final = filled.select(id_col, *kept_names, *parts).mapInArrow(follow, passed)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    score = F.col("path") + F.col("model") + zero("more_model")
     return final.select(id_col, "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
