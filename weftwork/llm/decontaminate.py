@@ -2,8 +2,9 @@
 
 Every task takes a run of documents as one shard. The words of the shard become integers, and its
 suffixes are ordered by their first words: a word-level suffix array whose order goes as deep as a
-window. Each suffix of each benchmark item is found in it by binary search; a match is then followed
-word by word to its full length. Documents never leave their task, so there is no shuffle, and a
+window. Each window of each benchmark item is found in it by binary search, and the words of all windows
+found are marked, which are those of all longer matches too. Only ``find_matches`` follows a match word by
+word to its full length; ``summary`` and ``decontaminate`` have no need of that. Documents never leave their task, so there is no shuffle, and a
 document in which a passage is common costs no other task anything.
 
 The benchmark goes to the executors as broadcast blocks of at most ``block_bytes`` of text; more
