@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -87,18 +89,62 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none (tests), a temporary one."""
+    """The folder that all executors share. Only where Spark runs in one process (tests) may it be unset; it is then a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="weftwork-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Paths in the shared folder that this process made: of each open scratch, and (first) of none.
+_MADE: list[list[str]] = [[]]
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; what lies there goes when the scratch that is open ends, or else with the session's process."""
+    if not _MADE[0] and len(_MADE) == 1:
+        atexit.register(_at_end, spark)
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes what nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        for made in _MADE:
+            if path in made:
+                made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever is stored inside goes at the end; results must be written or collected by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_MADE[-1][:])
+        _MADE.pop()
+
+
+def _at_end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            discard(spark, *(p for made in _MADE for p in made[:]))
+    except Exception:  # noqa: BLE001 - the session is gone already, and with it the way to delete
+        pass
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage, and later steps do not run it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,31 +15,36 @@ as far as ``LENGTH`` bytes, since all that is asked is which suffixes agree that
    branch, the suffixes themselves are sorted by their first ``LENGTH`` bytes (one place of each
    repeated string stands for all of them).
 
-Sorting is by 128-bit digests, range by range of the digests, and neighbours are compared; equality is
-all that counts. Texts are never shuffled: they are stored once in the shared folder with the number of
-their bucket, a bucket sends each name once, however often it holds it, and reads back from the shared
-folder the counts of its own names. So a passage in a third of all texts costs a row for each bucket.
+Sorting is by 128-bit digests (XXH3, not made against texts built to collide), range by range of the
+digests, and neighbours are compared; equality is all that counts. Names of phrases are 64-bit; two that
+collide only leave more to sort. Texts are never shuffled: they are stored once in the shared folder
+with the number of their bucket, ``BUCKET_BYTES`` of text each, whatever the split of the files; a bucket
+sends each name about once, however often it holds it, and reads back the counts of its own names as
+sorted arrays. So a passage in a third of all texts costs a row for each bucket, and what a task holds
+depends on the size of a bucket and of its longest text alone.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows that repeat a text
-repeat its strings, whatever their ids; texts without triggers (such as a short pattern over and over)
-go through step 3 as a whole.
+repeat its strings, whatever their ids (so both lose them, and of equal texts none is left whole); texts
+without triggers (such as a short pattern over and over) go through step 3 as a whole; a very long text
+is a bucket of its own, parsed at once and sorted ``BLOCK`` suffixes at a time; an empty table gives an
+empty one; extra columns may have any name, that of the bucket too.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fresh, schema_of, shared_dir, stored, text_chunks
+from weftwork.llm.common import arrow_rows, fresh, schema_of, shared_path, stored, text_buffers, text_chunks
 from weftwork.llm.decontaminate import WordTable
 from weftwork.llm.warc import file_system
 
@@ -48,24 +53,29 @@ TRIGGER_BYTES = 16
 #: A place is a trigger with a chance of one in so many.
 TRIGGER_ODDS = 48
 ABSENT = 2**62
+#: Text of a bucket, and of one step of numpy.
+BUCKET_BYTES, STEP_BYTES = 32 << 20, 512 << 10
+#: Strings that are digested at a time, and digests that a task gathers before it hands them on.
+BLOCK, MOST_HELD = 1 << 15, 1 << 19
 
 _TABLE = WordTable()
 
 
-def digest(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
-
-
 class Parse:
     """Triggers and phrases of a run of texts."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
         self.data, self.off = data, off
         w, n = TRIGGER_BYTES, len(data)
-        at = np.arange(max(0, n - w + 1))
-        h = _TABLE.of(data, at, at + w) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        place = np.flatnonzero(h * np.uint64(0xD6E8FEB86659FD93) < np.uint64(2**64 // TRIGGER_ODDS))
+        if n >= w:
+            at = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))  # eight bytes from each place
+            h = at[: n - w + 1] * np.uint64(0x9E3779B97F4A7C15)
+            h += at[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            place = np.flatnonzero(h < np.uint64(2**64 // TRIGGER_ODDS))
+        else:
+            place = np.zeros(0, np.int64)
         doc = np.searchsorted(off, place, "right") - 1
         inside = place + w <= off[doc + 1]
         self.triggers, self.doc = place[inside], doc[inside]
@@ -75,7 +85,8 @@ class Parse:
         self.ends = np.append(self.triggers[1:], 0) + w if len(self.doc) else self.triggers
         names = np.zeros(len(self.doc), np.uint64)
         p = self.is_phrase
-        names[p] = _TABLE.of(data, self.triggers[p], self.ends[p])
+        if p.any():
+            names[p] = _TABLE.of(data, self.triggers[p], self.ends[p])
         self.names = names.view(np.int64)
 
 
@@ -119,32 +130,32 @@ def runs(parse: Parse, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, wider, rarest
 
 
-def repeated(rows: DataFrame, key: list[str], extra: str = "") -> DataFrame:
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where in sorted keys another key begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def repeated(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
     """(key, bucket, count, first) of keys that occur twice or more in all; ``first`` marks one bucket of each key.
 
     A bucket may send a key in several rows and gets one row back. Rows are dealt and sorted by key and
-    neighbours compared, a batch at a time.
+    bucket and neighbours compared, a batch at a time. Of the key that is open at the end of a batch, a
+    task holds one row for each bucket.
     """
     names = [*key, "bucket", "count", "first"]
-    out = ", ".join(f"{k} long" for k in key) + ", bucket int, count long, first boolean"
+    out = ", ".join(f"{k} long" for k in key) + ", bucket long, count long, first boolean"
 
     def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
         *keys, bucket, n = cols
-        new = np.zeros(len(n), bool)
-        new[:1] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(new := _new(*keys))
         run = np.cumsum(new) - 1
-        total = np.add.reduceat(n, start)[run] if len(n) else n
-        keep = np.flatnonzero(total >= 2)
-        keep = keep[np.lexsort((bucket[keep], run[keep]))]
-        again = np.zeros(len(keep), bool)
-        again[1:] = run[keep[1:]] == run[keep[:-1]]
-        own = ~again
-        own[1:] |= bucket[keep[1:]] != bucket[keep[:-1]]
-        kept = keep[own]
-        return pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (*keys, bucket, total)), pa.array(~again[own])], names=names)
+        keep = np.add.reduceat(n, start)[run] >= 2
+        total = np.add.reduceat(n, start)[run][keep]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (*keys, bucket)), pa.array(total), pa.array(new[keep])], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -154,17 +165,16 @@ def repeated(rows: DataFrame, key: list[str], extra: str = "") -> DataFrame:
                 continue
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = np.ones(len(cols[0]), bool)
-            for k in cols[: len(key)]:
-                last &= k == k[-1]
-            cut = len(last) - int(last.sum())
+            start = np.flatnonzero(_new(*cols[:-1]))
+            cols = [*(c[start] for c in cols[:-1]), np.add.reduceat(cols[-1], start)]
+            cut = int(np.flatnonzero(_new(*cols[: len(key)]))[-1])
             if cut:
                 yield settle([c[:cut] for c in cols])
             held = [c[cut:] for c in cols]
         if held is not None:
             yield settle(held)
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, out)
+    return rows.repartition(parts, *key).sortWithinPartitions(*key, "bucket").mapInArrow(compare, out)
 
 
 class Names:
@@ -183,10 +193,10 @@ class Names:
         return self.table
 
 
-def _put(rows: DataFrame, what: str) -> str:
+def _put(rows: DataFrame, what: str, parts: int) -> str:
     """Written by bucket to the shared folder; the place."""
-    path = f"{shared_dir(rows.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    rows.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    path = shared_path(rows.sparkSession, what)
+    rows.repartition(parts, "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -220,122 +230,176 @@ class Phrases(Names):
 
 
 class Digests(Names):
-    """A bucket's digests that occur twice or more: digest -> (count, whether this bucket stands for it)."""
+    """Digests of a bucket that occur twice or more, with their counts and whether this bucket stands for them."""
 
     def __init__(self, folder: str) -> None:
         super().__init__(folder, ["d1", "d2", "count", "first"])
 
-    def known(self, bucket: int) -> dict[bytes, tuple[int, bool]]:
+    def find(self, bucket: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of digests, 1 for those that occur once, and whether this bucket stands for them (for such it does)."""
         if bucket != self.bucket:
-            d1, d2, c, first = self.of(bucket)
-            raw = np.column_stack([d1, d2]).astype(np.int64).tobytes()
-            self.table = {raw[16 * i : 16 * i + 16]: (n, f) for i, (n, f) in enumerate(zip(c.tolist(), first.tolist(), strict=True))}
-        return self.table
-
-
-def _digest_rows(found: dict[bytes, int], bucket: int) -> pa.RecordBatch:
-    d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(d), bucket, np.int32)), pa.array(list(found.values()), pa.int64())], names=["d1", "d2", "bucket", "n"])
-
-
-def _suffix_groups(data: np.ndarray, raw: bytes, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Digests of the distinct strings at the starts, and for each start the number of its string.
-
-    The starts are put in order by two running hashes, so that each distinct string is digested once.
-    """
-    one, two = _TABLE.of(data, starts, starts + LENGTH), _SECOND.of(data, starts, starts + LENGTH)
-    order = np.lexsort((two, one))
-    a, b = one[order], two[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    number = np.empty(len(a), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return [digest(raw[q : q + LENGTH]) for q in starts[order[new]].tolist()], number
-
-
-class _OtherTable(WordTable):
-    BASE = 0xC2B2AE3D27D4EB4F | 1
-
-
-_SECOND = _OtherTable()
-
+            cols = self.of(bucket)
+            order = np.lexsort((cols[1], cols[0]))
+            self.table = [c[order] for c in cols]
+        d1, d2, c, first = self.table
+        count, stands = np.ones(len(d), np.int64), np.ones(len(d), bool)
+        at, open_ = np.searchsorted(d1, d[:, 0]), np.arange(len(d))
+        while len(open_):  # one step but where first halves are equal
+            here = at < len(d1)
+            at, open_ = at[here], open_[here]
+            here = d1[at] == d[open_, 0]
+            at, open_ = at[here], open_[here]
+            hit = d2[at] == d[open_, 1]
+            count[open_[hit]], stands[open_[hit]] = c[at[hit]], first[at[hit]].astype(bool)
+            at, open_ = at[~hit] + 1, open_[~hit]
+        return count, stands
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of strings, as rows of two longs."""
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(starts), BLOCK):
+        some = zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist(), strict=True)
+        found.append(np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in some]), np.int64).reshape(-1, 2))
+    return np.concatenate(found)
+
+
+class Tally:
+    """Names of a bucket with the number of their places, summed as they come; rows are handed on once they are many, or when the bucket ends."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns, self.held, self.size = columns, [], 0
+
+    def add(self, bucket: int, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.held.append([*keys, np.ones(len(keys[0]), np.int64)])
+        self.size += len(keys[0])
+        if self.size > MOST_HELD:
+            self.sum()
+            if self.size > MOST_HELD // 2:
+                yield from self.rows(bucket)
+
+    def sum(self) -> None:
+        *keys, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+        keys = [k[order] for k in keys]
+        start = np.flatnonzero(_new(*keys))
+        self.held = [[*(k[start] for k in keys), np.add.reduceat(n[order], start) if len(start) else n]]
+        self.size = len(start)
+
+    def rows(self, bucket: int) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.sum()
+            *keys, n = self.held[0]
+            for k in range(0, self.size, BLOCK):
+                part = slice(k, k + BLOCK)
+                size = len(n[part])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in keys), pa.array(np.full(size, bucket)), pa.array(n[part])], names=[*self.columns, "bucket", "n"])
+        self.held, self.size = [], 0
+
+
+def tallied(columns: list[str], batches: Iterator[pa.RecordBatch], keys: Callable[[int, pa.Array], Iterator[list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (names, bucket, n) of batches (text, bucket)."""
+    tally, last = Tally(columns), None
+    for batch in batches:
+        for bucket, b in _by_bucket(batch, 1):
+            if bucket != last and last is not None:
+                yield from tally.rows(last)
+            last = bucket
+            for k in keys(bucket, b.column(0)):
+                yield from tally.add(bucket, k)
+    if last is not None:
+        yield from tally.rows(last)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """All places from each first to its last, ``BLOCK`` at a time."""
+    ends = np.cumsum(last - first + 1)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
+        k = np.arange(a, min(a + BLOCK, int(ends[-1])))
+        run = np.searchsorted(ends, k, "right")
+        yield last[run] - (ends[run] - 1 - k)
+
+
+def bucketed(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """The documents, stored, with the number of their bucket as the last column, and how many buckets there are."""
+    (name,) = fresh(docs, "bucket")
+    columns = [*docs.columns, name]
+    out, k = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]), columns.index(text_col)
+
+    def number(batches):
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            ends = size + np.cumsum(np.diff(text_buffers(b.column(k))[1]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + np.append(size, ends[:-1])[: b.num_rows] // BUCKET_BYTES)], names=columns)
+            size = int(ends[-1]) if len(ends) else size
 
-def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """All places from each first to its last."""
-    size = last - first + 1
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    x = stored(docs.mapInArrow(number, out), "texts")
+    return x, x.select(name).distinct().count()
 
 
 def repeats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Callable]:
     """The stored documents with their bucket (last column), and a function that gives for a batch of one bucket its chunks with a mask of the bytes to be removed."""
-    (bucket_col,) = fresh(docs, "bucket")
-    x = stored(docs.withColumn(bucket_col, F.spark_partition_id()), "texts")
-    texts = x.select(text_col, bucket_col)
+    x, n_buckets = bucketed(docs, text_col)
+    texts = x.select(text_col, x.columns[-1])
+    parts = max(n_buckets, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    name, pair = "h long, bucket long, n long", "d1 long, d2 long, bucket long, n long"
 
     def name_phrases(batches):
-        for batch in batches:
-            for bucket, b in _by_bucket(batch, 1):
-                names = [p.names[p.is_phrase] for _, _, data, off in text_chunks(b.column(0)) for p in [Parse(data, off)]]
-                h, n = np.unique(np.concatenate(names) if names else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), bucket, np.int32)), pa.array(n)], names=["h", "bucket", "n"])
+        def keys(bucket, col):
+            for _, _, data, off in text_chunks(col, STEP_BYTES):
+                p = Parse(data, off)
+                yield [p.names[p.is_phrase]]
 
-    phrases_at = _put(repeated(texts.mapInArrow(name_phrases, "h long, bucket int, n long"), ["h"]), "phrases")
+        yield from tallied(["h"], batches, keys)
+
+    phrases_at = _put(repeated(texts.mapInArrow(name_phrases, name), ["h"], parts), "phrases", parts)
 
     def name_strings(batches):
         phrases = Phrases(phrases_at)
-        for batch in batches:
-            for bucket, b in _by_bucket(batch, 1):
-                found: dict[bytes, int] = {}
-                for _, _, data, off in text_chunks(b.column(0)):
-                    p, raw = Parse(data, off), data.tobytes()
-                    _, last, wider, _ = runs(p, phrases.counts(bucket, p))
-                    for s, e in zip(wider.tolist(), (last + LENGTH).tolist(), strict=True):
-                        d = digest(raw[s:e])
-                        found[d] = found.get(d, 0) + 1
-                if found:
-                    yield _digest_rows(found, bucket)
-
-    strings_at = _put(repeated(texts.mapInArrow(name_strings, "d1 long, d2 long, bucket int, n long"), ["d1", "d2"]), "strings")
-
-    def judged(b: pa.RecordBatch, k: int, bucket: int, phrases: Phrases, strings: Digests):
+
+        def keys(bucket, col):
+            for _, _, data, off in text_chunks(col, STEP_BYTES):
+                p = Parse(data, off)
+                _, last, wider, _ = runs(p, phrases.counts(bucket, p))
+                d = digests(data.tobytes(), wider, last + LENGTH)
+                yield [d[:, 0], d[:, 1]]
+
+        yield from tallied(["d1", "d2"], batches, keys)
+
+    strings_at = _put(repeated(texts.mapInArrow(name_strings, pair), ["d1", "d2"], parts), "strings", parts)
+
+    def judged(col: pa.Array, bucket: int, phrases: Phrases, strings: Digests):
         """Chunks with their runs, whether each run is repeated as a whole, and whether its suffixes are to be sorted."""
-        known = strings.known(bucket)
-        for lo, hi, data, off in text_chunks(b.column(k)):
+        for lo, hi, data, off in text_chunks(col, STEP_BYTES):
             p, raw = Parse(data, off), data.tobytes()
             first, last, wider, rarest = runs(p, phrases.counts(bucket, p))
-            c = [known.get(digest(raw[s:e]), (1, True)) for s, e in zip(wider.tolist(), (last + LENGTH).tolist(), strict=True)]
-            count, stands = np.array([v[0] for v in c], np.int64), np.array([v[1] for v in c], bool)
+            count, stands = strings.find(bucket, digests(raw, wider, last + LENGTH))
             yield lo, hi, data, raw, off, first, last, wider, count >= 2, (count < rarest) & stands
 
     def name_suffixes(batches):
         phrases, strings = Phrases(phrases_at), Digests(strings_at)
-        for batch in batches:
-            for bucket, b in _by_bucket(batch, 1):
-                found: dict[bytes, int] = {}
-                for _, _, data, raw, _, first, last, _, _, sort in judged(b, 0, bucket, phrases, strings):
-                    starts = _spread(first[sort], last[sort])
-                    if len(starts):
-                        digests, number = _suffix_groups(data, raw, starts)
-                        for d, n in zip(digests, np.bincount(number).tolist(), strict=True):
-                            found[d] = found.get(d, 0) + n
-                if found:
-                    yield _digest_rows(found, bucket)
-
-    suffixes_at = _put(repeated(texts.mapInArrow(name_suffixes, "d1 long, d2 long, bucket int, n long"), ["d1", "d2"]), "suffixes")
+
+        def keys(bucket, col):
+            for _, _, _, raw, _, first, last, _, _, sort in judged(col, bucket, phrases, strings):
+                for starts in _spread(first[sort], last[sort]):
+                    d = digests(raw, starts, starts + LENGTH)
+                    yield [d[:, 0], d[:, 1]]
+
+        yield from tallied(["d1", "d2"], batches, keys)
+
+    suffixes_at = _put(repeated(texts.mapInArrow(name_suffixes, pair), ["d1", "d2"], parts), "suffixes", parts)
 
     def marked(b: pa.RecordBatch, k: int, bucket: int, held: list):
         if not held:
             held += [Phrases(phrases_at), Digests(strings_at), Digests(suffixes_at)]
         phrases, strings, suffixes = held
-        known = suffixes.known(bucket)
-        for lo, hi, data, raw, off, first, last, wider, whole, sort in judged(b, k, bucket, phrases, strings):
-            cover = np.zeros(len(data) + 1, np.int64)
+        for lo, hi, data, raw, off, first, last, wider, whole, sort in judged(b.column(k), bucket, phrases, strings):
+            cover = np.zeros(len(data) + 1, np.int32)
             np.add.at(cover, wider[whole], 1)
             np.add.at(cover, last[whole] + LENGTH, -1)
-            starts = _spread(first[sort & ~whole], last[sort & ~whole])
-            if len(starts):
-                digests, number = _suffix_groups(data, raw, starts)
-                hit = starts[np.array([d in known for d in digests], bool)[number]]
+            own = sort & ~whole
+            for starts in _spread(first[own], last[own]):
+                hit = starts[suffixes.find(bucket, digests(raw, starts, starts + LENGTH))[0] >= 2]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + LENGTH, -1)
             yield lo, hi, data, off, np.cumsum(cover[:-1]) > 0
