@@ -9,8 +9,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from weftwork.llm import decontaminate, simhash, suffix_dedup
+from weftwork.llm import common, decontaminate, simhash, suffix_dedup
 
 
 def fingerprint(text):
@@ -58,6 +59,22 @@ def test_keep_first_keeps_one_of_each_component(docs):
     assert 4 in ids and 5 not in ids and 1 in ids and 2 not in ids and None in ids and 12 in ids
 
 
+def test_keep_first_judges_rows_not_ids(spark, prose):
+    a, b, c = prose(501, 40), prose(502, 40), prose(503, 40)
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, b), (None, c), (4, a), (4, a), (5, "lone words here"), (5, "lone words here")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "row long, text string").repartition(3), id_col="row")
+    assert sorted(((r["row"] is None, r["row"] or 0, r.text) for r in kept.collect())) == [(False, 1, a), (False, 2, b), (False, 5, "lone words here"), (True, 0, c)]
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    rows = spark.range(0, 30_000, numPartitions=8).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = common.join_split(rows, table, "k", "n")
+    assert got.count() == rows.where("k IS NOT NULL").count() and got.where("k = 7 AND low != 0 OR k != 7 AND low != id").count() == 0
+    at = got.select(F.spark_partition_id().alias("p"), "k").where("k = 7").groupBy("p").count().collect()
+    assert len(at) == 8 and max(r["count"] for r in at) < 2 * min(r["count"] for r in at)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.integers(0, 63), st.integers(0, 63)), max_size=60))
 def test_gray_index_finds_all_links(base, near):

@@ -10,10 +10,14 @@ large, and takes a whole group at once when the sum can't become too large.
 
 A shard returns links of a spanning forest, not pairs, so a large group of near copies makes as many
 rows as it has members. Components over all shards are joined by alternating star contraction.
+A fingerprint, vertex or component that holds a large share of all rows is joined through a small
+broadcast (``join_split``), so its rows are not brought together.
 
 Edge cases: a null, empty or wordless text has fingerprint zero, which links like any other; rows
-with the same doc_id are rows of their own; a null doc_id takes part, and a component's id is the
-smallest doc_id that is not null (null if all are).
+with the same doc_id are rows of their own, in the components of their own texts; a null doc_id takes
+part, and a component's id is the smallest doc_id that is not null (null if all are); a bit set in
+exactly half the shingles is zero; a very long text is hashed ``CHUNK_BYTES`` at a time with others or
+alone; an empty table gives an empty one; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fresh, schema_of, stored, text_chunks
+from weftwork.llm.common import arrow_rows, fresh, join_split, schema_of, stored, text_chunks
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-#: Distinct fingerprints that a shard holds, and the most shards whose upper nodes a task is given.
-SHARD_ROWS, MOST_SHARDS = 2048, 65536
+#: Distinct fingerprints that a shard holds, and the most shards whose upper nodes a task is given. From a
+#: thousand million fingerprints on shards grow instead of their number; results are the same, and a shard of a
+#: million (some 65 thousand million fingerprints) takes 8 MB and its visitors about as much for each bit of MAX_BITS.
+SHARD_ROWS, MOST_SHARDS = 1 << 14, 1 << 16
 FANOUT = 8
 #: Search states (query, node) that are held at a time.
 FRONTIER = 1 << 18
@@ -245,22 +252,27 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
 def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, most_rounds: int = 60) -> DataFrame:
     """(vertex, root) of every vertex in a link: alternating large-star and small-star rounds until nothing changes.
 
-    Minima are aggregated before they are shuffled, so a vertex with very many links costs no task more.
+    Minima are aggregated before they are shuffled and then joined by ``join_split``, so the links of a
+    vertex that has very many stay where they are.
     """
+
     def tally(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
+    def lowest(e: DataFrame) -> DataFrame:
+        return e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
     edges = keep(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = tally(edges)
     for _ in range(most_rounds if state[0] else 0):
         # large star: each vertex ties its larger neighbours to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = lowest(both).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_split(both, low, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each vertex ties its smaller neighbours and itself to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = lowest(large)
+        small = join_split(large, low, "a", "n", 2 * state[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = keep(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links")
         now = tally(edges)
         if now == state:
@@ -271,23 +283,44 @@ def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
 
 
+def _classes(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """(fingerprint, n, best) from stored (fingerprint, n, low): the smallest ``low`` of the fingerprint's component."""
+    roots = components(hamming_links(distinct, max_bits))
+    own = distinct.join(roots.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "low", "n")
+    own = stored(own, "roots")
+    best = own.groupBy("root").agg(F.min("low").alias("best"), F.count("*").alias("members"))
+    return join_split(own, best, "root", "members").select("fingerprint", "n", "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id."""
     (cid,) = fresh(docs.select(id_col), "component_id")
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints").withColumnRenamed(id_col, "id")
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("low")), "distinct")
-    roots = components(hamming_links(distinct, max_bits))
-    own = distinct.join(roots.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "low")
-    classes = own.groupBy("root").agg(F.min("low").alias(cid))
-    of = own.join(classes, "root").select("fingerprint", cid)
-    return prints.join(of, "fingerprint").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), cid)
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
+    found = join_split(prints, stored(_classes(distinct, max_bits), "classes"), "fingerprint", "n")
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("best").alias(cid))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with one of each component left, that of the smallest id; a null id stays.
+    """The documents with one row of each component left: that of the smallest id, and of rows with that id the first that was read.
 
-    Rows that repeat an id with the same text are one document.
+    Rows are judged, not ids: an id that repeats with another text stays with that text, unless a row
+    before it stands for it. A null id is above all others. The texts are stored once with the number of
+    their row; what is joined with them is the numbers of the rows that go.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    row, mark = fresh(docs, "row", "fingerprint")
+    columns, k = docs.columns, docs.columns.index(text_col)
+    out = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), T.StructField(mark, T.LongType())])
+
+    def number(batches):
+        at = TaskContext.get().partitionId() << 36
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + b.num_rows)), pa.array(text_fingerprints(b.column(k)).view(np.int64))], names=[*columns, row, mark])
+            at += b.num_rows
+
+    x = stored(docs.mapInArrow(number, out), "rows")
+    rows = x.select(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row)).alias("own"), F.col(mark).alias("fingerprint"))
+    distinct = stored(rows.groupBy("fingerprint").agg(F.min("own").alias("low"), F.count("*").alias("n")), "distinct")
+    found = join_split(rows, stored(_classes(distinct, max_bits), "classes"), "fingerprint", "n")
+    gone = found.where(F.col(f"own.{row}") != F.col(f"best.{row}")).select(F.col(f"own.{row}").alias(row))
+    return x.join(gone, row, "left_anti").select(*columns)
