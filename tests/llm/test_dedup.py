@@ -229,6 +229,16 @@ def test_decontamination_matches_brute_force(docs, corpus, benchmark, block):
     assert kept.columns == docs.columns and kept.count() == sum(not w[4] for w in want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=25), min_size=1, max_size=6), st.integers(2, 12))
+def test_suffix_array_is_in_order(texts, depth):
+    seq = np.array([x for t in texts for x in [*t, 0]], np.int32)
+    at = np.flatnonzero(seq)
+    got = decontaminate.suffix_array(seq, at, depth).tolist()
+    suffix = lambda p: [*seq[p : p + depth].tolist(), 0][: ([*seq[p : p + depth].tolist(), 0]).index(0)]
+    assert sorted(got) == at.tolist() and all(suffix(p) <= suffix(q) for p, q in zip(got[:-1], got[1:], strict=True))
+
+
 def test_longest_matches(docs, corpus, benchmark):
     rows, table = benchmark
     got = {(r.doc_id, r.item, r.doc_start, r.item_start, r.n_words) for r in decontaminate.find_matches(docs, table).collect()}

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftwork.llm import bradley_terry, brown_lm, language_id, pieces, quality_rules, toxicity, warc
+from weftwork.llm.common import shared_dir
 from weftwork.llm.linear import bounded_sample
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -328,7 +329,7 @@ def test_archives_read_back(pages):
 def test_lookup_finds_all_captures(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 4)
     rows, table = pages
-    folder = warc.shared_dir(spark) + "/warc-test"
+    folder = shared_dir(spark) + "/warc-test"
     captures = warc.write_archives(table, folder)
     index = warc.write_index(captures, folder, block_lines=4)
     want = [k for k in {warc.surt(u) for _, u, _ in rows}] + ["no,such)/", ""]
@@ -346,7 +347,7 @@ def test_empty_pages(pages):
 
 def test_small_payloads_are_responses(spark, pages):
     rows, table = pages
-    folder = warc.shared_dir(spark) + "/warc-small"
+    folder = shared_dir(spark) + "/warc-small"
     captures = warc.write_archives(table, folder, min_revisit_bytes=5)
     kinds = {r.page_id: r.record_type for r in warc.read_records(captures, folder).collect()}
     assert kinds[9] == kinds[7] == "response" and kinds[103] == "revisit"

@@ -1,18 +1,22 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every task takes a run of documents as one shard. The words of the shard become integers, and its
-suffixes are ordered by their first words: a word-level suffix array whose order goes as deep as a
-window. Each window of each benchmark item is found in it by binary search, and the words of all windows
-found are marked, which are those of all longer matches too. Only ``find_matches`` follows a match word by
-word to its full length; ``summary`` and ``decontaminate`` have no need of that. Documents never leave their task, so there is no shuffle, and a
-document in which a passage is common costs no other task anything.
-
-The benchmark goes to the executors as broadcast blocks of at most ``block_bytes`` of text; more
-text means more blocks, each searched in a further pass over the documents with the hits so far
-carried along, so no broadcast grows with the benchmark.
+Every task cuts its documents into shards of about ``CHUNK_BYTES`` and builds the word-level suffix array
+of each: all words of the shard become numbers, documents are set apart by a number that no word has,
+and all suffixes are put in order by repeated doubling, as deep as a window or deeper. Every suffix of
+every benchmark item is then looked up by binary search: the suffixes of the shard that begin with its
+first ``window`` words lie side by side, and their words are hit. ``find_matches`` follows each of them
+word by word to its full length; ``summary`` and ``decontaminate`` mark the words alone, which are the
+same. Word numbers come from 64-bit hashes; what is found is compared byte by byte.
+
+Documents never leave their task, so there is no shuffle, and a document in which a passage is common
+costs no other task anything. The benchmark is stored once in the shared folder; tasks read it from there
+in blocks of ``block_bytes`` of text and look each block up in all shards that they hold, so neither a
+broadcast nor a task grows with the benchmark. A worker keeps the block that it met last.
 
 Edge cases: a null or empty text has no words; an item without words, or with a null id, is never
-found; rows with the same doc_id are judged one by one; items that share an id count once.
+found; an item of fewer words than a window is looked up as a whole; rows with the same doc_id are
+judged one by one; items that share an id count once; a very long text is a shard of its own; an empty
+table gives an empty one, and without items nothing is hit; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,21 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import ALNUM, LOWER, arrow_rows, fresh, schema_of, text_chunks, word_spans
+from weftwork.llm.common import ALNUM, LOWER, arrow_rows, file_system, fresh, schema_of, shared_path, text_chunks, word_spans
 
 WINDOW = 10
-#: Text of one broadcast block of the benchmark.
-BLOCK_BYTES = 4 << 20
-
-
-def _byte_keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort as the rows do."""
-    flat = np.ascontiguousarray(rows.astype(">u4"))
-    return flat.view(f"S{flat.shape[1] * 4}").ravel()
+#: Text of one block of the benchmark, and the shards that a task holds against a block.
+BLOCK_BYTES, MOST_SHARDS = 4 << 20, 8
 
 
 class WordTable:
@@ -66,11 +66,80 @@ class WordTable:
         return h ^ (h >> np.uint64(31)) ^ ((ends - starts).astype(np.uint64) << np.uint64(1))
 
 
+def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places ``at``, ordered by the numbers (0 or more) that follow in ``seq``, ``depth`` of them at least.
+
+    Each round doubles the depth and orders only those that are still equal; a rank is the number of the
+    first of its equals.
+    """
+    n = len(seq)
+    reach = 2
+    rank = np.zeros(n + 2 * depth + 2, np.int64)
+    rank[:n] = seq
+    key = rank[at] * (int(seq.max(initial=0)) + 1) + rank[at + 1]
+    order = np.argsort(key, kind="stable")
+    array, key = at[order], key[order]
+    while len(array):
+        new = np.ones(len(array), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+        rank[:] = 0
+        rank[array] = first
+        open_ = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if reach >= depth or not len(open_):
+            break
+        places = array[open_]
+        after = rank[np.minimum(places + reach, len(rank) - 1)]
+        order = np.lexsort((after, first[open_]))
+        array[open_] = places[order]
+        key = first * (len(array) + 2)
+        key[open_] += after[order]
+        reach *= 2
+    return array
+
+
+class Shard:
+    """A run of documents with its suffix array."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, depth: int) -> None:
+        self.data = LOWER[data]
+        self.starts, self.ends, self.first = word_spans(self.data, off, ALNUM)
+        h = _TABLE.of(self.data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.words, number = np.unique(h, return_inverse=True)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
+        #: Word numbers from 1, with a 0 after each document, and at the end as many as a comparison may read.
+        self.place = np.arange(len(h)) + doc
+        self.seq = np.zeros(len(h) + len(off) + depth, np.int32)
+        self.seq[self.place] = number + 1
+        self.array = suffix_array(self.seq, self.place, depth)
+        self.word = np.zeros(len(self.seq), np.int64)
+        self.word[self.place] = np.arange(len(h))
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers of hashes, 0 for words that are not in the shard."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int32)
+        i = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[i] == hashes, i + 1, 0).astype(np.int32)
+
+    def bound(self, wanted: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
+        """For rows of word numbers: the first suffix that is not less than the row's first ``length`` words, or (``after``) that is greater."""
+        lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(self.array))
+        inside = np.arange(wanted.shape[1]) < length[:, None]
+        while (live := np.flatnonzero(lo < hi)).size:
+            mid = (lo[live] + hi[live]) // 2
+            d = self.seq[self.array[mid][:, None] + np.arange(wanted.shape[1])] - wanted[live]
+            d[~inside[live]] = 0
+            d = d[np.arange(len(live)), np.argmax(d != 0, axis=1)]  # the first difference, or 0
+            right = d <= 0 if after else d < 0
+            lo[live[right]], hi[live[~right]] = mid[right] + 1, mid[~right]
+        return lo
+
+
 class Benchmark:
-    """One block of the benchmark: its word numbers, windows and the words themselves."""
+    """One block of the benchmark: its words and the first words of its suffixes."""
 
     def __init__(self, ids: list, texts: list[str], window: int) -> None:
-        self.window, self.table = window, WordTable()
         words: list[list[bytes]] = []
         for t in texts:
             data = LOWER[np.frombuffer(t.encode(), np.uint8)]
@@ -79,166 +148,165 @@ class Benchmark:
             words.append([raw[a:b] for a, b in zip(s, e, strict=True)])
         kept = [(i, w) for i, w in zip(ids, words, strict=True) if w and i is not None]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
-        vocabulary = sorted({x for w in self.words for x in w})
-        joined = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(x) for x in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if vocabulary else ends
-        found = self.table.of(joined, starts, ends) if vocabulary else np.zeros(0, np.uint64)
-        order = np.argsort(found, kind="stable")
-        self.hashes = found[order]
-        number = np.searchsorted(self.hashes, found) + 1  # words whose fingerprints are equal share a number; matches are checked on bytes
-        of = {w: int(n) for w, n in zip(vocabulary, number, strict=True)}
-        self.shortest = min([window, *(len(w) for w in self.words)])
-        rows, self.item, self.at, self.length = [], [], [], []
-        for i, w in enumerate(self.words):
-            n, size = [of[x] for x in w], min(window, len(w))
-            for j in range(len(w) - size + 1):
-                rows.append(n[j : j + size] + [0] * (window - size))
-                self.item.append(i)
-                self.at.append(j)
-                self.length.append(size)
-        rows = np.array(rows, np.uint32).reshape(-1, window)
-        self.item, self.at, self.length = (np.array(x, np.int64) for x in (self.item, self.at, self.length))
-        past = np.where(np.arange(window) < self.length[:, None], rows, np.uint32(0xFFFFFFFF)) if len(rows) else rows
-        # a shorter item matches every suffix that begins with it: from its words and lowest numbers to its words and highest
-        self.low, self.high = _byte_keys(rows), _byte_keys(past)
-
-    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Benchmark word numbers, 0 for any other word."""
-        if not len(self.hashes):
-            return np.zeros(len(starts), np.uint32)
-        h = self.table.of(data, starts, ends)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, i + 1, 0).astype(np.uint32)
-
-
-def shard_matches(b: Benchmark, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word position) pairs: where in the shard each benchmark window occurs.
-
-    Suffixes that cannot begin a window, as a word among their first ``shortest`` is in no item or
-    the document ends, are left out before sorting.
-    """
+        number: dict[bytes, int] = {}
+        flat = [number.setdefault(x, len(number)) for w in self.words for x in w]
+        ends = np.cumsum([len(x) for x in number], dtype=np.int64)
+        self.hashes = _TABLE.of(np.frombuffer(b"".join(number), np.uint8), np.append(0, ends[:-1]), ends) if number else np.zeros(0, np.uint64)
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        size = np.minimum(window, sizes)
+        per = sizes - size + 1
+        self.item = np.repeat(np.arange(len(sizes)), per)
+        self.at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        self.length = size[self.item]
+        begin = (np.cumsum(sizes) - sizes)[self.item] + self.at
+        self.rows = np.append(np.array(flat, np.int64), np.zeros(window, np.int64))[begin[:, None] + np.arange(window)]
+
+
+_TABLE = WordTable()
+
+
+def shard_matches(b: Benchmark, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix of the benchmark, word of the shard) pairs: where the first words of each suffix occur."""
     none = np.zeros(0, np.int64)
-    if not len(b.item) or not len(starts):
+    if not len(b.item) or not len(shard.array):
         return none, none
-    n = b.numbers(data, starts, ends)
-    stop = np.zeros(len(n) + 1, bool)
-    stop[:-1] = n == 0
-    stop[first] = True  # a new document stops a run too
-    stops = np.flatnonzero(stop)
-    here = np.flatnonzero(n)
-    left = stops[np.searchsorted(stops, here, "right")] - here  # words to the next stop; a document's first word is no stop for itself
-    here, left = here[left >= b.shortest], left[left >= b.shortest]
-    if not len(here):
+    wanted = shard.numbers(b.hashes)[b.rows]
+    # a suffix is looked up if the shard has all its words
+    w = np.flatnonzero(((wanted > 0) | (np.arange(wanted.shape[1]) >= b.length[:, None])).all(axis=1))
+    if not len(w):
         return none, none
-    window = b.window
-    padded = np.concatenate([n, np.zeros(window, np.uint32)])
-    rows = padded[here[:, None] + np.arange(window)]
-    rows[np.arange(window) >= left[:, None]] = 0
-    keys = _byte_keys(rows)
-    array = np.argsort(keys, kind="stable")
-    ordered = keys[array]
-    lo, hi = np.searchsorted(ordered, b.low, "left"), np.searchsorted(ordered, b.high, "right")
+    wanted, length = wanted[w], b.length[w]
+    lo = shard.bound(wanted, length, False)
+    hi = shard.bound(wanted, length, True)
     many = hi - lo
-    which = np.repeat(np.arange(len(lo)), many)
-    at = here[array[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]]
+    which = np.repeat(w, many)
+    at = shard.word[shard.array[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
     if not len(which):
         return none, none
-    raw = data.tobytes()
+    raw, starts, ends = shard.data.tobytes(), shard.starts, shard.ends
     good = np.fromiter((all(raw[starts[p + k] : ends[p + k]] == x for k, x in enumerate(b.words[b.item[w]][b.at[w] : b.at[w] + b.length[w]])) for w, p in zip(which, at, strict=True)), bool, len(which))
     return which[good], at[good]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """The items in blocks of at most ``block_bytes`` (an item alone may be longer), streamed to the driver one by one."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
-        n = len(r[1].encode())
-        if ids and size + n > block_bytes:
+class Blocks:
+    """The stored benchmark, block by block (an item alone may be longer than a block); the block read last is kept."""
+
+    last: tuple = (None, None)
+
+    def __init__(self, folder: str, window: int, block_bytes: int) -> None:
+        self.folder, self.window, self.block_bytes = folder, window, block_bytes
+
+    def rows(self) -> Iterator[tuple[list, list[str]]]:
+        fs, root = file_system(self.folder)
+        ids, texts, size = [], [], 0
+        for f in sorted(fs.get_file_info(pa.fs.FileSelector(root)), key=lambda f: f.path):
+            if not f.path.endswith(".parquet"):
+                continue
+            for batch in pq.ParquetFile(fs.open_input_file(f.path)).iter_batches(256):
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    n = len(t.encode())
+                    if ids and size + n > self.block_bytes:
+                        yield ids, texts
+                        ids, texts, size = [], [], 0
+                    ids.append(i)
+                    texts.append(t)
+                    size += n
+        if ids:
             yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r[0])
-        texts.append(r[1])
-        size += n
-    yield ids, texts
-
 
-def _lower_words(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def __iter__(self) -> Iterator[Benchmark]:
+        """A benchmark of one block is read once by a worker; of a larger one, each time anew."""
+        if Blocks.last[0] == self.folder:
+            yield Blocks.last[1]
+            return
+        n = 0
+        for n, (ids, texts) in enumerate(self.rows(), 1):  # noqa: B007
+            b = Benchmark(ids, texts, self.window)
+            yield b
+        if n == 1:
+            Blocks.last = (self.folder, b)
+
+
+def _kept(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Blocks:
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    path = shared_path(benchmark.sparkSession, "benchmark")
+    items.write.parquet(path)
+    return Blocks(path, window, block_bytes)
+
+
+def shards(col: pa.Array, window: int) -> Iterator[list[tuple[int, int, Shard]]]:
+    """Shards of a batch of texts, ``MOST_SHARDS`` at a time, so that a block is read once for them all."""
+    held = []
     for lo, hi, data, off in text_chunks(col):
-        data = LOWER[data]
-        yield lo, hi, data, *word_spans(data, off, ALNUM)
+        held.append((lo, hi, Shard(data, off, window)))
+        if len(held) == MOST_SHARDS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches: (document, item, first word in either, words), one row for each match that can't be longer."""
     out = T.StructType([*schema_of(docs, id_col), T.StructField("item", benchmark.schema[item_col].dataType), T.StructField("doc_start", T.LongType()), T.StructField("item_start", T.LongType()), T.StructField("n_words", T.LongType())])
-    found = None
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def search(batches, held=held):
-            b = Benchmark(*held.value, window)
-            for batch in batches:
-                for lo, _, data, starts, ends, first in _lower_words(batch.column(1)):
-                    raw = data.tobytes()
-                    row = {k: [] for k in ("doc", "item", "doc_start", "item_start", "n_words")}
-                    which, at = shard_matches(b, data, starts, ends, first)
-                    doc = np.searchsorted(first, at, "right") - 1
-                    seen = set(zip(b.item[which].tolist(), b.at[which].tolist(), at.tolist(), strict=True))
-                    for w, p, d in zip(which.tolist(), at.tolist(), doc.tolist(), strict=True):
-                        item, j = int(b.item[w]), int(b.at[w])
-                        if (item, j - 1, p - 1) in seen and p > first[d]:
-                            continue  # the match that begins a word earlier has it
-                        words, k = b.words[item], int(b.length[w])
-                        while j + k < len(words) and p + k < first[d + 1] and raw[starts[p + k] : ends[p + k]] == words[j + k]:
-                            k += 1
-                        for name, v in zip(row, (lo + d, b.ids[item], p - first[d], j, k), strict=True):
-                            row[name].append(v)
-                    if row["doc"]:
-                        yield arrow_rows({id_col: batch.column(0).take(pa.array(row.pop("doc"))), **row}, out)
-
-        part = docs.select(id_col, text_col).mapInArrow(search, out)
-        found = part if found is None else found.unionByName(part)
-    return found
+    blocks = _kept(benchmark, item_col, item_text_col, window, block_bytes)
+
+    def search(batches):
+        for batch in batches:
+            for held in shards(batch.column(1), window):
+                for b in blocks:
+                    for lo, _, shard in held:
+                        row = _longest(b, shard)
+                        if row["doc"]:
+                            yield arrow_rows({id_col: batch.column(0).take(pa.array([lo + d for d in row.pop("doc")])), **row}, out)
+
+    def _longest(b: Benchmark, shard: Shard) -> dict[str, list]:
+        raw, starts, ends, first = shard.data.tobytes(), shard.starts, shard.ends, shard.first
+        row = {k: [] for k in ("doc", "item", "doc_start", "item_start", "n_words")}
+        which, at = shard_matches(b, shard)
+        doc = np.searchsorted(first, at, "right") - 1
+        seen = set(zip(b.item[which].tolist(), b.at[which].tolist(), at.tolist(), strict=True))
+        for w, p, d in zip(which.tolist(), at.tolist(), doc.tolist(), strict=True):
+            item, j = int(b.item[w]), int(b.at[w])
+            if (item, j - 1, p - 1) in seen and p > first[d]:
+                continue  # the match that begins a word earlier has it
+            words, k = b.words[item], int(b.length[w])
+            while j + k < len(words) and p + k < first[d + 1] and raw[starts[p + k] : ends[p + k]] == words[j + k]:
+                k += 1
+            for name, v in zip(row, (d, b.ids[item], p - first[d], j, k), strict=True):
+                row[name].append(v)
+        return row
+
+    return docs.select(id_col, text_col).mapInArrow(search, out)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """The documents with all their columns, their number of words, the words hit and the items found; and these columns' names."""
     names = dict(zip(("n_words", "hit", "items"), fresh(docs, "n_words", "hit_words", "items"), strict=True))
     out = T.StructType([*docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["hit"], T.BinaryType()), T.StructField(names["items"], T.ArrayType(T.StringType()))])
-    marked, columns = docs, docs.columns
-    for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        held = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def search(batches, held=held, k=k):
-            b = Benchmark(*held.value, window)
-            for batch in batches:
-                words, hits, items = [], [], []
-                for lo, hi, data, starts, ends, first in _lower_words(batch.column(batch.schema.names.index(text_col))):
-                    which, at = shard_matches(b, data, starts, ends, first)
-                    hit = np.zeros(len(starts) + 1, np.int64)
-                    np.add.at(hit, at, 1)
-                    np.add.at(hit, at + b.length[which], -1)
-                    hit = np.cumsum(hit)[:-1] > 0
-                    by_doc: dict[int, set] = {}
-                    for d, w in zip((np.searchsorted(first, at, "right") - 1).tolist(), b.item[which].tolist(), strict=True):
-                        by_doc.setdefault(d, set()).add(str(b.ids[w]))
-                    for d in range(hi - lo):
-                        own = hit[first[d] : first[d + 1]]
-                        hits.append(np.packbits(own).tobytes() if own.any() else b"")
-                        items.append(sorted(by_doc.get(d, ())))
-                    words += np.diff(first).tolist()
-                if k:  # what earlier blocks found
-                    for d, (old, more) in enumerate(zip(batch.column(names["hit"]).to_pylist(), batch.column(names["items"]).to_pylist(), strict=True)):
-                        if old and hits[d]:
-                            hits[d] = np.bitwise_or(np.frombuffer(old, np.uint8), np.frombuffer(hits[d], np.uint8)).tobytes()
-                        hits[d] = hits[d] or old
-                        items[d] = sorted({*items[d], *more})
-                own = {f: batch.column(f) for f in columns}
-                yield arrow_rows(own | {names["n_words"]: words, names["hit"]: hits, names["items"]: items}, out)
-
-        marked = marked.mapInArrow(search, out)
-    return marked, names
+    columns, k = docs.columns, docs.columns.index(text_col)
+    blocks = _kept(benchmark, item_col, item_text_col, window, block_bytes)
+
+    def search(batches):
+        for batch in batches:
+            for held in shards(batch.column(k), window):
+                hit = [np.zeros(len(s.starts) + 1, bool) for _, _, s in held]
+                items: list[dict[int, set]] = [{} for _ in held]
+                for b in blocks:
+                    for (_, _, s), h, found in zip(held, hit, items, strict=True):
+                        which, at = shard_matches(b, s)
+                        deep = np.zeros(len(h), np.int64)
+                        np.add.at(deep, at, 1)
+                        np.add.at(deep, at + b.length[which], -1)
+                        h |= np.cumsum(deep) > 0
+                        for d, w in zip((np.searchsorted(s.first, at, "right") - 1).tolist(), b.item[which].tolist(), strict=True):
+                            found.setdefault(d, set()).add(str(b.ids[w]))
+                for (lo, hi, s), h, found in zip(held, hit, items, strict=True):
+                    own = {c: batch.column(i).slice(lo, hi - lo) for i, c in enumerate(columns)}
+                    bits = [np.packbits(x).tobytes() if (x := h[s.first[d] : s.first[d + 1]]).any() else b"" for d in range(hi - lo)]
+                    yield arrow_rows(own | {names["n_words"]: pa.array(np.diff(s.first)), names["hit"]: bits, names["items"]: [sorted(found.get(d, ())) for d in range(hi - lo)]}, out)
+
+    return docs.mapInArrow(search, out), names
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -44,9 +44,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fresh, schema_of, shared_path, stored, text_buffers, text_chunks
+from weftwork.llm.common import arrow_rows, file_system, fresh, schema_of, shared_path, stored, text_buffers, text_chunks
 from weftwork.llm.decontaminate import WordTable
-from weftwork.llm.warc import file_system
 
 LENGTH = 400
 TRIGGER_BYTES = 16

@@ -16,7 +16,10 @@ attempts alone.
 
 Edge cases: a null payload is empty; a null url has the key ``-`` and no target field; a null page_id
 is written as ``-`` and read as null, and is never the smallest; rows that share the smallest
-page_id of a payload are all responses; an empty table makes no archive.
+page_id of a payload are all responses; page ids are whole numbers, or text that is one (other ids are an
+error); a very long payload is one record, held whole while it is written or read; captures with the same
+key are in the order of their page_id; a payload that very many pages have is joined where its rows lie; an
+empty table makes no archive and gives an empty one; columns beside the three that are named are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import shared_dir
+from weftwork.llm.common import file_system, join_split, shared_path
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,18 +51,13 @@ GZIP_LEVEL = 4
 MIN_REVISIT_BYTES = 0
 #: Gap between two ranges of a file up to which they are read at once, and the most that is read at once.
 READ_GAP, READ_MOST = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads; a row of places is far smaller than what it names, so Spark can't size such tasks itself.
+READ_TASK = 32 << 20
 
 
 CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def file_system(at: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a folder named as Spark names it, and the folder's path in it."""
-    if re.match(r"^(file:|/)", at):
-        return pa.fs.LocalFileSystem(), re.sub(r"^file:/*", "/", at)
-    return pa.fs.FileSystem.from_uri(at)
-
-
 def surt(url: str | None) -> str:
     """Sort key of a URL: host labels reversed, scheme, user, fragment and default port left out."""
     if not url:
@@ -123,8 +121,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     sums = p.select("page_id", F.sha1("html").alias("sum"), F.octet_length("html").alias("size")).where(f"size >= {int(min_revisit_bytes)}")
-    first = sums.groupBy("sum").agg(F.min("page_id").alias("first"))
-    again = sums.join(first, "sum").where("NOT page_id <=> first").select(F.col("page_id").alias("id"), F.col("sum").alias("id_sum"), "first").distinct()
+    first = sums.groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    again = join_split(sums, first, "sum", "n").where("NOT page_id <=> first").select(F.col("page_id").alias("id"), F.col("sum").alias("id_sum"), "first").distinct()
     marked = p.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1("html") == F.col("id_sum")), "left").select("page_id", "url", "html", "first", F.col("id_sum").isNotNull().alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +247,15 @@ def lookup(keys: DataFrame, tops: list[tuple[str, str, str]], folder: str, key_c
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
     routed = keys.select(F.col(key_col).alias("key")).where("key IS NOT NULL").distinct().mapInArrow(route, "key string, index_file string")
-    return routed.repartitionByRange("index_file", "key").sortWithinPartitions("index_file", "key").mapInArrow(search, "key string, page_id long, file string, offset long, length long")
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, len(tops))
+    return routed.repartitionByRange(parts, "index_file", "key").sortWithinPartitions("index_file", "key").mapInArrow(search, "key string, page_id long, file string, offset long, length long")
 
 
-def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of captures, read by byte ranges; ranges that lie near each other are read at once."""
+def read_records(captures: DataFrame, folder: str, payloads: bool = True, total: int | None = None) -> DataFrame:
+    """The records of captures, read by byte ranges; ranges that lie near each other are read at once.
+
+    total: bytes of the records, if known; else they are summed first.
+    """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
     fields = [f for f in fields if payloads or f[0] != "payload"]
 
@@ -283,13 +285,17 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in fields], names=[c for c, _ in fields])
 
     ddl = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    ordered = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spark = captures.sparkSession
+    if total is None:
+        total = captures.agg(F.sum("length")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // READ_TASK))
+    ordered = captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, ", ".join(f"{c} {ddl[t]}" for c, t in fields))
 
 
 def archive(spark: SparkSession, pages: DataFrame, **columns) -> tuple[DataFrame, list, str]:
     """Writes pages and their index; captures, keys of the index files, and the folder."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "warc")
     captures = write_archives(pages, folder, **columns)
     return captures, write_index(captures, folder), folder
 
@@ -299,4 +305,4 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     spark = pages.sparkSession
     captures, index, folder = archive(spark, pages, **columns)
     found = lookup(captures, index, folder)
-    return read_records(found, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(found, folder, payloads=False, total=captures.agg(F.sum("length")).first()[0] or 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
