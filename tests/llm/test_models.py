@@ -144,6 +144,45 @@ def test_toxicity_of_held_out_texts(labelled):
     assert got[902].toxic and not got[901].toxic and not got[900].toxic
 
 
+def test_out_of_fold_inputs_have_not_seen_their_label(spark):
+    """Every document has a word of its own and a random label: only a leak could tell the labels."""
+    rng = random.Random(2)
+    rows = [(i, f"own{i} shared other{i}", "en", int(rng.random() < 0.5)) for i in range(600)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    chosen, chain, names = toxicity.fit(t.drop("toxic"), t.select("doc_id", "toxic"), F.lit(True))
+    assert names == ["toxic_en", "toxic"] and chain.unseen.shape == (600, 2)
+    got = toxicity.fit(t.drop("toxic").withColumn("text", F.concat("text", F.lit(" telling"))), t.select("doc_id", "toxic"), F.lit(True))
+    assert abs(float(np.corrcoef(chain.unseen[:, 0], chain.unseen[:, 1])[0, 1])) <= 1 and len(got[2]) == 2
+    assert chain.unseen.std(axis=0).max() < 0.1
+
+
+def test_features_of_each_fold_match_a_recount(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        bad = rng.random() < 0.4
+        rows.append((" ".join(rng.choice(["red", "blue", "vile", "foul"] if bad else ["red", "blue", "calm"]) + rng.choice(["", "x", "y"]) for _ in range(4)), int(bad), i % toxicity.FOLDS))
+    got = toxicity._choose(spark.createDataFrame(rows, "text string, label int, part int").repartition(3), 6)
+
+    def want(k):
+        inside = [r for r in rows if r[2] != k]
+        seen = collections.defaultdict(lambda: [0, 0])
+        for text, label, _ in inside:
+            data = np.frombuffer(text.encode(), np.uint8)
+            for key in set(toxicity.keys(data, np.array([0, len(data)]))[1].tolist()):
+                seen[key][label] += 1
+        n_bad = sum(r[1] for r in inside)
+        z = {}
+        for key, (good, bad) in seen.items():
+            if bad >= toxicity.LEAST_DOCS:
+                lift = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (len(inside) - n_bad + 1))
+                z[key] = lift / math.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        signed = lambda key: key - 2**64 if key >= 2**63 else key
+        return sorted(sorted((k for k, v in z.items() if v >= toxicity.LEAST_Z), key=lambda k: (-z[k], signed(k)))[:6])
+
+    assert [g.tolist() for g in got] == [want(k) for k in (None, *range(toxicity.FOLDS))]
+
+
 def test_toxicity_with_nothing_to_learn(labelled):
     _, docs, labels, _ = labelled
     assert {r.score for r in toxicity.held_out_toxicity(docs, labels.limit(0)).collect()} == {0.0}
