@@ -211,21 +211,60 @@ def test_base_scores_match_brute_force(docs, corpus, monkeypatch, head):
     assert got == want
 
 
-def test_class_scores_do_not_depend_on_the_head(docs, monkeypatch):
-    """Exact counts reach every token on either way: through the broadcast head or through the join."""
-    a = {(r.doc_id, r.n_tokens): r.score for r in brown_lm.scored(docs).collect()}
-    monkeypatch.setattr(brown_lm, "HEAD_WORDS", brown_lm.UNIT_WORDS // 3)
-    least = min(a.values())
-    b = {(r.doc_id, r.n_tokens): r.score for r in brown_lm.scored(docs).collect()}
-    assert a.keys() == b.keys() and all(math.isfinite(x) and x < 0 for x in b.values()) and min(b.values()) < least * 0.8
+@pytest.mark.parametrize("head", [brown_lm.HEAD_WORDS, 100])
+def test_scores_match_a_recount(spark, prose, monkeypatch, head):
+    """From the classes that were found: class bigrams, emissions and each text's probability by their definitions."""
+    monkeypatch.setattr(brown_lm, "HEAD_WORDS", head)
+    found = {}
+    rounds, far = brown_lm.exchange_rounds, brown_lm.far_classes
+    monkeypatch.setattr(brown_lm, "exchange_rounds", lambda *a, **k: found.setdefault("rounds", rounds(*a, **k)))
+    monkeypatch.setattr(brown_lm, "far_classes", lambda *a, **k: found.setdefault("far", far(*a, **k)))
+    texts = {i: prose(2000 + i, 5 + i % 60) + f" rare{i} Rare{i // 2}" for i in range(120)} | {500: None, 501: ""}
+    got = {r.doc_id: r.score for r in brown_lm.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    token = lambda t: (t or "").encode().lower().split()
+    learnt = [token(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(x for t in learnt for x in t)
+    of, far = found["rounds"][0], {r.word.encode(): r["class"] for r in found["far"].collect()}
+    size = len(of) - brown_lm.ENDINGS - 1
+    assert size <= head and (head == 100 or size == len(c)) and bool(far) == (head == 100)
+    ranked = sorted(c, key=lambda w: (-c[w], w.decode()))[:size]
+    number = {w: int(of[k]) for k, w in enumerate(ranked)} | far
+    last, k = brown_lm.CLASSES - 1, brown_lm.CLASSES
+    cls = lambda w: number.get(w, int(of[size + brown_lm.ending(w)]))
+    path = lambda t: [last, *map(cls, t), last]
+    bigrams = collections.Counter(p for t in learnt for p in zip(path(t), path(t)[1:], strict=False))
+    after, before = collections.Counter(), collections.Counter()
+    for (x, y), n in bigrams.items():
+        before[x] += n
+        after[y] += n
+    tokens, kinds = collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        tokens[cls(w)] += n
+        kinds[cls(w)] += 1
+    tokens[last], kinds[last] = len(learnt), 1
+    prior = lambda y: (after[y] + 1) / (sum(after.values()) + k)
+    a, e = brown_lm.TRANSITION_PRIOR, brown_lm.EMISSION_PRIOR
+    for i, t in texts.items():
+        p, words = path(token(t)), [*token(t), None]
+        want = sum(math.log10((bigrams[x, y] + a * prior(y)) / (before[x] + a)) + math.log10(((len(learnt) if w is None else c[w]) + e) / (tokens[y] + e * (kinds[y] + 1))) for x, y, w in zip(p, p[1:], words, strict=False))
+        assert abs(got[i] - want) < 1e-6, i
+
+
+def test_rounds_raise_the_likelihood(spark, monkeypatch):
+    seen = []
+    count = brown_lm._class_bigrams
+    monkeypatch.setattr(brown_lm, "_class_bigrams", lambda *a: seen.append(count(*a)) or seen[-1])
+    monkeypatch.setattr(brown_lm, "SEED_WORDS", 20)
+    rng = random.Random(3)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.randint(0, 150)}" for k in range(80)) for _ in range(60)]
+    brown_lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(seen) >= 2 and brown_lm.likelihood(seen[1]) > brown_lm.likelihood(seen[0])
 
 
 def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    pairs = rng.integers(0, 5, (20, 20))
-    m = brown_lm.ClassModel(pairs, pairs.sum(axis=0).astype(float), np.full(20, 3.0), 19)
+    table = np.random.default_rng(2).integers(0, 5, (brown_lm.CLASSES, brown_lm.CLASSES))
+    m = brown_lm.ClassModel(table, table.sum(axis=0).astype(float), np.full(brown_lm.CLASSES, 3.0))
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    assert (m.of[:19] != brown_lm.CLASSES - 1).all() and m.of[19] == brown_lm.CLASSES - 1
 
 
 def test_exchange_finds_planted_classes():

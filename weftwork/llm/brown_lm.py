@@ -1,21 +1,26 @@
 """Language-model scores from Brown's class-based bigrams.
 
-Word counts are gathered over the whole training corpus. The most frequent words are units of their
-own, all others are units by their ending; exchange clustering moves units between classes as long as
-the likelihood of the class bigrams rises. Every other word that occurs ``LEAST_CLASSED`` times or
-more then goes to the class under which the classes before and after it, gathered over the whole corpus,
-are most likely; rarer and unknown words stay with their ending. Class bigrams are counted anew on the
-classes so found. A text's probability is the product over its tokens of
-P(class | class before) and P(word | class), both smoothed; it begins after an end token, and the
-last token is an end.
+Word counts are gathered over the whole training corpus. Words are dealt to classes by exchange, in two
+steps. A start: the ``SEED_WORDS`` most frequent words, and all others in pools by their ending, are exchanged
+one by one, as long as the likelihood of the class bigrams rises. Then rounds over all words that occur ``LEAST_CLASSED`` times or more, those
+of the start too: each round gathers, over the whole corpus, the classes before and after each word, and
+moves every word at once to the class under which they are most likely; rounds go on as long as the
+likelihood of the class bigrams rises, ``ROUNDS`` at most. Words beyond the broadcast head get the class
+that their gathered contexts make most likely when the rounds have ended. Rarer and unknown words share
+pools by their ending, and a pool is exchanged like a word. Class bigrams are counted on the final classes.
+
+A text's probability is the product over its tokens of P(class | class before) and P(word | class), both
+smoothed; it begins after an end token, and the last token is an end.
 
 Counts of frequent words (``HEAD_WORDS`` at most) go to the executors as a broadcast of bounded size. All
 other words of a text, which grow with the corpus, are joined with their counts and classes by a shuffle,
-so every token gets its exact count and its word's own class at any size. Unit bigrams are counted in a table of fixed size.
+so every token gets its exact count and its word's own class at any size.
 
 Edge cases: a null or empty text is one end token; a null id is scored but not learned from; rows
-with the same id are scored one by one; with nothing to learn from, base scores are 0 and the model
-knows the unknown word alone.
+with the same id are scored one by one, and learned from as often as they stand; words that tie in
+frequency are ranked by their bytes, classes that tie by number; a very long text is one row of numbers;
+with nothing to learn from, base scores are 0 and the model knows the unknown word alone; an empty table
+gives an empty one; columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fold, schema_of, stored
+from weftwork.llm.common import arrow_rows, fold, schema_of, stored, text_buffers
 
-HEAD_WORDS, UNIT_WORDS, ENDINGS, CLASSES = 200_000, 1000, 256, 64
-#: A word that is no unit has a class of its own from so many occurrences on.
+#: The broadcast head, the words of the start, pools of rare and unknown words, and classes (the last is the end's own).
+HEAD_WORDS, SEED_WORDS, ENDINGS, CLASSES = 200_000, 1000, 256, 64
+#: A word has a class of its own from so many occurrences on.
 LEAST_CLASSED = 3
+ROUNDS = 3
 EMISSION_PRIOR, TRANSITION_PRIOR = 0.5, 20.0
-#: Words that a task counts before it passes counts on.
-MOST_COUNTED = 400_000
+#: Words that a task counts before it passes counts on, and contexts likewise.
+MOST_COUNTED, MOST_CONTEXTS = 400_000, 1 << 20
 #: The end token; no word is empty.
 END = ""
 
@@ -72,58 +79,58 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Numbers of words: frequent ones by rank, others after them by their ending."""
+    """Numbers of words: those of the head by rank, others after them by the pool of their ending, then the end."""
 
     def __init__(self, words: list[str]) -> None:
         super().__init__((w.encode(), i) for i, w in enumerate(words))
         self.size = len(words)
-        # a rank among the first is a unit of its own; other frequent words have the unit of their ending
-        self.unit = np.array([i if i < UNIT_WORDS else UNIT_WORDS + ending(w.encode()) for i, w in enumerate(words)] + [UNIT_WORDS + e for e in range(ENDINGS)], np.int64)
-        self.end = UNIT_WORDS + ENDINGS
+        self.end = self.size + ENDINGS
 
     def __missing__(self, word: bytes) -> int:
         return self.size + ending(word)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-N_UNITS = UNIT_WORDS + ENDINGS + 1
+def sequences(col: pa.Array, end: int, step: int = MOST_CONTEXTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word numbers of texts with an end before and after each, and where a number and the next are of one text."""
+    data, off = text_buffers(col)
+    off = off // 4
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + step, "right")) - 1)
+        own = np.frombuffer(data[4 * off[lo] : 4 * off[hi]].tobytes(), np.int32)
+        size = np.diff(off[lo : hi + 1])
+        s = np.full(len(own) + 2 * (hi - lo), end, np.int64)
+        s[np.arange(len(own)) + 2 * np.repeat(np.arange(hi - lo), size) + 1] = own
+        inside = np.ones(len(s), bool)
+        inside[np.cumsum(size + 2) - 1] = False
+        yield s, inside[:-1]
+        lo = hi
 
 
-def unit_bigrams(docs: DataFrame, text_col: str, vocabulary) -> np.ndarray:
-    """Counts of neighbouring units over the whole corpus; the table's size does not depend on the corpus."""
+def seed_bigrams(numbered: DataFrame, end: int, unit) -> np.ndarray:
+    """Counts of neighbours among the units of the start, which ``unit`` gives for each number. The table's size does not depend on the corpus."""
+    size = SEED_WORDS + ENDINGS + 1
 
     def count(batches):
-        v, total = vocabulary.value, np.zeros(N_UNITS * N_UNITS, np.int64)
+        total = np.zeros(size * size, np.int64)
         for b in batches:
-            held, size = [], 0
-            for words in _texts(b, 0):
-                held.append(np.concatenate([[v.end], v.unit[v.numbers(words)], [v.end]]))
-                size += len(words)
-                if size > 1 << 20:
-                    total += _pairs(held)
-                    held, size = [], 0
-            if held:
-                total += _pairs(held)
+            for s, inside in sequences(b.column(0), end):
+                x = unit.value[s]
+                total += np.bincount((x[:-1] * size + x[1:])[inside], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    got = docs.select(text_col).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(N_UNITS * N_UNITS, np.int64)
+    got = numbered.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
     out[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(N_UNITS, N_UNITS)
-
-
-def _pairs(texts: list[np.ndarray]) -> np.ndarray:
-    s = np.concatenate(texts)
-    inside = np.ones(len(s) - 1, bool)
-    inside[np.cumsum([len(t) for t in texts])[:-1] - 1] = False
-    return np.bincount((s[:-1] * N_UNITS + s[1:])[inside], minlength=N_UNITS * N_UNITS)
+    return out.reshape(size, size)
 
 
 def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
@@ -179,66 +186,67 @@ def exchange_clustering(pairs: np.ndarray, fixed: int, classes: int = CLASSES, s
 
 
 class ClassModel:
-    """Logarithms (base 10) of transitions, and of each class's emission denominator."""
-
-    def __init__(self, pairs: np.ndarray, tokens: np.ndarray, words: np.ndarray, end: int) -> None:
-        self.of = exchange_clustering(pairs, end)
-        member = np.zeros((len(self.of), CLASSES))
-        member[np.arange(len(self.of)), self.of] = 1
-        self.settle(member.T @ pairs @ member, member.T @ tokens, member.T @ words)
+    """Class bigrams, and logarithms (base 10) of transitions and of each class's emission denominator."""
 
-    def settle(self, table: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> None:
-        """From class bigrams, and tokens and words of each class."""
-        self.table = table
+    def __init__(self, table: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> None:
         after = table.sum(axis=0)
         prior = (after + 1) / (after.sum() + CLASSES)
         self.transition = np.log10((table + TRANSITION_PRIOR * prior) / (table.sum(axis=1, keepdims=True) + TRANSITION_PRIOR))
         # one slot of each class is for all words that it has not seen; the end is the only word of its class
         self.below = np.log10(tokens + EMISSION_PRIOR * (words + 1))
 
-    def likely(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """For each row of counts of the classes before and after a word, the class that makes them most likely."""
-        t = self.table[:-1] + TRANSITION_PRIOR * (self.table.sum(axis=0) + 1) / (self.table.sum() + CLASSES)
-        u = self.table[:, :-1].T + TRANSITION_PRIOR * (self.table.sum(axis=1) + 1) / (self.table.sum() + CLASSES)
-        return np.argmax(after @ np.log(t / t.sum(axis=1, keepdims=True)).T + before @ np.log(u / u.sum(axis=1, keepdims=True)).T, axis=1)
 
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, but for what does not depend on the classes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return f(table) - f(table.sum(axis=1)) - f(table.sum(axis=0))
 
-def word_classes(docs: DataFrame, text_col: str, vocabulary, model) -> DataFrame:
-    """(word, class) of the words that are no units and occur ``LEAST_CLASSED`` times or more."""
 
-    def contexts(batches):
-        v, (of, heads) = vocabulary.value, model.value
-        names, held, size, rest = pa.array([w.decode() for w in v], pa.string()), [], 0, Counter()
+def likely(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each row of counts of the classes before and after a word, the class (but the end's) that makes them most likely."""
+    t = table[:-1] + TRANSITION_PRIOR * (table.sum(axis=0) + 1) / (table.sum() + CLASSES)
+    u = table[:, :-1].T + TRANSITION_PRIOR * (table.sum(axis=1) + 1) / (table.sum() + CLASSES)
+    return np.argmax(after @ np.log(t / t.sum(axis=1, keepdims=True)).T + before @ np.log(u / u.sum(axis=1, keepdims=True)).T, axis=1)
+
+
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k = k[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[start], np.add.reduceat(n[order], start) if len(k) else n
 
-        def rows():
-            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(at // (2 * CLASSES))), pa.array((at % (2 * CLASSES)).astype(np.int32)), pa.array(n)], names=["word", "at", "n"])
-            if rest:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in rest], pa.string()), pa.array([a for _, a in rest], pa.int32()), pa.array(list(rest.values()), pa.int64())], names=["word", "at", "n"])
 
+def head_contexts(numbered: DataFrame, end: int, of) -> DataFrame:
+    """(key, n), stored: key is a word's number times 2 CLASSES, plus the class before it, or CLASSES plus the class after it."""
+
+    def count(batches):
+        classes, keys, counts, size = of.value, [], [], 0
         for b in batches:
-            for words in _texts(b, 0):
-                k = v.numbers(words)
-                c = of[np.concatenate([[v.end], v.unit[k], [v.end]])]
-                far = np.flatnonzero((k >= v.size))
-                own = np.flatnonzero((k >= UNIT_WORDS) & (k < v.size))
-                own = own[heads[k[own]] >= LEAST_CLASSED]
-                held += [k[own] * 2 * CLASSES + c[own], k[own] * 2 * CLASSES + CLASSES + c[own + 2]]
-                for i, x, y in zip(far.tolist(), c[far].tolist(), c[far + 2].tolist(), strict=True):
-                    rest[words[i], x] += 1
-                    rest[words[i], CLASSES + y] += 1
-                size += len(own)
-                if size > 1 << 21 or len(rest) > MOST_COUNTED:
-                    yield from rows()
-                    held, size = [], 0
-                    rest.clear()
-        yield from rows()
-
-    def settle(word, at, n):
-        new = np.append(True, word[1:] != word[:-1]) if len(word) else np.zeros(0, bool)
+            for s, inside in sequences(b.column(0), end):
+                c = classes[s]
+                x = np.concatenate([(s[1:] * 2 * CLASSES + c[:-1])[inside], (s[:-1] * 2 * CLASSES + CLASSES + c[1:])[inside]])
+                keys.append(x)
+                counts.append(np.ones(len(x), np.int64))
+                k, n = _sums(keys, counts)
+                keys, counts, size = [k], [n], len(k)
+                if size > MOST_CONTEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+                    keys, counts, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["key", "n"])
+
+    return stored(numbered.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+
+
+def _assigned(rows: DataFrame, table, kind: pa.DataType) -> DataFrame:
+    """(word, class) from rows (word, at, n) in which a word's rows lie side by side; words with fewer than LEAST_CLASSED places before are left out."""
+
+    def settle(w, at, n):
+        new = np.append(True, w[1:] != w[:-1])
         seen = np.bincount((np.cumsum(new) - 1) * 2 * CLASSES + at, n, 2 * CLASSES * int(new.sum())).reshape(-1, 2 * CLASSES)
         keep = seen[:, :CLASSES].sum(axis=1) >= LEAST_CLASSED
-        return pa.RecordBatch.from_arrays([pa.array(word[new][keep], pa.string()), pa.array(likely.value.likely(seen[keep, :CLASSES], seen[keep, CLASSES:]).astype(np.int32))], names=["word", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(w[new][keep], kind), pa.array(likely(table.value, seen[keep, :CLASSES], seen[keep, CLASSES:]).astype(np.int32))], names=["word", "class"])
 
     def assign(batches):
         held = None
@@ -255,14 +263,78 @@ def word_classes(docs: DataFrame, text_col: str, vocabulary, model) -> DataFrame
         if held is not None:
             yield settle(*held)
 
-    model, likely = model
-    got = docs.select(text_col).mapInArrow(contexts, "word string, at int, n long")
-    return got.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("word").mapInArrow(assign, "word string, class int")
+    return rows.mapInArrow(assign, f"word {'string' if kind == pa.string() else 'long'}, class int")
+
+
+def _class_bigrams(contexts: DataFrame, of) -> np.ndarray:
+    """Counts of neighbouring classes, from the classes after each word."""
+    def count(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            after = key % (2 * CLASSES) >= CLASSES
+            total += np.bincount(of.value[key[after] // (2 * CLASSES)] * CLASSES + key[after] % CLASSES, n[after], CLASSES * CLASSES).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    for r in contexts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        table[r["at"]] = r.n
+    return table.reshape(CLASSES, CLASSES)
+
+
+def exchange_rounds(numbered: DataFrame, end: int, of: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all numbers and their bigrams, from rounds of exchange that begin with the classes ``of``."""
+    send = numbered.sparkSession.sparkContext.broadcast
+    best = None
+    for left in range(rounds, -1, -1):
+        held = send(of)
+        contexts = head_contexts(numbered, end, held)
+        table = _class_bigrams(contexts, held)
+        if best is not None and likelihood(table) <= likelihood(best[1]):
+            return best
+        best = (of, table)
+        if not left:
+            return best
+        rows = contexts.select(F.expr(f"key div {2 * CLASSES}").alias("word"), F.expr(f"key % {2 * CLASSES}").alias("at"), "n").where(F.col("word") != end)
+        # at most HEAD_WORDS and ENDINGS rows
+        moved = _assigned(rows.repartition("word").sortWithinPartitions("word"), send(table), pa.int64()).toArrow()
+        of = of.copy()
+        of[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    return best
+
+
+def far_classes(numbered: DataFrame, end: int, of, table) -> DataFrame:
+    """(word, class) of the words beyond the head that occur ``LEAST_CLASSED`` times or more."""
+
+    def contexts(batches):
+        held: Counter = Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.string()), pa.array([a for _, a in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "at", "n"])
+
+        for b in batches:
+            for ids, at, which, rest in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if not rest:
+                    continue
+                c = of.value[np.concatenate([[end], np.frombuffer(ids, np.int32), [end]])]
+                at = np.frombuffer(at, np.int32)
+                for k, x, y in zip(np.frombuffer(which, np.int32).tolist(), c[at].tolist(), c[at + 2].tolist(), strict=True):
+                    held[rest[k], x] += 1
+                    held[rest[k], CLASSES + y] += 1
+                if len(held) > MOST_COUNTED:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    got = numbered.select("ids", "at", "which", "rest").mapInArrow(contexts, "word string, at int, n long")
+    return _assigned(got.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("word"), table, pa.string())
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     out = F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False))
     learn = docs.where(~out & F.col(id_col).isNotNull())
     counts = stored(word_counts(learn, text_col), "counts")
@@ -280,112 +352,100 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     n_tokens, n_words, n_ends = int(total[0]), int(total[1]), int(total[2])
     head = counts.where((F.col("word") != END) & (F.col("n") >= least)).toArrow()
     ranked = sorted(zip(head.column("n").to_pylist(), head.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    vocabulary = spark.sparkContext.broadcast(Vocabulary([w for _, w in ranked]))
-    pairs = unit_bigrams(learn, text_col, vocabulary)
-
-    def by_unit(batches):
-        v = vocabulary.value
-        for b in batches:
-            unit = v.unit[v.numbers([w.encode() for w in b.column(0).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(unit), b.column(1)], names=["unit", "n"])
-
-    tokens, words = np.zeros(N_UNITS), np.zeros(N_UNITS)
-    for r in counts.where(F.col("word") != END).select("word", "n").mapInArrow(by_unit, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        tokens[r.unit], words[r.unit] = r.n, r.words
-    end = vocabulary.value.end
-    tokens[end], words[end] = n_ends, 1
-    head_counts = np.array([n for n, _ in ranked] + [0] * ENDINGS, np.int64)
-    fitted = ClassModel(pairs, tokens, words, end)
-    send = spark.sparkContext.broadcast
-    classed = stored(word_classes(learn, text_col, vocabulary, (send((fitted.of, head_counts)), send(fitted))), "classes")
-    # class of each number: its unit's, or the word's own
-    of_number = fitted.of[vocabulary.value.unit]
-    own = classed.join(counts.where(F.col("n") >= least), "word", "left_semi").toArrow()
-    for w, c in zip(own.column("word").to_pylist(), own.column("class").to_pylist(), strict=True):
-        of_number[vocabulary.value[w.encode()]] = c
-    heads = send((of_number, head_counts))
-    rare = stored(counts.where((F.col("word") != END) & (F.col("n") < least)).join(classed, "word", "left"), "rare")
-
-    def by_class(batches):
-        v, (of, _) = vocabulary.value, heads.value
-        for b in batches:
-            by_ending = of[v.size + np.array([ending(w.encode()) for w in b.column(0).to_pylist()], np.int64)]
-            c = b.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(np.isnan(c), by_ending, c).astype(np.int32) if len(c) else np.zeros(0, np.int32)), b.column(1)], names=["class", "n"])
-
-    size = vocabulary.value.size
-    tokens, words = np.bincount(of_number[:size], head_counts[:size], CLASSES), np.bincount(of_number[:size], minlength=CLASSES).astype(float)
-    for r in rare.select("word", "n", F.col("class").cast("double")).mapInArrow(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        tokens[r["class"]] += r.n
-        words[r["class"]] += r.words
-    tokens[fitted.of[end]], words[fitted.of[end]] = n_ends, 1
+    vocabulary = send(Vocabulary([w for _, w in ranked]))
+    size, end = vocabulary.value.size, vocabulary.value.end
+    head_counts = np.array([n for n, _ in ranked], np.int64)
     base_below = float(np.log10(n_tokens + n_words + 1))
+    end_base, end_model = float(np.log10(n_ends + 1.0)), float(np.log10(n_ends + EMISSION_PRIOR))
+    logs = send((np.log10(head_counts + 1.0), np.log10(head_counts + EMISSION_PRIOR)))
 
-    local = T.StructType([*schema_of(docs, id_col), T.StructField("row", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("rest", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("learn", T.BooleanType()), T.StructField("classes", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("which", T.BinaryType())])
+    local = T.StructType([*schema_of(docs, id_col), *(T.StructField(c, t) for c, t in (
+        ("row", T.LongType()), ("held_out", T.BooleanType()), ("learn", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()),
+        ("ids", T.BinaryType()), ("at", T.BinaryType()), ("which", T.BinaryType()), ("rest", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.LongType())),
+    ))])
     names = [f.name for f in local]
-    kept_names = ("held_out", "n_tokens", "n_known", "base", "model", "more_known", "more_base", "more_model")
 
-    def score_head(batches):
-        v, (of, n) = vocabulary.value, heads.value
-        base, emission = np.log10(n + 1.0), np.log10(n + EMISSION_PRIOR)
+    def number(batches):
+        v, (base, emission) = vocabulary.value, logs.value
         at = TaskContext.get().partitionId() << 36
-        end_base, end_model = np.log10(n_ends + 1.0), np.log10(n_ends + EMISSION_PRIOR)
         for b in batches:
             rows = {c: [] for c in names[1:]}
             for words, held_out, learnt in zip(_texts(b, 1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 k = v.numbers(words)
                 known, far = k[k < v.size], np.flatnonzero(k >= v.size)
-                number: dict[bytes, int] = {}
-                which = np.array([number.setdefault(words[i], len(number)) for i in far.tolist()], np.int32)
-                times = np.bincount(which, minlength=len(number)).tolist() if len(far) else []
-                made = (at, held_out, len(k) + 1, len(known) + (n_ends > 0), base[known].sum() + end_base - base_below * (len(k) + 1), emission[known].sum() + end_model, [w.decode() for w in number], times, learnt, of[k].astype(np.uint8).tobytes(), far.astype(np.int32).tobytes(), which.tobytes())
+                own: dict[bytes, int] = {}
+                which = np.array([own.setdefault(words[i], len(own)) for i in far.tolist()], np.int32)
+                times = np.bincount(which, minlength=len(own)).tolist() if len(far) else []
+                made = (at, held_out, learnt, len(k) + 1, len(known) + (n_ends > 0), base[known].sum() + end_base - base_below * (len(k) + 1), emission[known].sum() + end_model, k.tobytes(), far.astype(np.int32).tobytes(), which.tobytes(), [w.decode() for w in own], times)
                 for c, x in zip(names[1:], made, strict=True):
                     rows[c].append(x)
                 at += 1
             yield arrow_rows({names[0]: b.column(0), **rows}, local)
 
-    first = stored(docs.select(id_col, text_col, out.alias("held"), (~out & F.col(id_col).isNotNull()).alias("learn")).mapInArrow(score_head, local), "scores")
-    rest = first.select("row", F.posexplode(F.arrays_zip("rest", "times")).alias("k", "x")).select("row", "k", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    numbered = stored(docs.select(id_col, text_col, out.alias("held"), (~out & F.col(id_col).isNotNull()).alias("learn")).mapInArrow(number, local), "numbered")
+    learnt = numbered.where("learn")
+
+    # classes: a start, rounds over the head, then the words beyond it
+    unit = np.array([*range(min(size, SEED_WORDS)), *(SEED_WORDS + ending(w.encode()) for _, w in ranked[SEED_WORDS:]), *range(SEED_WORDS, SEED_WORDS + ENDINGS + 1)], np.int64)
+    seed = exchange_clustering(seed_bigrams(learnt, end, send(unit)), SEED_WORDS + ENDINGS)
+    of, table = exchange_rounds(learnt, end, seed[unit])
+    classes = send(of)
+    rare = counts.where((F.col("word") != END) & (F.col("n") < least))
+    rare = stored(rare.join(far_classes(learnt, end, classes, send(table)), "word", "left"), "rare")
+
+    def by_class(batches):
+        for b in batches:
+            pools = classes.value[size + np.array([ending(w.encode()) for w in b.column(0).to_pylist()], np.int64)]
+            c = b.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(np.isnan(c), pools, c).astype(np.int32) if len(c) else np.zeros(0, np.int32)), b.column(1)], names=["class", "n"])
+
+    tokens, kinds = np.bincount(of[:size], head_counts, CLASSES), np.bincount(of[:size], minlength=CLASSES).astype(float)
+    for r in rare.select("word", "n", F.col("class").cast("double")).mapInArrow(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        tokens[r["class"]] += r.n
+        kinds[r["class"]] += r.words
+    tokens[CLASSES - 1], kinds[CLASSES - 1] = n_ends, 1
+
+    rest = numbered.select("row", F.posexplode(F.arrays_zip("rest", "times")).alias("k", "x")).select("row", "k", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     sums = rest.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(n + 1.0)).alias("more_base"),
         F.sum(F.col("times") * F.log10(n + F.lit(EMISSION_PRIOR))).alias("more_model"),
         F.collect_list(F.when(F.col("class").isNotNull(), F.struct("k", "class"))).alias("own"),
     )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    filled = stored(first.drop("rest", "times").join(sums, "row", "left").withColumn("own_k", F.col("own.k")).withColumn("own_class", F.col("own.class")).drop("own"), "filled")
+    filled = stored(numbered.drop("rest", "times").join(sums, "row", "left").withColumn("own_k", F.col("own.k")).withColumn("own_class", F.col("own.class")).drop("own"), "filled")
+    parts = ("ids", "at", "which", "own_k", "own_class")
 
-    def sequences(b):
-        last = CLASSES - 1  # the end's class
-        for seq, at, which, k, c in zip(*(b.column(x).to_pylist() for x in ("classes", "at", "which", "own_k", "own_class")), strict=True):
-            s = np.frombuffer(seq, np.uint8).astype(np.int64)
+    def followed(b):
+        """Classes of each text, an end before and after."""
+        for ids, at, which, k, c in zip(*(b.column(x).to_pylist() for x in parts), strict=True):
+            s = classes.value[np.concatenate([[end], np.frombuffer(ids, np.int32), [end]])]
             if k:
                 at, which = np.frombuffer(at, np.int32), np.frombuffer(which, np.int32)
-                of = np.full(int(which.max()) + 1, -1, np.int64)
-                of[k] = c
-                own = of[which] >= 0
-                s[at[own]] = of[which[own]]
-            yield np.concatenate([[last], s, [last]])
+                mine = np.full(int(which.max()) + 1, -1, np.int64)
+                mine[k] = c
+                has = mine[which] >= 0
+                s[at[has] + 1] = mine[which[has]]
+            yield s
 
     def class_bigrams(batches):
-        total = np.zeros(CLASSES * CLASSES, np.int64)
+        found = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
-            for s in sequences(b):
-                total += np.bincount(s[:-1] * CLASSES + s[1:], minlength=CLASSES * CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "n"])
+            for s in followed(b):
+                found += np.bincount(s[:-1] * CLASSES + s[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(found)], names=["at", "n"])
 
     table = np.zeros(CLASSES * CLASSES)
-    parts = ("classes", "at", "which", "own_k", "own_class")
     for r in filled.where("learn").select(*parts).mapInArrow(class_bigrams, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r.n
-    fitted.settle(table.reshape(CLASSES, CLASSES), tokens, words)
+    fitted = ClassModel(table.reshape(CLASSES, CLASSES), tokens, kinds)
     model = send((fitted.transition, fitted.below))
+    kept_names = ("held_out", "n_tokens", "n_known", "base", "model", "more_known", "more_base", "more_model")
     passed = T.StructType([*schema_of(docs, id_col), *(filled.schema[c] for c in kept_names), T.StructField("path", T.DoubleType())])
 
     def follow(batches):
         transition, below = model.value
         for b in batches:
-            path = [float(transition[s[:-1], s[1:]].sum() - below[s[1:]].sum()) for s in sequences(b)]
+            path = [float(transition[s[:-1], s[1:]].sum() - below[s[1:]].sum()) for s in followed(b)]
             yield arrow_rows({c: b.column(c) for c in (names[0], *kept_names)} | {"path": path}, passed)
 
     final = filled.select(id_col, *kept_names, *parts).mapInArrow(follow, passed)
