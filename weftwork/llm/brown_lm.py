@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fold, schema_of, stored, text_buffers
+from weftwork.llm.common import arrow_rows, fold, schema_of, stored, text_buffers, tidy
 
 #: The broadcast head, the words of the start, pools of rare and unknown words, and classes (the last is the end's own).
 HEAD_WORDS, SEED_WORDS, ENDINGS, CLASSES = 200_000, 1000, 256, 64
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary(dict):
@@ -127,7 +127,7 @@ def seed_bigrams(numbered: DataFrame, end: int, unit) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    got = numbered.select("ids").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = numbered.select("ids").mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
     out[got.column("at").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
@@ -236,7 +236,7 @@ def head_contexts(numbered: DataFrame, end: int, of) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["key", "n"])
 
-    return stored(numbered.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+    return stored(numbered.select("ids").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
 
 
 def _assigned(rows: DataFrame, table, kind: pa.DataType) -> DataFrame:
@@ -263,7 +263,7 @@ def _assigned(rows: DataFrame, table, kind: pa.DataType) -> DataFrame:
         if held is not None:
             yield settle(*held)
 
-    return rows.mapInArrow(assign, f"word {'string' if kind == pa.string() else 'long'}, class int")
+    return rows.mapInArrow(tidy(assign), f"word {'string' if kind == pa.string() else 'long'}, class int")
 
 
 def _class_bigrams(contexts: DataFrame, of) -> np.ndarray:
@@ -277,7 +277,7 @@ def _class_bigrams(contexts: DataFrame, of) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "n"])
 
     table = np.zeros(CLASSES * CLASSES)
-    for r in contexts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in contexts.mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r.n
     return table.reshape(CLASSES, CLASSES)
 
@@ -327,7 +327,7 @@ def far_classes(numbered: DataFrame, end: int, of, table) -> DataFrame:
         if held:
             yield rows()
 
-    got = numbered.select("ids", "at", "which", "rest").mapInArrow(contexts, "word string, at int, n long")
+    got = numbered.select("ids", "at", "which", "rest").mapInArrow(tidy(contexts), "word string, at int, n long")
     return _assigned(got.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("word"), table, pa.string())
 
 
@@ -382,7 +382,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 at += 1
             yield arrow_rows({names[0]: b.column(0), **rows}, local)
 
-    numbered = stored(docs.select(id_col, text_col, out.alias("held"), (~out & F.col(id_col).isNotNull()).alias("learn")).mapInArrow(number, local), "numbered")
+    numbered = stored(docs.select(id_col, text_col, out.alias("held"), (~out & F.col(id_col).isNotNull()).alias("learn")).mapInArrow(tidy(number), local), "numbered")
     learnt = numbered.where("learn")
 
     # classes: a start, rounds over the head, then the words beyond it
@@ -400,7 +400,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             yield pa.RecordBatch.from_arrays([pa.array(np.where(np.isnan(c), pools, c).astype(np.int32) if len(c) else np.zeros(0, np.int32)), b.column(1)], names=["class", "n"])
 
     tokens, kinds = np.bincount(of[:size], head_counts, CLASSES), np.bincount(of[:size], minlength=CLASSES).astype(float)
-    for r in rare.select("word", "n", F.col("class").cast("double")).mapInArrow(by_class, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+    for r in rare.select("word", "n", F.col("class").cast("double")).mapInArrow(tidy(by_class), "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         tokens[r["class"]] += r.n
         kinds[r["class"]] += r.words
     tokens[CLASSES - 1], kinds[CLASSES - 1] = n_ends, 1
@@ -435,7 +435,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(found)], names=["at", "n"])
 
     table = np.zeros(CLASSES * CLASSES)
-    for r in filled.where("learn").select(*parts).mapInArrow(class_bigrams, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in filled.where("learn").select(*parts).mapInArrow(tidy(class_bigrams), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r.n
     fitted = ClassModel(table.reshape(CLASSES, CLASSES), tokens, kinds)
     model = send((fitted.transition, fitted.below))
@@ -448,7 +448,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             path = [float(transition[s[:-1], s[1:]].sum() - below[s[1:]].sum()) for s in followed(b)]
             yield arrow_rows({c: b.column(c) for c in (names[0], *kept_names)} | {"path": path}, passed)
 
-    final = filled.select(id_col, *kept_names, *parts).mapInArrow(follow, passed)
+    final = filled.select(id_col, *kept_names, *parts).mapInArrow(tidy(follow), passed)
     zero = lambda c: F.coalesce(c, F.lit(0))
     score = F.col("path") + F.col("model") + zero("more_model")
     return final.select(id_col, "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import ALNUM, LOWER, arrow_rows, file_system, fresh, schema_of, shared_path, text_chunks, word_spans
+from weftwork.llm.common import ALNUM, LOWER, arrow_rows, file_system, fresh, schema_of, shared_path, text_chunks, tidy, word_spans
 
 WINDOW = 10
 #: Text of one block of the benchmark, and the shards that a task holds against a block.
@@ -277,7 +277,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 row[name].append(v)
         return row
 
-    return docs.select(id_col, text_col).mapInArrow(search, out)
+    return docs.select(id_col, text_col).mapInArrow(tidy(search), out)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
@@ -306,7 +306,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                     bits = [np.packbits(x).tobytes() if (x := h[s.first[d] : s.first[d + 1]]).any() else b"" for d in range(hi - lo)]
                     yield arrow_rows(own | {names["n_words"]: pa.array(np.diff(s.first)), names["hit"]: bits, names["items"]: [sorted(found.get(d, ())) for d in range(hi - lo)]}, out)
 
-    return docs.mapInArrow(search, out), names
+    return docs.mapInArrow(tidy(search), out), names
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -326,4 +326,4 @@ def summary(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             n_hit = [int(np.bitwise_count(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in b.column(names["hit"]).to_pylist()]
             yield arrow_rows({id_col: b.column(id_col), "n_words": b.column(names["n_words"]), "n_hit": n_hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], "contaminated": [n > 0 for n in n_hit]}, out)
 
-    return marked.select(id_col, *names.values()).mapInArrow(digest, out)
+    return marked.select(id_col, *names.values()).mapInArrow(tidy(digest), out)

@@ -6,7 +6,10 @@ language whose codeword makes the classifiers' losses smallest, bits weighted by
 learned. Classifiers are fitted on a bounded sample; every whole text is scored.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; a null language or id is
-never learned from; with no language learned all texts are ``und``, with one all others are that one.
+never learned from; with no language learned all texts are ``und``, with one all others are that one;
+languages whose losses tie give the first by name, flagged as ambiguous; rows that repeat are judged
+alike, and learned from as often as they stand; a very long text is a step of its own; an empty table
+gives an empty one; new columns give way to extra columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import LOWER, arrow_rows, fold, fresh, text_chunks
+from weftwork.llm.common import LOWER, arrow_rows, fold, fresh, text_chunks, tidy
 from weftwork.llm.linear import Logistic, bounded_sample
 
 #: Documents of a language that are learned from, at most (in expectation).
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 x = features(data, off).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = bounded_sample(rows, id_col, F.col(lang_col), per_language).select(text_col, F.col(lang_col).cast("string")).mapInArrow(extract, "lang string, x binary").toArrow()
+    got = bounded_sample(rows, id_col, F.col(lang_col), per_language).select(text_col, F.col(lang_col).cast("string")).mapInArrow(tidy(extract), "lang string, x binary").toArrow()
     blobs = got.column("x").to_pylist()
     x = np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), BUCKETS).astype(np.float32)
     return LanguageModel(x, got.column("lang").to_pylist())
@@ -144,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 lang = [m.languages[i] if ok else UNDETERMINED for i, ok in zip(k.tolist(), has.tolist(), strict=True)]
                 yield arrow_rows(cols | {names[0]: lang, names[1]: pa.array(np.where(has, score, 0.0)), names[2]: pa.array(~has | (lead < AMBIGUOUS))}, out)
 
-    return docs.withColumn(flag, _letters(text_col)).mapInArrow(run, out)
+    return docs.withColumn(flag, _letters(text_col)).mapInArrow(tidy(run), out)
 
 
 def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:

@@ -15,7 +15,10 @@ leading markers) and each worker remembers the words that it met, up to a bound.
 
 Edge cases: a null or empty text has no tokens and decodes to the empty text; characters outside the
 vocabulary become byte pieces, or the unknown piece if the model has none (then the text does
-not come back, and the result says so).
+not come back, and the result says so); of splits with equal scores, that with the piece met first at the
+position stays, which the automaton gives from the longest to the shortest; rows that repeat are encoded alike, whatever their ids;
+a very long text is encoded word by word as any other, or in one pass where pieces hold inner markers; an
+empty table gives an empty one; extra columns may have any name, and a new column gives way to them.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fresh, schema_of
+from weftwork.llm.common import arrow_rows, fresh, schema_of, tidy
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers at most; then it starts anew. And pieces pairs likewise.
-MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
+MOST_WORDS, MOST_PAIRS = 100_000, 200_000
 UNKNOWN_PENALTY = 10.0
 #: Rows that are handed on at a time.
 STEP_ROWS = 256
@@ -255,7 +258,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
                 ids = [model.encode(t or "") for t in part.column(columns.index(text_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids)], names=[*columns, name])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -271,7 +274,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", out_c
             texts = [model.decode(np.array(x or [], np.int32)).decode("utf-8", "replace") for x in col.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*columns, name])
 
-    return tokens.mapInArrow(run, out)
+    return tokens.mapInArrow(tidy(run), out)
 
 
 def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -297,4 +300,4 @@ def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                         every.append(ids)
                 yield arrow_rows({id_col: b.column(0), **rows} | ({"token_ids": id_lists(every)} if with_ids else {}), out)
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), out)

@@ -9,8 +9,10 @@ distinct is done with (the common case), otherwise they are sorted with their pl
 of equal neighbours are covered. Two different windows of one text are taken for equal with a
 probability of about n^2 / 2^65 for n words.
 
-Edge cases: a null text has no words, so it fails the base rule; rows are judged one by one, so
-repeated rows and ids are no special case.
+Edge cases: a null or empty text has no words, so it fails the base rule; rows are judged one by one, so
+repeated rows and ids are no special case; a value that ties with a bound keeps to it (bounds are inclusive);
+a very long text is an array of its words in one row; an empty table gives an empty one; extra columns are
+not read.
 """
 
 from __future__ import annotations

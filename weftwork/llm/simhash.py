@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, fresh, join_split, schema_of, stored, text_chunks
+from weftwork.llm.common import arrow_rows, fresh, join_split, schema_of, stored, text_chunks, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -207,7 +207,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield arrow_rows({id_col: b.column(0), "fingerprint": pa.array(text_fingerprints(b.column(1), shingle, seed).view(np.int64))}, out)
 
-    return docs.select(id_col, text_col).mapInArrow(compute, out)
+    return docs.select(id_col, text_col).mapInArrow(tidy(compute), out)
 
 
 def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -222,12 +222,14 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
     cuts = ranked.agg(F.percentile_approx("rank", [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))
 
+    def shard_of(rank: pa.Array) -> np.ndarray:
+        return np.searchsorted(cuts, rank.to_numpy(), "right").astype(np.int32)
+
     def place(batches):
         for b in batches:
-            at = np.searchsorted(cuts, b.column("rank").to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(at)], names=["fingerprint", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(shard_of(b.column("rank")))], names=["fingerprint", "shard"])
 
-    placed = ranked.mapInArrow(place, "fingerprint long, shard int")
+    placed = ranked.mapInArrow(tidy(place), "fingerprint long, shard int")
     top = placed.groupBy("shard").agg(F.bit_and("fingerprint").alias("every"), F.bit_or("fingerprint").alias("some")).orderBy("shard").collect()
     shard = np.array([r.shard for r in top], np.int32)
     every, some = (np.array([r[k] for r in top], np.int64).view(np.uint64) for k in ("every", "some"))
@@ -235,8 +237,8 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
     def route(batches):
         upper = GrayIndex(~(every ^ some), every) if len(shard) else None
         for b in batches:
-            f, own = b.column("fingerprint").to_numpy().view(np.uint64), b.column("shard").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), b.column("shard"), pa.array(np.ones(len(f), bool))], names=["fingerprint", "shard", "member"])
+            f, own = b.column("fingerprint").to_numpy().view(np.uint64), shard_of(b.column("rank"))
+            yield pa.RecordBatch.from_arrays([b.column("fingerprint"), pa.array(own), pa.array(np.ones(len(f), bool))], names=["fingerprint", "shard", "member"])
             for q, s in upper.search(f, max_bits, whole=False):
                 later = shard[s] > own[q]  # a pair is found in the later of its two shards
                 yield pa.RecordBatch.from_arrays([pa.array(f[q[later]].view(np.int64)), pa.array(shard[s[later]]), pa.array(np.zeros(later.sum(), bool))], names=["fingerprint", "shard", "member"])
@@ -246,7 +248,7 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
         a, b = shard_links(f[own], f[~own], max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.mapInArrow(route, "fingerprint long, shard int, member boolean").groupBy("shard").applyInArrow(join, out)
+    return ranked.mapInArrow(tidy(route), "fingerprint long, shard int, member boolean").groupBy("shard").applyInArrow(join, out)
 
 
 def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, most_rounds: int = 60) -> DataFrame:
@@ -318,7 +320,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(at, at + b.num_rows)), pa.array(text_fingerprints(b.column(k)).view(np.int64))], names=[*columns, row, mark])
             at += b.num_rows
 
-    x = stored(docs.mapInArrow(number, out), "rows")
+    x = stored(docs.mapInArrow(tidy(number), out), "rows")
     rows = x.select(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row)).alias("own"), F.col(mark).alias("fingerprint"))
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("own").alias("low"), F.count("*").alias("n")), "distinct")
     found = join_split(rows, stored(_classes(distinct, max_bits), "classes"), "fingerprint", "n")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftwork.llm.common import arrow_rows, file_system, fresh, schema_of, shared_path, stored, text_buffers, text_chunks
+from weftwork.llm.common import arrow_rows, file_system, fresh, schema_of, shared_path, stored, text_buffers, text_chunks, tidy
 from weftwork.llm.decontaminate import WordTable
 
 LENGTH = 400
@@ -173,7 +173,7 @@ def repeated(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
         if held is not None:
             yield settle(held)
 
-    return rows.repartition(parts, *key).sortWithinPartitions(*key, "bucket").mapInArrow(compare, out)
+    return rows.repartition(parts, *key).sortWithinPartitions(*key, "bucket").mapInArrow(tidy(compare), out)
 
 
 class Names:
@@ -332,7 +332,7 @@ def bucketed(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + np.append(size, ends[:-1])[: b.num_rows] // BUCKET_BYTES)], names=columns)
             size = int(ends[-1]) if len(ends) else size
 
-    x = stored(docs.mapInArrow(number, out), "texts")
+    x = stored(docs.mapInArrow(tidy(number), out), "texts")
     return x, x.select(name).distinct().count()
 
 
@@ -351,7 +351,7 @@ def repeats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Callabl
 
         yield from tallied(["h"], batches, keys)
 
-    phrases_at = _put(repeated(texts.mapInArrow(name_phrases, name), ["h"], parts), "phrases", parts)
+    phrases_at = _put(repeated(texts.mapInArrow(tidy(name_phrases), name), ["h"], parts), "phrases", parts)
 
     def name_strings(batches):
         phrases = Phrases(phrases_at)
@@ -365,7 +365,7 @@ def repeats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Callabl
 
         yield from tallied(["d1", "d2"], batches, keys)
 
-    strings_at = _put(repeated(texts.mapInArrow(name_strings, pair), ["d1", "d2"], parts), "strings", parts)
+    strings_at = _put(repeated(texts.mapInArrow(tidy(name_strings), pair), ["d1", "d2"], parts), "strings", parts)
 
     def judged(col: pa.Array, bucket: int, phrases: Phrases, strings: Digests):
         """Chunks with their runs, whether each run is repeated as a whole, and whether its suffixes are to be sorted."""
@@ -386,7 +386,7 @@ def repeats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Callabl
 
         yield from tallied(["d1", "d2"], batches, keys)
 
-    suffixes_at = _put(repeated(texts.mapInArrow(name_suffixes, pair), ["d1", "d2"], parts), "suffixes", parts)
+    suffixes_at = _put(repeated(texts.mapInArrow(tidy(name_suffixes), pair), ["d1", "d2"], parts), "suffixes", parts)
 
     def marked(b: pa.RecordBatch, k: int, bucket: int, held: list):
         if not held:
@@ -424,7 +424,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     at = off - sums[off]
                     yield arrow_rows({id_col: b.column(0).slice(lo, hi - lo), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(sums[off])), "n_spans": pa.array(np.diff(spans[off])), "kept_sha256": [hashlib.sha256(kept[s:e]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]}, out)
 
-    return x.mapInArrow(measure, out)
+    return x.mapInArrow(tidy(measure), out)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -456,4 +456,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | Non
                             own[chars] = sizes
                     yield arrow_rows(own, out)
 
-    return x.mapInArrow(cut, out)
+    return x.mapInArrow(tidy(cut), out)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import ALNUM, LOWER, arrow_rows, fold, fresh, stored, text_chunks, word_spans
+from weftwork.llm.common import ALNUM, LOWER, arrow_rows, fold, fresh, stored, text_chunks, tidy, word_spans
 from weftwork.llm.decontaminate import WordTable
 from weftwork.llm.linear import Logistic, bounded_sample, sigmoid
 
@@ -128,7 +128,7 @@ def _choose(sample: DataFrame, most: int) -> list[np.ndarray]:
     total = {r["part"]: (r.bad, r.good) for r in sample.groupBy("part").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")).collect()}
     without = [None, *range(FOLDS)]
     own = lambda c, k: F.sum(c) if k is None else F.sum(F.when(F.col("part") != k, F.col(c)).otherwise(0))
-    counts = sample.mapInArrow(count, "key long, part int, bad long, good long").groupBy("key").agg(*(own(c, k).alias(f"{c}{i}") for i, k in enumerate(without) for c in ("bad", "good")))
+    counts = sample.mapInArrow(tidy(count), "key long, part int, bad long, good long").groupBy("key").agg(*(own(c, k).alias(f"{c}{i}") for i, k in enumerate(without) for c in ("bad", "good")))
     z = []
     for i, k in enumerate(without):
         n_bad, n_good = (sum(v[side] for p, v in total.items() if p != k) for side in (0, 1))
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 x = np.packbits(presence(data, off, every).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in (1, 2, 3)), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "part", "kind", "x"])
 
-    got = sample.mapInArrow(extract, "label int, part int, kind string, x binary").toArrow()
+    got = sample.mapInArrow(tidy(extract), "label int, part int, kind string, x binary").toArrow()
     n, label = got.num_rows, got.column("label").to_numpy()
     x = np.unpackbits(np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(n, -1), axis=1)[:, : len(every)] if n else np.zeros((0, len(every)), np.uint8)
     taken = np.bincount(label, minlength=2) if n else np.ones(2)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Chain, list[str]], text_col:
                 own = {c: b.column(i).slice(lo, hi - lo) for i, c in enumerate(columns)}
                 yield arrow_rows(own | {names[0]: p.tolist(), names[1]: pa.array(np.ascontiguousarray(p[:, -1]))}, out)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2) -> DataFrame:

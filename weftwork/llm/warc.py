@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import file_system, join_split, shared_path
+from weftwork.llm.common import file_system, join_split, shared_path, tidy
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             listed.close()
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    done = [r["name"] for r in marked.mapInArrow(write, "name string").collect()]
+    done = [r["name"] for r in marked.mapInArrow(tidy(write), "name string").collect()]
     ddl = "key string, page_id long, url string, file string, offset long, length long"
     if not done:
         return pages.sparkSession.createDataFrame([], ddl)
@@ -188,7 +188,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, last, name)], names=["first", "last", "file"])
 
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return sorted((r["first"], r["last"], r["file"]) for r in ordered.mapInArrow(write, "first string, last string, file string").collect())
+    return sorted((r["first"], r["last"], r["file"]) for r in ordered.mapInArrow(tidy(write), "first string, last string, file string").collect())
 
 
 class IndexFile:
@@ -246,9 +246,9 @@ def lookup(keys: DataFrame, tops: list[tuple[str, str, str]], folder: str, key_c
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
-    routed = keys.select(F.col(key_col).alias("key")).where("key IS NOT NULL").distinct().mapInArrow(route, "key string, index_file string")
+    routed = keys.select(F.col(key_col).alias("key")).where("key IS NOT NULL").distinct().mapInArrow(tidy(route), "key string, index_file string")
     parts = max(keys.sparkSession.sparkContext.defaultParallelism, len(tops))
-    return routed.repartitionByRange(parts, "index_file", "key").sortWithinPartitions("index_file", "key").mapInArrow(search, "key string, page_id long, file string, offset long, length long")
+    return routed.repartitionByRange(parts, "index_file", "key").sortWithinPartitions("index_file", "key").mapInArrow(tidy(search), "key string, page_id long, file string, offset long, length long")
 
 
 def read_records(captures: DataFrame, folder: str, payloads: bool = True, total: int | None = None) -> DataFrame:
@@ -290,7 +290,7 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True, total:
         total = captures.agg(F.sum("length")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // READ_TASK))
     ordered = captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(read, ", ".join(f"{c} {ddl[t]}" for c, t in fields))
+    return ordered.mapInArrow(tidy(read), ", ".join(f"{c} {ddl[t]}" for c, t in fields))
 
 
 def archive(spark: SparkSession, pages: DataFrame, **columns) -> tuple[DataFrame, list, str]:
