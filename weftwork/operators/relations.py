@@ -52,12 +52,34 @@ def compare_sets(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return sizes.select("both", "only_a", "only_b", (F.col("only_a") + F.col("only_b")).alias("symmetric"), F.when((F.col("only_a") == 0) & (F.col("only_b") == 0), "same").when(F.col("both") == 0, "disjoint").otherwise("overlap").alias("verdict"))
 
 
+def jaccard_classes(items: DataFrame, id_col: str, item_col: str) -> DataFrame:
+    """(id, rep): identical sets are one class, named by its smallest id. Every id with an item is in one."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(item_col).alias("x")).where("id IS NOT NULL AND x IS NOT NULL").distinct()
+    sets = rows.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("x"))), 256).alias("sig"))
+    return sets.join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("id", "rep")
+
+
+def jaccard_links(items: DataFrame, id_col: str, item_col: str, least: float) -> DataFrame:
+    """(id, rep, links): for every id its class and the number of other ids whose sets are ``least`` similar or more, its own class's too.
+
+    Links between different sets are counted by class sizes, so copies are never expanded into pairs.
+    """
+    classes = jaccard_classes(items, id_col, item_col)
+    sizes = classes.groupBy("rep").agg(F.count("*").alias("size"))
+    pairs = jaccard_pairs(items, id_col, item_col, least)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("near"))
+    found = sizes.join(near, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return classes.join(found, "rep").select("id", "rep", "links")
+
+
 def jaccard_pairs(items: DataFrame, id_col: str, item_col: str, least: float) -> DataFrame:
     """(a, b, jaccard) of sets whose Jaccard similarity is ``least`` or more and below 1.
 
     Prefix filtering keeps the join exact and small: each set is ordered from its rarest item on, and two
     sets can only be similar enough if they share an item among the first ``n - ceil(least*n) + 1``.
-    Identical sets are one class and are joined once.
+    Identical sets are one class, whose representative stands for it here; ``jaccard_classes`` tells the
+    members, and ``jaccard_links`` counts every document's links.
     """
     rows = items.select(F.col(id_col).alias("id"), F.col(item_col).alias("x")).where("id IS NOT NULL AND x IS NOT NULL").distinct()
     sets = rows.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("xs"))

@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftwork.operators.text import lines
 
-#: Phrases by detector, matched in lower case.
-PHRASES = {
-    "TEXT-001": ["In today's society", "In today's world", "With the development of", "In the modern era", "As we all know", "It is well known that", "In recent years", "Since the dawn of", "众所周知", "近年来", "随着科技的发展", "当今社会"],
-    "TEXT-002": ["of great significance", "plays an important role", "is of great importance", "is worth noting", "is worth mentioning", "plays a key role", "plays a crucial role", "具有重要意义", "至关重要", "不可或缺"],
-    "TEXT-004": ["obviously", "clearly", "undoubtedly", "without a doubt", "certainly", "definitely", "absolutely", "it is evident that", "it goes without saying", "显然", "毫无疑问", "绝对"],
-    "TEXT-005": ["let's dive into", "let's explore", "let's delve into", "it is worth noting that", "it should be noted that", "in conclusion", "to sum up", "in summary", "all in all", "first and foremost", "last but not least", "总而言之", "综上所述", "值得注意的是"],
-}
-SEVERITY = {"TEXT-001": "Warning", "TEXT-002": "Warning", "TEXT-004": "Critical", "TEXT-005": "Warning"}
-#: What a finding adds to a text's score.
+#: Openings of paragraphs.
+OPENINGS = [
+    "在当今社会", "在当今时代", "当今社会", "随着社会的发展", "随着技术的发展", "随着科技的发展", "随着信息技术的发展", "随着互联网的发展", "随着人工智能的发展",
+    "众所周知", "众所周知地", "毋庸置疑", "近年来", "近年来，随着", "在信息化时代", "在数字化时代", "在大数据时代", "在人工智能时代", "自古以来", "从古至今",
+    "In today's society", "In today's world", "With the development of", "In the modern era", "As we all know", "It is well known that", "In recent years", "Since the dawn of",
+]
+#: Expressions that say nothing.
+VAGUE = [
+    "具有重要意义", "具有深远意义", "具有重要意义和作用", "具有重要作用", "发挥着重要作用", "发挥着关键作用", "起到了重要作用", "值得关注", "值得注意", "值得深思", "值得探讨",
+    "不可或缺", "必不可少", "至关重要", "举足轻重", "日益增长", "日益重要", "日趋重要", "蓬勃发展", "提供了有力支持", "奠定了坚实基础", "开辟了新道路", "注入了新活力",
+    "of great significance", "plays an important role", "is of great importance", "is worth noting", "is worth mentioning", "plays a key role", "plays a crucial role",
+]
+#: Words of confidence.
+CONFIDENT = [
+    "显然", "显然地", "显而易见", "毫无疑问", "毫无疑义", "毋庸置疑", "无可置疑", "必定", "必然", "必将", "必定会", "绝对", "绝对地", "绝对的", "一定", "一定会", "肯定会", "注定",
+    "obviously", "clearly", "undoubtedly", "without a doubt", "certainly", "definitely", "absolutely", "it is evident that", "it goes without saying",
+]
+#: Phrases of transition, in any case.
+TRANSITIONS = [
+    "让我们深入探讨", "让我们深入", "让我们来", "让我们一起", "值得注意的是", "需要注意的是", "需要指出的是", "应当指出", "总而言之", "综上所述", "总的来说", "总体而言", "总之",
+    "在此过程中", "在这一过程中", "在这个过程中", "这不仅...而且", "不仅...还", "一方面...另一方面", "众所周知", "如前所述", "正如我们所知", "在本文中，我们将", "接下来，我们将", "首先，其次，最后",
+    "深入探讨", "深入分析", "深入剖析", "深度解析", "let's dive into", "let's explore", "let's delve into", "it is worth noting that", "it should be noted that",
+    "in conclusion", "to sum up", "in summary", "all in all", "first and foremost", "last but not least", "in this article, we will", "in this blog post, we",
+]
+#: Citations in academic form.
+CITATIONS = [
+    r"\([A-Z][a-zA-Z]+(?:\s+(?:et al\.|and|&)\s+[A-Z][a-zA-Z]+)?\s*,\s*\d{4}[a-z]?\s*\)", r"\([\x{4e00}-\x{9fa5}]{2,4}(?:\s*等)?\s*[,，]\s*\d{4}\s*\)",
+    r"\[[A-Z][a-zA-Z]+\s+\d{4}\]", r"[A-Z][a-zA-Z]+\s+et al\.\s*\(\d{4}\)",
+]
+#: Characters without content, besides white space.
+EMPTY_CHARS = "的了是在我有和人这中大为以与及或之其也而则对于上下来去到被把将该些" + "，。、；：？！\"\"''（）【】《》〈〉「」『』—…·,.:;!?\"'()[]{}<>-_/\\@#$%^&*+=|~`"
+#: Severities of the detectors, and what a finding adds to a text's score.
+SEVERITY = {"TEXT-001": "Critical", "TEXT-002": "Warning", "TEXT-003": "Warning", "TEXT-004": "Warning", "TEXT-005": "Warning", "TEXT-006": "Warning", "TEXT-007": "Warning", "TEXT-008": "Critical"}
 WEIGHTS = {"Blocker": 25, "Critical": 15, "Warning": 5}
 
 
@@ -31,16 +60,145 @@ def apply_rules(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str, e
     return hits.withColumn("_k", F.row_number().over(Window.partitionBy("doc", "rule").orderBy("line"))).where(F.col("_k") <= cap).drop("_k")
 
 
-def phrase_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, paragraph, rule, severity): paragraphs with a phrase of a detector; openings count only at a paragraph's start."""
-    p = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "text")).withColumn("text", F.lower(F.trim("text")))
+def shortest(phrases: list[str]) -> list[str]:
+    """The phrases that begin with no other: any place of another one is a place of one of these."""
+    return [p for k, p in enumerate(phrases) if not any(p.startswith(q) and (q != p or j < k) for j, q in enumerate(phrases) if j != k)]
+
+
+def _class(chars: str) -> str:
+    """A pattern of one of the characters, or white space."""
+    return "(?U)[\\s" + "".join("\\" + c if c in "[]\\^-&{}" else c for c in dict.fromkeys(chars)) + "]"
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, text): runs of lines that aren't blank, with the first one's number from 1."""
+    rows = F.transform(F.split(F.col(text_col), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    state = "struct<done:array<struct<line:int,text:string>>,line:int,text:string>"
+    none = lambda: F.lit(None).cast("string")
+    closed = lambda s: F.when(s["text"].isNotNull(), F.concat(s["done"], F.array(F.struct(s["line"].alias("line"), s["text"].alias("text"))))).otherwise(s["done"])
+    step = lambda s, x: F.when(F.rlike(x["text"], F.lit(r"(?U)^[\s\x1C-\x1F]*$")), F.struct(closed(s).alias("done"), F.lit(0).alias("line"), none().alias("text"))).otherwise(
+        F.struct(s["done"].alias("done"), F.when(s["text"].isNull(), x["line"]).otherwise(s["line"]).alias("line"), F.concat_ws("\n", s["text"], x["text"]).alias("text"))
+    )
+    start = F.struct(F.array().cast("array<struct<line:int,text:string>>").alias("done"), F.lit(0).alias("line"), none().alias("text")).cast(state)
+    found = F.aggregate(rows, start, lambda s, x: step(s, x).cast(state), closed)
+    return docs.select(F.col(id_col).alias("doc"), F.explode(found).alias("p")).select("doc", "p.line", "p.text")
 
-    def hit(rule: str) -> Column:
-        words = F.array(*(F.lit(w.lower()) for w in PHRASES[rule]))
-        return F.exists(words, lambda w: F.startswith(F.col("text"), w) if rule == "TEXT-001" else F.contains(F.col("text"), w))
 
-    found = F.array_compact(F.array(*(F.when(hit(r), F.struct(F.lit(r).alias("rule"), F.lit(SEVERITY[r]).alias("severity"))) for r in PHRASES)))
-    return p.select("doc", (F.col("paragraph") + 1).cast("long"), F.explode(found).alias("f")).toDF("doc", "paragraph", "f").select("doc", "paragraph", "f.rule", "f.severity")
+def _places(t: Column, phrases: list[str]) -> Column:
+    """At how many places of a text one of the phrases begins."""
+    return sum((F.regexp_count(t, F.lit("\\Q" + p + "\\E")) for p in shortest(phrases)), F.lit(0))
+
+
+def text_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, rule, severity, n): findings of the eight detectors, ``n`` of a rule in a line (line 0 speaks of the whole text).
+
+    001 a paragraph's opening; 002, 004, 005 phrases, counted once a place; 003 lists, deep or many headings;
+    006 a long paragraph of few different characters or little content; 007 a sentence that stands again, at its
+    first paragraph, or nearly again (line 0); 008 citations. Every detector but 007 reads its text in one projection.
+    """
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    t = F.col("text")
+    by_line = base.select("doc", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("doc", (F.col("k") + 1).alias("line"), "text")
+    # a place counts once, whichever pattern of a citation begins there
+    cited = F.regexp_count(t, F.lit("(?=" + "|".join(CITATIONS) + ")"))
+    counts = {"TEXT-002": _places(t, VAGUE), "TEXT-004": _places(t, CONFIDENT), "TEXT-005": _places(F.lower(t), [p.lower() for p in TRANSITIONS])}
+    lined = by_line.select("doc", "line", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), n.cast("long").alias("n")) for r, n in counts.items()))).alias("f"))
+    # a citation may go on over a line's end, so it is looked for in the whole text and placed by its start
+    whole = base.where(cited > 0).select("doc", F.posexplode(F.split(F.regexp_replace("text", "(?=" + "|".join(CITATIONS) + ")", "\x01"), "\n")).alias("k", "text"))
+    cites = whole.select("doc", (F.col("k") + 1).alias("line"), F.lit("TEXT-008").alias("rule"), F.regexp_count("text", F.lit("\x01")).cast("long").alias("n"))
+    p = paragraphs(base, "doc", "text")
+    head = F.substring(F.regexp_replace("text", r"(?U)^[\s\x1C-\x1F]+", ""), 1, 40)
+    opening = F.exists(F.array(*map(F.lit, OPENINGS)), lambda w: F.startswith(head, w))
+    clean = F.regexp_replace("text", "[#*`>\\-]", "")
+    content = F.regexp_replace(clean, _class(EMPTY_CHARS), "")
+    diversity = F.size(F.array_distinct(F.regexp_extract_all(content, F.lit("(?s)(.)"), 1))) / F.length(content)
+    hollow = (F.length(F.regexp_replace(clean, r"(?U)\s", "")) >= 100) & ((F.coalesce(diversity, F.lit(1.0)) < 0.45) | (F.length(content) / F.length(clean) < 0.55))
+    flags = F.array(F.struct(F.lit("TEXT-001").alias("rule"), opening.cast("long").alias("n")), F.struct(F.lit("TEXT-006").alias("rule"), hollow.cast("long").alias("n")))
+    rows = F.split("text", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    n_lines = F.size(F.filter(rows, lambda x: ~F.rlike(x, F.lit(r"(?U)^[\s\x1C-\x1F]*$"))))
+    n_items = F.size(F.filter(rows, lambda x: F.rlike(x, F.lit(r"(?U)^\s*([-*+]|\d+\.)\s+"))))
+    levels = F.transform(F.filter(rows, lambda x: F.rlike(x, F.lit(r"(?U)^#{1,6}\s"))), lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)))
+    listed = (n_lines > 0) & (n_items / n_lines > 0.5) & (n_items > 10)
+    outline = (n_lines > 0) & (F.size(levels) > 0) & (n_lines / F.size(levels) < 5)
+    shape = base.select("doc", F.lit(0).alias("line"), F.lit("TEXT-003").alias("rule"), (listed.cast("long") + F.coalesce(F.array_max(levels) >= 5, F.lit(False)).cast("long") + outline.cast("long")).alias("n"))
+    s = sentences(p)
+    again = s.groupBy("doc", "sentence").agg(F.min("line").alias("line"), F.count("*").alias("times")).where("times >= 2").groupBy("doc", "line").agg(F.count("*").alias("n"))
+    near = sentence_pairs(base, "doc", "text").where("counted").groupBy("doc").agg(F.count("*").alias("n"))
+    parts = [lined.select("doc", "line", "f.rule", "f.n"), cites, p.select("doc", "line", F.explode(flags).alias("f")).select("doc", "line", "f.rule", "f.n"), shape]
+    parts += [again.select("doc", "line", F.lit("TEXT-007").alias("rule"), "n"), near.select("doc", F.lit(0).alias("line"), F.lit("TEXT-007").alias("rule"), "n")]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    severity = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return every.where("n > 0").select("doc", "line", "rule", severity[F.col("rule")].alias("severity"), "n")
+
+
+_ENDS = "[。.！!？?\n]+"
+LEAST_SENTENCE, NEAR = 12, 0.7
+
+
+def sentences(p: DataFrame) -> DataFrame:
+    """(doc, line, sentence): sentences of ``LEAST_SENTENCE`` characters or more of paragraphs."""
+    s = p.select("doc", "line", F.explode(F.split("text", _ENDS)).alias("s"))
+    return s.select("doc", "line", F.regexp_replace("s", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "").alias("sentence")).where(F.length("sentence") >= LEAST_SENTENCE)
+
+
+def sentence_pairs(docs: DataFrame, id_col: str, text_col: str, least: float = NEAR) -> DataFrame:
+    """(doc, a, b, overlap, counted): different sentences of a document whose sets of character pairs overlap by more than ``least``.
+
+    a and b number the document's distinct sentences in order. ``counted``: a sentence is compared with those
+    after it in order, the first near one that isn't counted yet is, and a counted one is not compared itself.
+    A document stays in its row: candidates share one of the rarest pairs of both (as a sentence of n pairs can
+    only be near another if they share one of any n - ceil(least n) + 1), so long documents are not squared.
+    """
+    out = f"doc {docs.schema[id_col].dataType.simpleString()}, a long, b long, overlap double, counted boolean"
+
+    def find(batches):
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                own = distinct_sentences(batch.column(1)[lo].as_py() or "")
+                found = near_sentences(own, least)
+                if found:
+                    a, b, v, c = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0).slice(lo, 1)] * len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64()), pa.array(c, pa.bool_())], names=["doc", "a", "b", "overlap", "counted"])
+
+    return docs.select(F.col(id_col).alias("doc"), text_col).mapInArrow(find, out)
+
+
+def distinct_sentences(text: str) -> list[str]:
+    """A text's distinct sentences in order; a blank line ends one as any line does."""
+    return list(dict.fromkeys(x for x in (y.strip() for line in text.splitlines() for y in re.split(_ENDS, line)) if len(x) >= LEAST_SENTENCE))
+
+
+def near_sentences(own: list[str], least: float) -> list[tuple[int, int, float, bool]]:
+    """(a, b, overlap, counted) of the near pairs, in order."""
+    sets = []
+    for x in own:
+        c = "".join(x.split())
+        sets.append({c[i : i + 2] for i in range(len(c) - 1)})
+    rarity = Counter(g for s in sets for g in s)
+    held: dict[str, list[int]] = {}
+    pairs = []
+    for b, s in enumerate(sets):
+        prefix = sorted(s, key=lambda g: (rarity[g], g))[: len(s) - math.ceil(least * len(s)) + 1]
+        for a in sorted({a for g in prefix for a in held.get(g, ())}):
+            if min(len(sets[a]), len(s)) > least * max(len(sets[a]), len(s)) - 1e-9:
+                overlap = len(sets[a] & s) / len(sets[a] | s)
+                if overlap > least:
+                    pairs.append((a, b, overlap))
+        for g in prefix:
+            held.setdefault(g, []).append(b)
+    counted, last, done = set(), -1, False
+    out = []
+    for a, b, overlap in sorted(pairs):
+        if a != last:
+            last, done = a, a in counted
+        hit = not done and b not in counted
+        if hit:
+            counted.add(b)
+            done = True
+        out.append((a, b, overlap, hit))
+    return out
 
 
 def text_score(findings: DataFrame) -> DataFrame:
@@ -48,7 +206,7 @@ def text_score(findings: DataFrame) -> DataFrame:
     w = F.lit(0)
     for s, v in WEIGHTS.items():
         w = F.when(F.col("severity") == s, v).otherwise(w)
-    return findings.groupBy("doc").agg(F.least(F.sum(w), F.lit(100)).cast("long").alias("score"), (F.count_if(F.col("severity").isin("Critical", "Blocker")) == 0).alias("gate"))
+    return findings.groupBy("doc").agg(F.least(F.sum(w * F.col("n")), F.lit(100)).cast("long").alias("score"), (F.count_if(F.col("severity").isin("Critical", "Blocker")) == 0).alias("gate"))
 
 
 def traceback_frames(text: Column) -> Column:

@@ -39,19 +39,33 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame, conjunctive: bool = False) -> DataFrame:
+def term_hits(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc, term, tf, dl) of the terms alone, and one row with the number of documents and their mean length.
+
+    Tokens that no query asks for are dropped where they are read, before anything is grouped or shuffled.
+    """
+    base = docs.select(F.col(id_col).alias("doc"), tokens.alias("t"))
+    asked = terms.select("term").distinct()
+    rows = base.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked, "term", "left_semi")
+    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), collection(base.select(F.size("t").alias("dl")))
+
+
+def collection(lengths: DataFrame) -> DataFrame:
+    """One row: the number of documents and the mean of ``dl``."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+
+def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame, conjunctive: bool = False) -> DataFrame:
     """(query, doc, score): terms is (query, term), and a term that a query repeats counts repeatedly.
 
-    index: postings; lengths: (doc, dl) of all documents. Collection figures are aggregates of one row.
+    index: postings (doc, term, tf, dl); stats: one row of collection figures.
     conjunctive: only documents that have all terms of the query.
     """
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     wanted = terms.groupBy("query", "term").agg(F.count("*").alias("times"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))) * F.col("times")
-    scored = hits.join(df, "term").join(wanted, "term").join(lengths, "doc").join(F.broadcast(stats))
+    scored = index.join(df, "term").join(wanted, "term").join(F.broadcast(stats))
     out = scored.groupBy("query", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     if conjunctive:
         need = wanted.groupBy("query").agg(F.count("*").alias("need"))
@@ -71,13 +85,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-#: Queries that visit the vectors together.
-QUERY_BLOCK = 2048
+#: Queries that visit the vectors together, and vectors that are multiplied with them at a time.
+QUERY_BLOCK, VECTOR_ROWS = 2048, 512
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, id, cosine) of the ``k`` nearest vectors of each query, itself left out; ties by id. Vectors without length have cosine 0.
 
+    Cosines are rounded to 12 digits before they are ranked, so that ties don't hang on the order of additions.
+
     The stated query set goes to the executors in blocks of about ``block`` queries, so what is sent at a
     time is bounded; for each block the vectors are passed once, a batch of them multiplied with the
     block as matrices, and each batch hands on its best ``k`` of each query.
@@ -97,10 +113,15 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: s
                 own, names = b.column(0).to_pylist(), np.array(b.column(0).to_pylist(), dtype=object)
                 if not own or not ids:
                     continue
-                c = np.round(_unit(b.column(1).to_pylist()) @ m.T, 12)
-                c[names[:, None] == numbers[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(own))[:, None], c.shape), -c), axis=0)[:k]
-                rows = [(ids[j], own[i], float(c[i, j])) for j in range(len(ids)) for i in order[:, j] if c[i, j] > -np.inf]
+                rows = []
+                for lo in range(0, len(own), VECTOR_ROWS):
+                    c = np.round(_unit(b.column(1).slice(lo, VECTOR_ROWS).to_pylist()) @ m.T, 12)
+                    some = names[lo : lo + VECTOR_ROWS]
+                    c[some[:, None] == numbers[None, :]] = -np.inf
+                    # all that reach the k-th best value, ties too; the order among them is settled below
+                    least = np.partition(c, max(0, len(some) - k), axis=0)[max(0, len(some) - k)]
+                    i, j = np.nonzero((c >= least) & (c > -np.inf))
+                    rows += [(ids[q], some[v], float(c[v, q])) for v, q in zip(i.tolist(), j.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("query", "id", "cosine"), r, strict=True)) for r in rows]) if rows else pa.RecordBatch.from_arrays([b.column(0).slice(0, 0), b.column(0).slice(0, 0), pa.array([], pa.float64())], names=["query", "id", "cosine"])
 
         each = vectors.select(id_col, vec_col).mapInArrow(nearest, schema)

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftwork.plans import graphs, joins, logs, meshes, rules, scalars, sources, states, texts  # noqa: F401
+from weftwork.plans import graphs, joins, logs, meshes, rules, scalars, search, sources, states, texts  # noqa: F401

@@ -73,6 +73,17 @@ def similar_line_sets(spark, sf_dir):
     return R.jaccard_pairs(lines, "doc_id", "line", 0.8)
 
 
+@query("similar_line_links", """
+    WITH l AS (SELECT DISTINCT doc_id AS id, unnest(string_split(text, chr(10))) AS x FROM documents),
+    n AS (SELECT id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS sig FROM l GROUP BY id),
+    s AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM l a JOIN l b USING (x) WHERE a.id <> b.id GROUP BY 1, 2),
+    j AS (SELECT a, count(*) AS links FROM s JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.8 GROUP BY a)
+    SELECT id, min(id) OVER (PARTITION BY sig) AS rep, coalesce(links, 0) AS links FROM n LEFT JOIN j ON j.a = n.id""")
+def similar_line_links(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return R.jaccard_links(lines, "doc_id", "line", 0.8)
+
+
 @query("compare_sets", """
     WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 40), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.05),
     j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k),

@@ -23,31 +23,78 @@ def line_rules(spark, sf_dir):
     return R.apply_rules(_docs(spark, sf_dir), F.broadcast(rules), "doc_id", "text", "lang", F.lit("The"), 5)
 
 
-_PHRASED = "SELECT doc_id * 2 + k AS doc, text || chr(10) || p AS text FROM documents, (VALUES (0, 'It is obviously so. In conclusion, fine.'), (1, 'In recent years it plays a key role.')) v(k, p)"
+#: What is put behind each document, by its number: something for each detector, with places that almost count.
+_ENDINGS = [
+    "\n\nIn recent years it grew.\nThis plays a key role, clearly; CLEARLY not. In Conclusion, to sum up, it plays a key role.",
+    "\n\n" + "- item\n" * 12 + "\n##### deep\n",
+    "\n\n# one\n## two\nSome words (Smith, 2020) and (Smith and Jones, 2021a) and [Smith 2020]\nand Smith et al. (2019), not (smith, 2020).",
+    "\n\n" + "aba bab abba baab " * 8 + "\n\n众所周知，显然地。\n  近年来，随着 必定会 值得注意的是",
+    "\n\nA sentence that stands here twice. Another one here. A sentence that stands here twice! A sentence that stood here twice? A sentence which stands here twice.",
+]
+_SQL_ENDINGS = ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in _ENDINGS)
+_PHRASED = f"SELECT doc_id AS doc, coalesce(text, '') || ([{_SQL_ENDINGS}])[1 + doc_id % 5] AS text FROM documents"
 
 
 def _phrased(spark, sf_dir):
-    ends = F.posexplode(F.array(F.lit("It is obviously so. In conclusion, fine."), F.lit("In recent years it plays a key role."))).alias("k", "p")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), ends).select((F.col("doc_id") * 2 + F.col("k")).alias("doc"), F.concat_ws("\n", "t", "p").alias("text"))
+    end = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.coalesce("text", F.lit("")), end).alias("text"))
 
 
+def _sum_of_places(column: str, phrases: list[str]) -> str:
+    first = [p for k, p in enumerate(phrases) if not any(p != q and p.startswith(q) or p == q and j < k for j, q in enumerate(phrases))]
+    quoted = [p.replace("'", "''") for p in first]
+    return " + ".join(f"(length({column}) - length(replace({column}, '{p}', ''))) // {len(q)}" for p, q in zip(quoted, first, strict=True))
+
+
+_BLANK = r"^[\s\x0B]*$"
+_EMPTY = "".join(dict.fromkeys(R.EMPTY_CHARS))
+_EMPTY_CLASS = r"[\s\x0B" + "".join("\\" + c if c in "[]\\^-" else c for c in _EMPTY).replace("'", "''") + "]"
+_CITED = "|".join("(?:" + c + ")" for c in R.CITATIONS)
 _HITS = f"""
-    WITH d AS ({_PHRASED}), p AS (SELECT doc, generate_subscripts(string_split(text, chr(10)), 1) AS paragraph, lower(trim(unnest(string_split(text, chr(10))))) AS t FROM d),
-    f AS (SELECT doc, paragraph, 'TEXT-001' AS rule, 'Warning' AS severity FROM p WHERE starts_with(t, 'in recent years')
-          UNION ALL SELECT doc, paragraph, 'TEXT-002', 'Warning' FROM p WHERE contains(t, 'plays a key role')
-          UNION ALL SELECT doc, paragraph, 'TEXT-004', 'Critical' FROM p WHERE contains(t, 'obviously')
-          UNION ALL SELECT doc, paragraph, 'TEXT-005', 'Warning' FROM p WHERE contains(t, 'in conclusion'))
+    WITH d AS ({_PHRASED}),
+    l AS (SELECT doc, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM d),
+    m AS (SELECT doc, line, t, regexp_matches(t, '{_BLANK}') AS blank FROM l),
+    g AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS part FROM m),
+    p AS (SELECT doc, CAST(min(line) AS INTEGER) AS line, string_agg(t, chr(10) ORDER BY line) AS t FROM g WHERE NOT blank GROUP BY doc, part),
+    c AS (SELECT doc, line, regexp_replace(t, '[#*`>\\-]', '', 'g') AS clean, regexp_replace(regexp_replace(t, '[#*`>\\-]', '', 'g'), '{_EMPTY_CLASS}', '', 'g') AS content FROM p),
+    s AS (SELECT doc, line, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT doc, line, unnest(regexp_split_to_array(t, '[。.！!？?\\n]+')) AS x FROM p)),
+    u AS (SELECT doc, min(line) AS line, count(*) AS n, s FROM s WHERE length(s) >= 12 GROUP BY doc, s),
+    o AS (SELECT doc, line, s, row_number() OVER (PARTITION BY doc ORDER BY line, s) AS k, list_distinct(list_transform(range(1, length(regexp_replace(s, '\\s', '', 'g'))), lambda i: substr(regexp_replace(s, '\\s', '', 'g'), i, 2))) AS grams FROM u),
+    f AS (SELECT doc, line, 'TEXT-001' AS rule, 1 AS n FROM p WHERE list_bool_or([{", ".join("starts_with(ltrim(t), '" + w.replace("'", "''") + "')" for w in R.OPENINGS)}])
+          UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-002', {_sum_of_places("t", R.VAGUE)} FROM l
+          UNION ALL SELECT doc, 0, 'TEXT-003', CAST(count(*) FILTER (WHERE regexp_matches(t, '^\\s*([-*+]|\\d+\\.)\\s+')) > greatest(10, 0.5 * count(*) FILTER (WHERE NOT blank)) AS INTEGER)
+                 + CAST(max(CASE WHEN regexp_matches(t, '^#####{{1,2}}\\s') AND regexp_matches(t, '^#{{5,6}}\\s') THEN 1 ELSE 0 END) AS INTEGER)
+                 + CAST(count(*) FILTER (WHERE regexp_matches(t, '^#{{1,6}}\\s')) > 0.2 * count(*) FILTER (WHERE NOT blank) AS INTEGER) FROM m GROUP BY doc
+          UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-004', {_sum_of_places("t", R.CONFIDENT)} FROM l
+          UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-005', {_sum_of_places("lower(t)", [x.lower() for x in R.TRANSITIONS])} FROM l
+          UNION ALL SELECT doc, line, 'TEXT-006', 1 FROM c WHERE length(regexp_replace(clean, '[\\s\\x0B]', '', 'g')) >= 100
+                 AND (len(list_distinct(regexp_extract_all(content, '(?s).'))) < 0.45 * length(content) OR length(content) < 0.55 * length(clean))
+          UNION ALL SELECT doc, line, 'TEXT-007', count(*) FROM u WHERE n >= 2 GROUP BY doc, line
+          UNION ALL SELECT doc, 0, 'TEXT-007', count(*) FROM near WHERE counted GROUP BY doc
+          UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-008', len(regexp_extract_all(t, '{_CITED}')) FROM l)
 """
+# what the detector of near sentences counts is an ordered choice; the oracle leaves line 0 of TEXT-007 to `sentence_near_duplicates`
+_HITS = _HITS.replace("          UNION ALL SELECT doc, 0, 'TEXT-007', count(*) FROM near WHERE counted GROUP BY doc\n", "")
+_SEVERITY = "CASE rule WHEN 'TEXT-001' THEN 'Critical' WHEN 'TEXT-008' THEN 'Critical' ELSE 'Warning' END"
 
 
-@query("text_findings", _HITS + "SELECT doc, paragraph, rule, severity FROM f")
+@query("text_findings", _HITS + f"SELECT doc, line, rule, {_SEVERITY} AS severity, CAST(n AS BIGINT) AS n FROM f WHERE n > 0")
 def text_findings(spark, sf_dir):
-    return R.phrase_findings(_phrased(spark, sf_dir), "doc", "text")
+    return R.text_findings(_phrased(spark, sf_dir), "doc", "text").where("NOT (rule = 'TEXT-007' AND line = 0)")
 
 
-@query("text_scores", _HITS + "SELECT doc, CAST(least(sum(CASE severity WHEN 'Critical' THEN 15 ELSE 5 END), 100) AS BIGINT) AS score, count(*) FILTER (WHERE severity = 'Critical') = 0 AS gate FROM f GROUP BY doc")
+@query("text_scores", _HITS + f"SELECT doc, CAST(least(sum(n * CASE {_SEVERITY} WHEN 'Critical' THEN 15 ELSE 5 END), 100) AS BIGINT) AS score, count(*) FILTER (WHERE {_SEVERITY} = 'Critical') = 0 AS gate FROM f WHERE n > 0 GROUP BY doc")
 def text_scores(spark, sf_dir):
-    return R.text_score(R.phrase_findings(_phrased(spark, sf_dir), "doc", "text"))
+    return R.text_score(R.text_findings(_phrased(spark, sf_dir), "doc", "text").where("NOT (rule = 'TEXT-007' AND line = 0)"))
+
+
+@query("sentence_near_duplicates", _HITS.split("    f AS (")[0].rstrip().rstrip(",") + """
+    SELECT a.doc, count(*) AS pairs, round(sum(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams)))), 6) AS overlap
+    FROM o a JOIN o b ON a.doc = b.doc AND a.k < b.k AND least(len(a.grams), len(b.grams)) >= 0.7 * greatest(len(a.grams), len(b.grams))
+    WHERE len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) > 0.7 GROUP BY a.doc""")
+def sentence_near_duplicates(spark, sf_dir):
+    pairs = R.sentence_pairs(_phrased(spark, sf_dir), "doc", "text")
+    return pairs.groupBy("doc").agg(F.count("*").alias("pairs"), F.round(F.sum("overlap"), 6).alias("overlap"))
 
 
 @query("traceback_frames", "SELECT p_partkey, 'a' || p_size || '.py' AS file, p_size AS line FROM part UNION ALL SELECT p_partkey, 'b.py', 7 FROM part")

@@ -40,7 +40,7 @@ def _bm25(spark, sf_dir, conjunctive=False):
     d = _docs(spark, sf_dir)
     t = X.plain_tokens(F.col("text"))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(t).alias("term"))
-    return X.bm25(X.postings(d, "doc_id", t), d.select(F.col("doc_id").alias("doc"), F.size(t).alias("dl")), terms, conjunctive)
+    return X.bm25(*X.term_hits(d, "doc_id", t, terms), terms, conjunctive)
 
 
 def _ranked(scored):
@@ -79,15 +79,22 @@ def cosine_top_k(spark, sf_dir):
     return X.cosine_top_k(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 9))
 
 
-@query("secret_scan")
+_L = "l AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query("secret_scan", f"""
+    WITH {_L}, h AS (SELECT doc, line, regexp_extract(text, {_sql(X.SECRET)}, 0) AS strong, regexp_extract(text, {_sql(X.SECRET_ASSIGNED)}, 0) AS weak FROM l)
+    SELECT doc, CAST(line AS INTEGER) AS line, CASE WHEN strong <> '' THEN 'token' ELSE 'assigned' END AS kind, left(CASE WHEN strong <> '' THEN strong ELSE weak END, 12) AS masked
+    FROM h WHERE strong <> '' OR weak <> ''""")
 def secret_scan(spark, sf_dir):
     return X.secrets(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query("secret_lines", r"""
-    WITH l AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)
-    SELECT doc, CAST(line AS INTEGER) AS line, regexp_extract(text, '(?i)\b(password|passwd|secret|api[_-]?key|token)\s*[=:]\s*[''"][A-Za-z0-9_./+=-]{12,}[''"]', 0)[1:12] AS masked FROM l
-    WHERE regexp_matches(text, '(?i)\b(password|passwd|secret|api[_-]?key|token)\s*[=:]\s*[''"][A-Za-z0-9_./+=-]{12,}[''"]')""")
+@query("secret_lines", f"WITH {_L} SELECT doc, CAST(line AS INTEGER) AS line, left(regexp_extract(text, {_sql(X.SECRET_ASSIGNED)}, 0), 12) AS masked FROM l WHERE regexp_matches(text, {_sql(X.SECRET_ASSIGNED)})")
 def secret_lines(spark, sf_dir):
     hit = F.regexp_extract("text", X.SECRET_ASSIGNED, 0)
     return X.lines(_docs(spark, sf_dir), "doc_id", "text").where(hit != "").select("doc", "line", F.substring(hit, 1, 12).alias("masked"))
