@@ -213,3 +213,55 @@ def test_windowed_counts_wait_for_late_rows(spark, tmp_path):
     spark.createDataFrame(rows, "at timestamp, k string").coalesce(1).write.parquet(str(src))
     logs.run_available(logs.windowed_counts(logs.follow_parquet(spark, str(src), "at timestamp, k string"), "at", "k", "10 minutes", "5 minutes"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 2]
+
+
+def test_line_tokens_and_identifiers():
+    from weftwork.operators.search import identifier_words, line_tokens
+
+    assert identifier_words("placementTarget") == ["placement", "target"] and identifier_words("hit_module") == ["hit", "module"]
+    assert identifier_words("HTTPRequest") == ["http", "request"] and identifier_words("AReq") == ["areq"] and identifier_words("a1B") == ["a1b"]
+    assert line_tokens("let x = 'the value'; // 命中盒 calc the 12") == ["let", "x", "value", "命中", "中盒", "calc"]
+    assert line_tokens("don't stop the 3") == ["don", "stop"]
+    assert line_tokens(r"a = 'it\'s of' + b1 # of c") == ["a", "it", "b1"]
+    assert line_tokens("中a文") == ["a", "中文"] and line_tokens("中 文") == ["中", "文"] and line_tokens("") == []
+
+
+def test_near_sentences_match_the_greedy_choice():
+    import random
+
+    from weftwork.operators.rules import near_sentences
+
+    rng = random.Random(5)
+    for _ in range(40):
+        base = ["".join(rng.choice("abcd e") for _ in range(20)).strip() + "xyzxyz" for _ in range(4)]
+        own = list(dict.fromkeys(b[:k] + rng.choice("abcde") + b[k + 1 :] for b in base for k in rng.sample(range(18), 3)))
+        grams = [{c[i : i + 2] for i in range(len(c) - 1)} for c in ("".join(s.split()) for s in own)]
+        over = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+        counted, want = set(), []
+        for a in range(len(own)):
+            free = a not in counted
+            for b in range(a + 1, len(own)):
+                if over(a, b) > 0.7:
+                    hit = free and b not in counted
+                    if hit:
+                        counted.add(b)
+                        free = False
+                    want.append((a, b, over(a, b), hit))
+        assert near_sentences(own, 0.7) == want
+
+
+def test_symbol_bonus_adds_for_every_symbol_that_begins_with_a_term(spark):
+    from weftwork.operators.search import symbol_bonus
+
+    scored = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 1.0)], "query string, doc string, score double")
+    named = spark.createDataFrame([("a", 3, "fooBar"), ("a", 2, "Foo"), ("a", 1, "x"), ("c", 1, "foo")], "doc string, line int, symbol string")
+    terms = spark.createDataFrame([("q", "foo"), ("q", "foob")], "query string, term string")
+    assert sorted(map(tuple, symbol_bonus(scored, named, terms).collect())) == [("q", "a", 5.0, "Foo", 2), ("q", "b", 1.0, None, 0)]
+
+
+def test_links_of_identical_sets_are_not_lost(spark):
+    from weftwork.operators.relations import jaccard_links
+
+    sets = {1: "abcde", 2: "abcde", 3: "abcdef", 4: "xyz"}
+    rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, x string")
+    assert sorted(map(tuple, jaccard_links(rows, "id", "x", 0.8).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 4, 0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,27 +62,25 @@ def median(values: Column) -> Column:
     return F.when((n > 0) & (n <= 100_000), middle)
 
 
-@F.pandas_udf(T.StringType())
-def _factorial(n):
-    import math
-
-    return n.map(lambda x: str(math.factorial(int(x))) if x is not None and x == x and 0 <= x <= 1000 else None)
-
-
 @F.pandas_udf(T.StringType())
 def _fibonacci(n):
-    def one(x):
-        a, b = 0, 1
-        for _ in range(int(x)):
-            a, b = b, a + b
-        return str(a)
-
-    return n.map(lambda x: one(x) if x is not None and x == x and 0 <= x <= 20000 else None)
+    """Each batch walks the sequence once, as far as its greatest number, and keeps what it needs."""
+    asked = {int(x) for x in n if x is not None and x == x and 0 <= x <= 20000}
+    found, a, b = {}, 0, 1
+    for k in range(max(asked, default=-1) + 1):
+        if k in asked:
+            found[k] = str(a)
+        a, b = b, a + b
+    return n.map(lambda x: found.get(int(x)) if x is not None and x == x else None)
 
 
 def factorial(n: Column) -> Column:
-    """Exact, as text: up to 20 by the built-in function, up to 1000 by whole numbers of any size."""
-    return F.when(n.between(0, 20), F.factorial(n.cast("int")).cast("string")).otherwise(_factorial(n))
+    """Exact, as text, for n up to 1000: by the built-in function up to 20, and from a table beyond."""
+    table, product = [], math.factorial(20)
+    for k in range(21, 1001):
+        product *= k
+        table.append(F.lit(str(product)))
+    return F.when(n.between(0, 20), F.factorial(n.cast("int")).cast("string")).when(n.between(21, 1000), F.element_at(F.array(*table), n.cast("int") - 20))
 
 
 def fibonacci(n: Column) -> Column:

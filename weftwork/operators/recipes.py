@@ -28,12 +28,12 @@ class Recipes:
         self.presets[name] = plan
 
     def run(self, plan: str | list[tuple[str, str, dict]], depth: int = 1, **given: DataFrame) -> dict[str, DataFrame]:
-        """Results by key. A step's argument ``"${key}"`` is the result of that key; an unknown key is an error."""
+        """Results by key. A step's argument ``"${key}"`` is the result of that key; an unknown key is empty (None)."""
         if depth > MOST_NESTED:
             raise ValueError(f"presets nest more than {MOST_NESTED} deep")
         out = dict(given)
         for key, name, arguments in self.presets[plan] if isinstance(plan, str) else plan:
-            bound = {k: out[v[2:-1]] if isinstance(v, str) and v.startswith("${") and v.endswith("}") else v for k, v in arguments.items()}
+            bound = {k: out.get(v[2:-1]) if isinstance(v, str) and v.startswith("${") and v.endswith("}") else v for k, v in arguments.items()}
             if name in self.presets:
                 nested = self.run(name, depth + 1, **bound)
                 out[key] = nested[self.presets[name][-1][0]]

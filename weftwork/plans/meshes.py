@@ -11,11 +11,11 @@ from weftwork.plans.registry import query, table
 FACES = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, height=2.0):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("w"), (F.col("p_partkey") % 7 + 1).cast("double").alias("d"), (F.col("p_partkey") % 500 * 3.0).alias("o"))
     bit = lambda k: F.shiftright("vid", k) % 2
     v = p.withColumn("vid", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    v = v.select("mesh_id", "vid", (F.col("o") + bit(0) * F.col("w")).alias("x"), (bit(1) * F.col("d")).alias("y"), (bit(2) * F.lit(2.0)).alias("z"))
+    v = v.select("mesh_id", "vid", (F.col("o") + bit(0) * F.col("w")).alias("x"), (bit(1) * F.col("d")).alias("y"), (bit(2) * F.lit(height)).alias("z"))
     f = p.select("mesh_id", F.posexplode(F.array(*(F.struct(*(F.lit(n).alias(k) for k, n in zip("abc", t, strict=True))) for t in FACES))).alias("fid", "t")).select("mesh_id", "fid", "t.*")
     return v, f
 
@@ -70,9 +70,9 @@ def mesh_voxels(spark, sf_dir):
     return M.voxels(*_boxes(spark, sf_dir), 1.0).groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
-@query("mesh_surface_voxels", "SELECT p_partkey AS mesh_id, CAST(p_size * (p_partkey % 7 + 1) * 2 AS BIGINT) AS n FROM part")
+@query("mesh_surface_voxels", "SELECT p_partkey AS mesh_id, CAST(p_size * (p_partkey % 7 + 1) * 3 - greatest(p_size - 2, 0) * greatest(p_partkey % 7 - 1, 0) AS BIGINT) AS n FROM part")
 def mesh_surface_voxels(spark, sf_dir):
-    return M.surface_voxels(M.voxels(*_boxes(spark, sf_dir), 1.0)).groupBy("mesh_id").agg(F.count("*").alias("n"))
+    return M.surface_voxels(M.voxels(*_boxes(spark, sf_dir, 3.0), 1.0)).groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
 @query("mesh_skin", "SELECT p_partkey AS mesh_id, round(p_partkey % 500 * 3.0::DOUBLE + p_size + 2.5, 6) AS max_x FROM part")

@@ -34,9 +34,9 @@ def primes(spark, sf_dir):
     return table(spark, sf_dir, "part").where(C.is_prime(F.col("p_partkey"))).select("p_partkey")
 
 
-@query("factorials", "SELECT p_partkey, CAST(factorial(p_size % 21) AS VARCHAR) AS f FROM part")
+@query("factorials", "SELECT p_partkey, CAST(factorial(p_size % 34) AS VARCHAR) AS f FROM part")
 def factorials(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", C.factorial(F.col("p_size") % 21).alias("f"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.factorial(F.col("p_size") % 34).alias("f"))
 
 
 @query("fibonacci_numbers", "WITH RECURSIVE f AS (SELECT 0 AS n, 0::BIGINT AS a, 1::BIGINT AS b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 60) SELECT p_partkey, CAST(a AS VARCHAR) AS f FROM part JOIN f ON n = p_size")
