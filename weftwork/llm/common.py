@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftwork.operators.relations import join_split  # noqa: F401  the other modules take it from here
+
 #: Bytes of text that one numpy step works on; a longer document is one step of its own.
 CHUNK_BYTES = 1 << 20
 #: And texts, where they are short.
@@ -153,21 +155,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_split(rows: DataFrame, table: DataFrame, key: str, count_col: str, total: int | None = None, most: int = 10_000) -> DataFrame:
-    """Inner join of rows with a table that has one row for each key and, in ``count_col``, the number of rows that have it.
-
-    Keys of more than one row in ``most`` are fewer than ``most``, so they are broadcast and their rows
-    stay where they are; all other keys are joined by a shuffle in which none has a large share. A null
-    key joins nothing. ``total`` (the number of rows, or more) is counted if it isn't given.
-    """
-    if total is None:
-        total = table.agg(F.sum(count_col)).first()[0] or 0
-    hot = F.col(count_col) > max(1000, -(-total // most))
-    heavy = F.broadcast(table.where(hot))
-    light = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
-    return rows.join(heavy, key).unionByName(light.join(table.where(~hot), key))
-
-
 def file_system(at: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a folder named as Spark names it, and the folder's path in it."""
     if re.match(r"^(file:|/)", at):
