@@ -55,7 +55,13 @@ def collection(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, terms: DataFrame, conjunctive: bool = False) -> DataFrame:
+def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame, conjunctive: bool = False) -> DataFrame:
+    """(query, doc, score) from postings (doc, term, tf) and the lengths (doc, dl) of all documents."""
+    hits = index.join(terms.select("term").distinct(), "term", "left_semi").join(lengths, "doc")
+    return bm25_scores(hits, collection(lengths), terms, conjunctive)
+
+
+def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, conjunctive: bool = False) -> DataFrame:
     """(query, doc, score): terms is (query, term), and a term that a query repeats counts repeatedly.
 
     index: postings (doc, term, tf, dl); stats: one row of collection figures.

@@ -58,7 +58,7 @@ def code_search(spark, sf_dir):
     index = S.code_postings(f, "path", "text")
     stats = X.collection(index.groupBy("doc").agg(F.first("dl").alias("dl")))
     hits = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    scored = S.symbol_bonus(X.bm25(hits, stats, terms), S.symbols(f, "path", "text"), terms)
+    scored = S.symbol_bonus(X.bm25_scores(hits, stats, terms), S.symbols(f, "path", "text"), terms)
     return X.first_by(scored.select("query", "doc", F.round("score", 6).alias("score"), "line"), ["query"], [F.desc("score"), F.col("doc")], 10)
 
 

@@ -40,7 +40,7 @@ def _bm25(spark, sf_dir, conjunctive=False):
     d = _docs(spark, sf_dir)
     t = X.plain_tokens(F.col("text"))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(t).alias("term"))
-    return X.bm25(*X.term_hits(d, "doc_id", t, terms), terms, conjunctive)
+    return X.bm25_scores(*X.term_hits(d, "doc_id", t, terms), terms, conjunctive)
 
 
 def _ranked(scored):
