@@ -222,7 +222,7 @@ def test_line_tokens_and_identifiers():
     assert identifier_words("HTTPRequest") == ["http", "request"] and identifier_words("AReq") == ["areq"] and identifier_words("a1B") == ["a1b"]
     assert line_tokens("let x = 'the value'; // 命中盒 calc the 12") == ["let", "x", "value", "命中", "中盒", "calc"]
     assert line_tokens("don't stop the 3") == ["don", "stop"]
-    assert line_tokens(r"a = 'it\'s of' + b1 # of c") == ["a", "it", "b1"]
+    assert line_tokens(r"a = 'its \'red of' + b1 # of cup") == ["a", "red", "b1", "cup"]
     assert line_tokens("中a文") == ["a", "中文"] and line_tokens("中 文") == ["中", "文"] and line_tokens("") == []
 
 
