@@ -38,7 +38,7 @@ from weftwork.llm.common import arrow_rows, fresh, schema_of, tidy
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers at most; then it starts anew. And pieces pairs likewise.
-MOST_WORDS, MOST_PAIRS = 100_000, 200_000
+MOST_WORDS, MOST_PAIRS = 400_000, 500_000
 UNKNOWN_PENALTY = 10.0
 #: Rows that are handed on at a time.
 STEP_ROWS = 256
@@ -102,7 +102,7 @@ class PieceModel:
         self.decoded = [bytes([int(t[3:-1], 16)]) if k == self.BYTE else b"" if k == self.CONTROL else " ⁇ ".encode() if k == self.UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.text, kinds, strict=True)]
         self.splits = not any(MARK in t.lstrip(MARK) for t in self.usable)
         self.lowest = min((self.score[i] for i in self.usable.values()), default=0.0)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     @classmethod
@@ -125,11 +125,12 @@ class PieceModel:
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether the model leaves these two pieces side by side as they are."""
-        known = self.pairs.get((left, right))
+        key = left * len(self.text) + right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.text[left] + self.text[right]) == [left, right]
+            known = self.pairs[key] = self.merged(self.text[left] + self.text[right]) == [left, right]
         return known
 
     def best_path(self, word: str) -> list[int | None]:
@@ -171,9 +172,9 @@ class PieceModel:
 
     def whole(self, i: int) -> bool:
         """Whether the model's merges can make the piece at all."""
-        known = self.pairs.get((i, -1))
+        known = self.pairs.get(-1 - i)
         if known is None:
-            known = self.pairs[i, -1] = self.merged(self.text[i]) == [i]
+            known = self.pairs[-1 - i] = self.merged(self.text[i]) == [i]
         return known
 
     def ids(self, word: str) -> list[int]:
