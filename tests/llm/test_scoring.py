@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.llm import bradley_terry, language_id, toxicity
+from weftwork.llm import bradley_terry, brown_lm, language_id, toxicity
 from weftwork.llm.common import text_buffers
 
 
@@ -114,3 +115,32 @@ def test_features_of_a_very_long_text_are_its_own():
         for k, t in enumerate(["short text", long, ""]):
             alone = f(*text_buffers(pa.array([t])))
             assert np.allclose(every[k], alone[0], atol=1e-6)
+
+
+def test_packed_counts_come_back():
+    key = np.array([0, 1, 255, 256, brown_lm.BLOCK_KEYS - 1])
+    n = np.array([1, 256, 2**31, 2**40 + 3, 7])
+    got = brown_lm.unpack(brown_lm.pack(key, n))
+    assert got[0].tolist() == key.tolist() and got[1].tolist() == n.tolist()
+    assert [len(x) for x in brown_lm.unpack(brown_lm.pack(key[:0], n[:0]))] == [0, 0]
+
+
+def test_contexts_of_words_beyond_the_head_by_plain_loops():
+    rng, end = np.random.default_rng(3), 9
+    classes = rng.integers(0, brown_lm.CLASSES, end + 1)
+    rows, want = [], {}
+    for size in (0, 1, 2, 30, 0, 5):
+        ids = rng.integers(0, end, size).astype(np.int32)
+        at = np.flatnonzero(ids >= 4).astype(np.int32)
+        words = [f"w{k}" for k in rng.integers(0, 6, len(at))]
+        own = sorted(set(words))
+        rows.append((ids.tobytes(), at.tobytes(), np.array([own.index(w) for w in words], np.int32).tobytes(), own))
+        around = [end, *ids.tolist(), end]
+        for i, w in zip(at.tolist(), words, strict=True):
+            want.setdefault(w, []).append((int(classes[around[i]]), brown_lm.CLASSES + int(classes[around[i + 2]])))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())))], names=["ids", "at", "which", "rest"])
+    words, first, seen = brown_lm.far_contexts(batch, end, classes)
+    got = {w: [tuple(x) for x in seen[first[k] : first[k + 1]].tolist()] for k, w in enumerate(words.to_pylist())}
+    assert got == want
+    none = brown_lm.far_contexts(batch.slice(0, 1), end, classes)
+    assert len(none[0]) == 0 and len(none[2]) == 0

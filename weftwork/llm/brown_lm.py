@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,11 @@ HEAD_WORDS, SEED_WORDS, ENDINGS, CLASSES = 200_000, 1000, 256, 64
 LEAST_CLASSED = 3
 ROUNDS = 2
 EMISSION_PRIOR, TRANSITION_PRIOR = 0.5, 20.0
-#: Words that a task counts before it passes counts on, and contexts likewise.
-MOST_COUNTED, MOST_CONTEXTS = 400_000, 1 << 18
+#: Words that a task counts before it passes counts on, and rows of contexts in a batch.
+MOST_COUNTED, MOST_CONTEXTS = 400_000, 1 << 16
+#: Words whose contexts are one row, so that a key in it takes 16 bits.
+BLOCK_WORDS = (1 << 16) // (2 * CLASSES)
+BLOCK_KEYS = BLOCK_WORDS * 2 * CLASSES
 #: The end token; no word is empty.
 END = ""
 
@@ -209,10 +213,22 @@ def likely(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarr
     return np.argmax(after @ np.log(t / t.sum(axis=1, keepdims=True)).T + before @ np.log(u / u.sum(axis=1, keepdims=True)).T, axis=1)
 
 
+def pack(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts of one block, by planes of bytes: most planes of small counts are zeros, which shuffle and storage compress away."""
+    return key.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() + n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(10, -1)
+    return np.ascontiguousarray(planes[:2].T).view("<u2").ravel(), np.ascontiguousarray(planes[2:].T).view("<i8").ravel()
+
+
 def head_contexts(numbered: DataFrame, end: int, of) -> DataFrame:
-    """(key, n), stored: key is a word's number times 2 CLASSES, plus the class before it, or CLASSES plus the class after it.
+    """(block, counts), stored: for each ``BLOCK_WORDS`` words, how often each stands after a word of each class and before one.
 
-    A task counts in one table, whose size hangs on ``HEAD_WORDS`` and not on the corpus (100 MB), and hands on each key once.
+    A key in a block is a word's place in it times 2 CLASSES, plus the class before it, or CLASSES plus the class after it. A task counts
+    in one table, whose size hangs on ``HEAD_WORDS`` and not on the corpus (100 MB), and hands on one row a block; rows of a block are
+    added one by one.
     """
 
     def count(batches):
@@ -220,51 +236,60 @@ def head_contexts(numbered: DataFrame, end: int, of) -> DataFrame:
         for b in batches:
             for s, inside in sequences(b.column(0), end):
                 c, any_ = classes[s], True
-                np.add.at(total, (s[1:] * 2 * CLASSES + c[:-1])[inside], 1)
-                np.add.at(total, (s[:-1] * 2 * CLASSES + CLASSES + c[1:])[inside], 1)
-        at = np.flatnonzero(total) if any_ else np.zeros(0, np.int64)
-        for k in range(0, len(at), MOST_CONTEXTS):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + MOST_CONTEXTS]), pa.array(total[at[k : k + MOST_CONTEXTS]].astype(np.int64))], names=["key", "n"])
-
-    return stored(numbered.select("ids").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+                np.add.at(total, (s[1:] * 2 * CLASSES + c[:-1])[inside], np.int32(1))
+                np.add.at(total, (s[:-1] * 2 * CLASSES + CLASSES + c[1:])[inside], np.int32(1))
+        if not any_:
+            return
+        found = []
+        for block in range(-(-(end + 1) // BLOCK_WORDS)):
+            part = total[block * BLOCK_KEYS : (block + 1) * BLOCK_KEYS]
+            if len(key := np.flatnonzero(part)):
+                found.append((block, pack(key, part[key])))
+            if found and (len(found) == 32 or (block + 1) * BLOCK_WORDS > end):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["block", "counts"])
+                found = []
+
+    def add(batches):
+        now, total = None, None
+
+        def row():
+            key = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack(key, total[key])], pa.binary())], names=["block", "counts"])
 
-
-def _assigned(rows: DataFrame, table, kind: pa.DataType) -> DataFrame:
-    """(word, class) from rows (word, at, n) in which a word's rows lie side by side; words with fewer than LEAST_CLASSED places before are left out."""
-
-    def settle(w, at, n):
-        new = np.append(True, w[1:] != w[:-1])
-        seen = np.bincount((np.cumsum(new) - 1) * 2 * CLASSES + at, n, 2 * CLASSES * int(new.sum())).reshape(-1, 2 * CLASSES)
-        keep = seen[:, :CLASSES].sum(axis=1) >= LEAST_CLASSED
-        return pa.RecordBatch.from_arrays([pa.array(w[new][keep], kind), pa.array(likely(table.value, seen[keep, :CLASSES], seen[keep, CLASSES:]).astype(np.int32))], names=["word", "class"])
-
-    def assign(batches):
-        held = None
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "at", "n")]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])
-            if cut:
-                yield settle(*(c[:cut] for c in cols))
-            held = [c[cut:] for c in cols]
-        if held is not None:
-            yield settle(*held)
-
-    return rows.mapInArrow(tidy(assign), f"word {'string' if kind == pa.string() else 'long'}, class int")
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row()
+                    now, total = block, np.zeros(BLOCK_KEYS, np.int64)
+                key, n = unpack(counts.as_buffer())
+                total[key] += n
+        if now is not None:
+            yield row()
+
+    kind = "block int, counts binary"
+    return stored(numbered.select("ids").mapInArrow(tidy(count), kind).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(add), kind), "contexts")
+
+
+def _blocks(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and counts of the words of each block of ``head_contexts``; ``size`` words in all."""
+    for b in batches:
+        for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            total = np.zeros(BLOCK_KEYS, np.int64)
+            key, n = unpack(counts.as_buffer())
+            total[key] = n
+            words = np.arange(block * BLOCK_WORDS, min(size, (block + 1) * BLOCK_WORDS))
+            yield words, total.reshape(BLOCK_WORDS, 2 * CLASSES)[: len(words)]
 
 
 def _class_bigrams(contexts: DataFrame, of) -> np.ndarray:
     """Counts of neighbouring classes, from the classes after each word."""
+
     def count(batches):
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        for b in batches:
-            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            after = key % (2 * CLASSES) >= CLASSES
-            total += np.bincount(of.value[key[after] // (2 * CLASSES)] * CLASSES + key[after] % CLASSES, n[after], CLASSES * CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "n"])
+        total = np.zeros((CLASSES, CLASSES), np.int64)
+        for words, seen in _blocks(batches, len(of.value)):
+            np.add.at(total, of.value[words], seen[:, CLASSES:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total.ravel())], names=["at", "n"])
 
     table = np.zeros(CLASSES * CLASSES)
     for r in contexts.mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -285,40 +310,83 @@ def exchange_rounds(numbered: DataFrame, end: int, of: np.ndarray, rounds: int =
         best = (of, table)
         if not left:
             return best
-        rows = contexts.select(F.expr(f"key div {2 * CLASSES}").alias("word"), F.expr(f"key % {2 * CLASSES}").alias("at"), "n").where(F.col("word") != end)
+        sent = send(table)
+
+        def move(batches, sent=sent):
+            for words, seen in _blocks(batches, end):
+                keep = seen[:, :CLASSES].sum(axis=1) >= LEAST_CLASSED
+                to = likely(sent.value, seen[keep, :CLASSES], seen[keep, CLASSES:])
+                yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(to.astype(np.int32))], names=["word", "class"])
+
         # at most HEAD_WORDS and ENDINGS rows
-        moved = _assigned(rows.repartition("word").sortWithinPartitions("word"), send(table), pa.int64()).toArrow()
+        moved = contexts.mapInArrow(tidy(move), "word long, class int").toArrow()
         of = of.copy()
         of[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
     return best
 
 
+def far_contexts(batch: pa.RecordBatch, end: int, classes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words beyond the head in a batch (ids, at, which, rest), where the places of each begin, and for each place the class before and, plus CLASSES, after."""
+    ids, at, which = (_int32(batch.column(k)) for k in range(3))
+    text = np.repeat(np.arange(batch.num_rows), np.diff(at[1]))
+    place = ids[1][text] + at[0]
+    c = np.append(classes[ids[0]], classes[end])  # the last for both ends
+    before = np.where(at[0] == 0, len(c) - 1, place - 1)
+    after = np.where(place + 1 == ids[1][text + 1], len(c) - 1, place + 1)
+    rest = batch.column(3)
+    own = np.append(0, np.cumsum(rest.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    words = rest.flatten().dictionary_encode()
+    word = words.indices.to_numpy(zero_copy_only=False)[own[text] + which[0]]
+    order = np.argsort(word, kind="stable")
+    first = np.append(0, np.cumsum(np.bincount(word, minlength=len(words.dictionary))))
+    return words.dictionary, first, np.stack([c[before[order]], c[after[order]] + CLASSES], axis=1).astype(np.uint8)
+
+
+def _int32(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of packed int32, and where each row's begin (and the last one's end)."""
+    data, off = text_buffers(col)
+    return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.int32), (off - off[0]) // 4
+
+
 def far_classes(numbered: DataFrame, end: int, of, table) -> DataFrame:
     """(word, class) of the words beyond the head that occur ``LEAST_CLASSED`` times or more."""
 
     def contexts(batches):
-        held: Counter = Counter()
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.string()), pa.array([a for _, a in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "at", "n"])
+        for b in batches:
+            words, first, seen = far_contexts(b, end, of.value)
+            for lo in range(0, len(words), MOST_CONTEXTS):
+                off = first[lo : lo + MOST_CONTEXTS + 1]
+                places = pa.py_buffer(np.ascontiguousarray(seen[off[0] : off[-1]]))
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((2 * (off - off[0])).astype(np.int32)), places])
+                yield pa.RecordBatch.from_arrays([words[lo : lo + MOST_CONTEXTS], packed], names=["word", "seen"])
+
+    def settle(words, seen):
+        keep = seen[:, :CLASSES].sum(axis=1) >= LEAST_CLASSED
+        return pa.RecordBatch.from_arrays([words.filter(pa.array(keep)), pa.array(likely(table.value, seen[keep, :CLASSES], seen[keep, CLASSES:]).astype(np.int32))], names=["word", "class"])
 
+    def assign(batches):
+        held = None  # a batch's last word, which may go on in the next
         for b in batches:
-            for ids, at, which, rest in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if not rest:
-                    continue
-                c = of.value[np.concatenate([[end], np.frombuffer(ids, np.int32), [end]])]
-                at = np.frombuffer(at, np.int32)
-                for k, x, y in zip(np.frombuffer(which, np.int32).tolist(), c[at].tolist(), c[at + 2].tolist(), strict=True):
-                    held[rest[k], x] += 1
-                    held[rest[k], CLASSES + y] += 1
-                if len(held) > MOST_COUNTED:
-                    yield rows()
-                    held.clear()
-        if held:
-            yield rows()
+            if not b.num_rows:
+                continue
+            w = b.column(0)
+            new = np.append(True, pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False))
+            data, off = text_buffers(b.column(1))
+            group = np.repeat(np.cumsum(new) - 1, np.diff(off))
+            seen = np.bincount(group * 2 * CLASSES + data[off[0] : off[-1]], minlength=2 * CLASSES * int(new.sum())).reshape(-1, 2 * CLASSES)
+            w = w.filter(pa.array(new))
+            if held is not None:
+                if held[0].equals(w[:1]):
+                    seen[0] += held[1][0]
+                else:
+                    yield settle(*held)
+            yield settle(w[:-1], seen[:-1])
+            held = w[-1:], seen[-1:]
+        if held is not None:
+            yield settle(*held)
 
-    got = numbered.select("ids", "at", "which", "rest").mapInArrow(tidy(contexts), "word string, at int, n long")
-    return _assigned(got.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("word"), table, pa.string())
+    got = numbered.select("ids", "at", "which", "rest").mapInArrow(tidy(contexts), "word string, seen binary")
+    return got.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(assign), "word string, class int")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
