@@ -1,6 +1,7 @@
 """Micro-fixtures with known results."""
 
 import datetime as dt
+import hashlib
 import json
 import time
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftwork.functions import scalars as C
-from weftwork.operators import graph, mesh, relations, state, telemetry, text
+from weftwork.operators import graph, mesh, relations, search, state, telemetry, text
 from weftwork.plans.meshes import FACES
 from weftwork.sources import files
 from weftwork.streaming import logs
@@ -265,3 +266,21 @@ def test_links_of_identical_sets_are_not_lost(spark):
     sets = {1: "abcde", 2: "abcde", 3: "abcdef", 4: "xyz"}
     rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, x string")
     assert sorted(map(tuple, jaccard_links(rows, "id", "x", 0.8).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 4, 0)]
+
+
+def test_term_density_by_plain_counts(spark):
+    texts = [None, "", "The the aaa", "nothing", "AAAA a"]
+    terms = ["the", "AA", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(search.term_density(F.col("t"), terms)).collect()]
+    assert got == pytest.approx([sum((t or "").lower().count(g) for g in ("the", "aa")) / (len(t or "") + 1) for t in texts])
+    assert spark.createDataFrame([("x",)], "t string").select(search.term_density(F.col("t"), [])).first()[0] == 0
+
+
+def test_hash_embedding_by_plain_loops(spark):
+    rows = [("f", 2, True, 3, ["a"] * 12, ["cache('x')", "both('\")", "back\\slash"]), ("g", 0, False, 1, [], []), (None, 1, True, 1, ["b"], ["c"])]
+    df = spark.createDataFrame(rows, "name string, args int, doc boolean, statements int, calls array<string>, decorators array<string>")
+    got = [r[0] for r in df.select(search.hash_embedding(*(F.col(c) for c in df.columns))).collect()]
+    keys = ("name", "arg_count", "has_docstring", "stmt_count", "calls", "decorators")
+    for have, r in zip(got, rows, strict=True):
+        values = [*r[:4], r[4][:10], r[5]]
+        assert have == [None if v is None else int(hashlib.sha256(f"{k}:{v}".encode()).hexdigest()[:4], 16) % 1024 for k, v in zip(keys, values, strict=True)]

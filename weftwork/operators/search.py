@@ -182,3 +182,37 @@ def containing(files: DataFrame, needle: str, path_col: str, text_col: str, most
     """(doc, line, text): lines that hold a text as it is written, the first ``most`` by path and line; files with a NUL are left out."""
     rows = files.where(~F.contains(F.col(text_col), F.lit("\x00"))).select(F.col(path_col).alias("doc"), F.posexplode(F.split(text_col, "\r?\n")).alias("k", "text"))
     return rows.where(F.contains("text", F.lit(needle))).select("doc", (F.col("k") + 1).alias("line"), "text").orderBy("doc", "line").limit(most)
+
+
+def term_density(text: Column, terms: list[str]) -> Column:
+    """Places of the terms in a text, overlaps of one term with itself not counted, over its length and one more; in any case of letters.
+
+    A null text scores 0, and so does one searched for no terms; an empty term is not searched for.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = F.lit(0.0)
+    for t in (t.lower() for t in terms if t):
+        hits = hits + (F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)
+    return hits / (F.length(F.coalesce(text, F.lit(""))) + 1)
+
+
+def _listed(names: Column) -> Column:
+    """A list of names as it is printed: in single quotes, or in double ones around a name with single quotes alone."""
+    def quoted(x: Column) -> Column:
+        x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        double = x.contains("'") & ~x.contains('"')
+        return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(names, quoted), ", "), F.lit("]"))
+
+
+def hash_embedding(name: Column, arg_count: Column, has_docstring: Column, stmt_count: Column, calls: Column, decorators: Column) -> Column:
+    """Six numbers from 0 to 1023 of a function: of its name, arguments, docstring, statements, first ten calls and decorators.
+
+    Each is the first 16 bits of the SHA-256 of the feature's name and value. A null feature gives a null in its place.
+    """
+    features = {
+        "name": name, "arg_count": arg_count.cast("string"), "has_docstring": F.when(has_docstring, "True").when(~has_docstring, "False"),
+        "stmt_count": stmt_count.cast("string"), "calls": _listed(F.slice(calls, 1, 10)), "decorators": _listed(decorators),
+    }
+    return F.array(*(F.conv(F.substring(F.sha2(F.concat(F.lit(k + ":"), v), 256), 1, 4), 16, 10).cast("int") % 1024 for k, v in features.items()))

@@ -226,3 +226,21 @@ def changed_file_scan(spark, sf_dir):
 def ragged_flatten(spark, sf_dir):
     t = F.format_string('[[%d, ["%s", [[3]]]], true, [], [[%d]]]', "p_size", "p_name", "p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", N.flattened(t).alias("leaves"))
+
+
+@query("term_density", """
+    SELECT doc_id, round(((length(low) - length(replace(low, 'the', ''))) / 3 + (length(low) - length(replace(low, 'data', ''))) / 4) / (length(coalesce(text, '')) + 1), 9) AS score
+    FROM (SELECT doc_id, text, lower(coalesce(text, '')) AS low FROM documents)""")
+def term_density(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.term_density(F.col("text"), ["the", "Data", ""]), 9).alias("score"))
+
+
+@query("hash_embedding", """
+    SELECT p_partkey, list_transform([
+        'name:' || p_name, 'arg_count:' || p_size, 'has_docstring:' || CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END, 'stmt_count:' || length(p_name),
+        'calls:[''' || array_to_string(string_split(p_name, ' ')[:10], ''', ''') || ''']', 'decorators:[''' || p_brand || ''']'],
+        lambda x: CAST('0x' || left(sha256(x), 4) AS INTEGER) % 1024)::VARCHAR AS vector FROM part""")
+def hash_embedding(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    v = S.hash_embedding(F.col("p_name"), F.col("p_size"), F.col("p_size") % 2 == 0, F.length("p_name"), F.split("p_name", " "), F.array("p_brand"))
+    return p.select("p_partkey", F.concat(F.lit("["), F.array_join(v, ", "), F.lit("]")).alias("vector"))
