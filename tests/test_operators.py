@@ -284,3 +284,27 @@ def test_hash_embedding_by_plain_loops(spark):
     for have, r in zip(got, rows, strict=True):
         values = [*r[:4], r[4][:10], r[5]]
         assert have == [None if v is None else int(hashlib.sha256(f"{k}:{v}".encode()).hexdigest()[:4], 16) % 1024 for k, v in zip(keys, values, strict=True)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, {}),
+        ("", {}),
+        ("[1]", {}),
+        ("{bad", {}),
+        ('{"a": {"b": 1, "c": {}}}', {}),
+        ('{"a": {"$value": 3}}', {".a": ("", "3")}),
+        ('{"g": {"a": {"$type": "t", "$value": "x"}, "b": {"$value": {"value": 2}}}}', {"g.a": ("t", "x"), "g.b": ("", "2")}),
+        ('{"g": {"a": {"$value": {"components": [0.33333, 1], "alpha": 0.5}}}}', {"g.a": ("", "rgba(0.333,1, 0.5)")}),
+        ('{"g.a": {"b": {"$value": "1"}}, "g": {"a.b": {"$value": "2"}}}', {"g.a.b": ("", "2")}),
+    ],
+)
+def test_tree_tokens(text, want):
+    assert search.tree_tokens(text) == want
+
+
+def test_lookup_tokens_of_empty_and_null_trees(spark):
+    df = spark.createDataFrame([(1, None), (None, '{"a": {"b": {"$value": "é"}}}')], "id long, tree string")
+    assert [tuple(r) for r in search.lookup_tokens(df, "id", "tree").collect()] == [(None, "a.b", "", "é")]
+    assert search.lookup_tokens(df.where("false"), "id", "tree").collect() == []

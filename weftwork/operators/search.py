@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -216,3 +217,48 @@ def hash_embedding(name: Column, arg_count: Column, has_docstring: Column, stmt_
         "stmt_count": stmt_count.cast("string"), "calls": _listed(F.slice(calls, 1, 10)), "decorators": _listed(decorators),
     }
     return F.array(*(F.conv(F.substring(F.sha2(F.concat(F.lit(k + ":"), v), 256), 1, 4), 16, 10).cast("int") % 1024 for k, v in features.items()))
+
+
+def _token_value(v: object) -> str:
+    if isinstance(v, dict) and "value" in v:
+        return f"{v['value']}{v.get('unit', '')}"
+    if isinstance(v, dict) and "components" in v:
+        return f"rgba({','.join(str(round(c, 3)) for c in v['components'])}, {v.get('alpha', 1.0)})"
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def tree_tokens(text: str | None) -> dict[str, tuple[str, str]]:
+    """Dotted name -> (type, value) of the design tokens of a JSON tree: objects with ``$value``, at any depth.
+
+    A size is value and unit, a colour ``rgba(...)``; other values are as they stand, those that are no strings as JSON. A token at the top
+    is named with a leading dot. Of equal names the last one counts. What is no JSON object has no tokens.
+    """
+    try:
+        tree = json.loads(text or "")
+    except ValueError:
+        return {}
+    found, todo = {}, [("", tree)] if isinstance(tree, dict) else []
+    while todo:
+        name, node = todo.pop()
+        if name and "$value" in node:
+            found[name] = (str(node.get("$type", "")), _token_value(node["$value"]))
+            continue
+        inner = [(k, v) for k, v in node.items() if isinstance(v, dict)]
+        todo += [(f"{name}.{k}" if name or "$value" in v else k, v) for k, v in reversed(inner)]
+    return found
+
+
+def lookup_tokens(trees: DataFrame, key_col: str, json_col: str) -> DataFrame:
+    """(key, name, type, value): a row for each token of each tree."""
+    at = pa.schema([(c, pa.string()) for c in ("name", "type", "value")])
+
+    def walk(batches):
+        for b in batches:
+            for i, text in enumerate(b.column(1).to_pylist()):
+                rows = [{"name": n, "type": t, "value": v} for n, (t, v) in tree_tokens(text).items()]
+                if rows:
+                    made = pa.RecordBatch.from_pylist(rows, at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows))), *made.columns], names=[key_col, *at.names])
+
+    kind = trees.schema[key_col].dataType.simpleString()
+    return trees.select(key_col, json_col).mapInArrow(walk, f"`{key_col}` {kind}, name string, type string, value string")

@@ -244,3 +244,16 @@ def hash_embedding(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     v = S.hash_embedding(F.col("p_name"), F.col("p_size"), F.col("p_size") % 2 == 0, F.length("p_name"), F.split("p_name", " "), F.array("p_brand"))
     return p.select("p_partkey", F.concat(F.lit("["), F.array_join(v, ", "), F.lit("]")).alias("vector"))
+
+
+#: A tree of tokens for each part: a size two levels down, a colour three levels down, a name at the top, and a branch without tokens.
+_TREE = '{"size": {"%s": {"$type": "dimension", "$value": {"value": %d, "unit": "px"}}}, "name": {"$type": "text", "$value": "%s"}, "a": {"b": {"c": {"$type": "color", "$value": {"components": [0.12345, 1, 0.5]}}}, "n": {"m": {}}}}'
+
+
+@query("lookup_tokens", """
+    SELECT p_partkey, 'size.' || p_brand AS name, 'dimension' AS type, p_size || 'px' AS value FROM part
+    UNION ALL SELECT p_partkey, '.name', 'text', p_name FROM part
+    UNION ALL SELECT p_partkey, 'a.b.c', 'color', 'rgba(0.123,1,0.5, 1.0)' FROM part""")
+def lookup_tokens(spark, sf_dir):
+    trees = table(spark, sf_dir, "part").select("p_partkey", F.format_string(_TREE, "p_brand", "p_size", "p_name").alias("tree"))
+    return S.lookup_tokens(trees, "p_partkey", "tree")
