@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from weftwork.llm import bradley_terry, brown_lm, decontaminate, language_id, pieces, quality_rules, simhash, suffix_dedup, toxicity, warc
+import public_tokenizers
+
+from weftwork.llm import bradley_terry, brown_lm, decontaminate, filter_audit, language_id, pieces, quality_rules, simhash, spelling, suffix_dedup, token_counts, toxicity, warc
 from weftwork.plans.registry import table
 
 #: The public SentencePiece model that the queries encode with; a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public word-level BPE whose tokens are counted; likewise.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES, ORACLES = {}, {}
 
@@ -124,3 +128,39 @@ def op5(spark, sf_dir):
 @_query("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return suffix_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_whole_token_counts")
+def op11(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@_query(
+    "op12_filter_audit",
+    r"""
+    WITH l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    t AS (SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM t),
+    f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                 || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+                 || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN copy THEN 'E' ELSE '' END AS fails FROM w),
+    c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT *, substr(filter_order, step, 1) AS filter, list_filter([1, 2, 3, 4, 5], lambda k: contains(fails, substr(filter_order, k, 1)))[1] AS gone
+          FROM c, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+    r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0) AS kept, coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+                 coalesce(sum(n) FILTER (contains(fails, filter) AND gone < step), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+                 coalesce(sum(n) FILTER (gone = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (gone = step AND toxic), 0) AS toxic_lost
+          FROM s GROUP BY ALL)
+    SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+    """,
+)
+def op12(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
