@@ -11,13 +11,17 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from weftwork.operators.relations import asof_join
 
 FINDINGS = "file string, line int, col int, rule string, severity string, snippet string"
+#: Files that are parsed before their rows are handed on.
+STEP_FILES = 64
 SYMBOLS = "file string, line int, name string, kind string, body string"
 
 _CALLS = {
@@ -133,22 +137,28 @@ def _symbols(path: str, text: str) -> Iterator[tuple]:
             yield path, node.lineno, node.attr, "use", None
 
 
-def _each_file(files: DataFrame, rows: Callable[[str, str], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def each_file(files: DataFrame, rows: Callable[[str, str], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of a helper that sees one file's path and text (a null is empty), in Arrow batches."""
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([r for p, t in zip(f["path"], f["text"], strict=True) for r in rows(p, t or "")], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, STEP_FILES):
+                part = b.slice(lo, STEP_FILES)
+                found = [r for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows(p, t or "")]
+                columns = zip(*found, strict=True) if found else ([] for _ in arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return files.select("path", "text").mapInPandas(run, schema)
+    return files.select("path", "text").mapInArrow(run, kind)
 
 
 def findings(files: DataFrame) -> DataFrame:
-    return _each_file(files, _findings, FINDINGS)
+    return each_file(files, _findings, FINDINGS)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    return _each_file(files, _symbols, SYMBOLS)
+    return each_file(files, _symbols, SYMBOLS)
 
 
 def dead_definitions(s: DataFrame) -> DataFrame:
