@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from weftwork.plans import code_quality, graphs, joins, logs, meshes, rules, scalars, search, sources, states, taint, texts  # noqa: F401
+from weftwork.plans import code_quality, graphs, joins, line_diff, logs, meshes, rule_pack, rules, scalars, search, sources, states, taint, texts  # noqa: F401

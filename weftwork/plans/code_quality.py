@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftwork.operators import code_quality as Q
-from weftwork.plans.registry import query, table
+from weftwork.plans.registry import query
+from weftwork.plans.slots import expected, slot_files, slot_keys
 
-_SUFFIXES = ["py", "go", "rs", "ts", "c"]
 #: Lines of each language; of a list, file k has the line (k div 5) mod its length.
 _LINES = {
     "py": [
@@ -45,17 +45,12 @@ _EXPECTED = [
     *(("ts", "q % 5 = 0", n, "004", "Warning", "comment") for n in range(8, 15)), ("ts", "q % 2 = 0", 1, "010", "Warning", "5 and 5"),
     ("c", "true", 1, "002", "Critical", "stub"), ("c", "q % 2 = 1", 2, "005", "Warning", "temp3"), ("c", "q % 2 = 1", 2, "005", "Warning", "data"), ("c", "q % 3 = 0", 3, "007", "Warning", "try"),
 ]
-_FOUND = " UNION ALL ".join(f"SELECT file, {line} AS line, 'DEAD-{rule}' AS rule, '{severity}' AS severity, '{subject}' AS subject FROM k WHERE lang = '{lang}' AND {when}" for lang, when, line, rule, severity, subject in _EXPECTED)
-_K = "k AS (SELECT *, 'src/q' || k || '.' || lang AS file FROM (SELECT p_partkey AS k, p_partkey // 5 AS q, (['py', 'go', 'rs', 'ts', 'c'])[1 + p_partkey % 5] AS lang FROM part))"
+_FOUND = expected([(lang, when, line, f"DEAD-{rule}", severity, ("subject", subject)) for lang, when, line, rule, severity, subject in _EXPECTED])
+_K = slot_keys(_LINES)
 
 
 def files(spark, sf_dir):
-    k = F.col("p_partkey")
-    q = F.floor(k / 5)
-    line = lambda x: F.lit(x) if isinstance(x, str) else F.element_at(F.array(*map(F.lit, x)), (q % len(x) + 1).cast("int"))
-    texts = [F.concat_ws("\n", *map(line, _LINES[s])) for s in _SUFFIXES]
-    at = (k % 5 + 1).cast("int")
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/q"), k.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _SUFFIXES)), at)).alias("path"), F.element_at(F.array(*texts), at).alias("text"))
+    return slot_files(spark, sf_dir, _LINES)
 
 
 @query("code_quality", f"WITH {_K} {_FOUND}")
