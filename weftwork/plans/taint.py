@@ -16,14 +16,14 @@ def files(spark, sf_dir):
     call = F.concat(F.lit("    return run_"), after, of("(moved, 1)", "(1, moved)", "(1, second=moved)"))
     sink = of("    open(moved)", "    eval('x' + first)", "    print(second)", "    log = 'open(first)'  # open(first)", "    opened = [first]")
     run = F.concat(F.lit("def run_"), k.cast("string"), F.lit("(first, second):\n"), of("    moved = first\n", "    moved = f'{second}!'\n"), sink, F.lit("\n"), call)
-    serve = F.concat(F.lit("\n\ndef serve(args):\n    path = args.get('file')\n"), F.when(k % 21 == 3, "    os.system(path)\n").otherwise("    path_of = 1\n"), F.lit("    return run_"), k.cast("string"), F.when(k % 14 == 3, "(path, 0)\n").otherwise("(0, second=path)\n"))
+    serve = F.concat(F.lit("\n\ndef serve(args):\n    path = args.get('file')\n"), F.when(k % 21 == 3, "    os.system(path)\n").otherwise("    path_of = 1\n"), F.lit("    return run_"), k.cast("string"), F.when(k % 14 == 3, "(0, second=path)\n").otherwise("(path, 0)\n"))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("src/t"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(run, F.when(k % 7 == 3, serve).otherwise("\n")).alias("text"))
 
 
 _REACHED = """
     WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part),
     step AS (SELECT k, k % 2 AS pos, CASE k WHEN 1 THEN 3 ELSE k // 2 END AS next, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS next_pos FROM k),
-    t AS (SELECT k, CASE WHEN k % 14 = 3 THEN 0 ELSE 1 END AS pos, 1 AS depth FROM k WHERE k % 7 = 3
+    t AS (SELECT k, CASE WHEN k % 14 = 3 THEN 1 ELSE 0 END AS pos, 1 AS depth FROM k WHERE k % 7 = 3
           UNION SELECT next, next_pos, depth + 1 FROM t JOIN step USING (k, pos) WHERE depth < 40)"""
 
 
