@@ -37,7 +37,7 @@ def tokens(library, text):
 
 def test_the_table_holds_just_the_strings_that_are_one_token(library, counter):
     assert len(counter.whole) > 30_000
-    assert all(tokens(library, w.decode()) == 1 for w in counter.whole)
+    assert all(tokens(library, w) == 1 for w in counter.whole)
     table, back = set(counter.whole), {c: b for b, c in enumerate(counter.symbols)}
     for t in counter.vocab:
         raw = bytes(back[c] for c in t.removesuffix("</w>"))
@@ -45,7 +45,7 @@ def test_the_table_holds_just_the_strings_that_are_one_token(library, counter):
             text = raw.decode()
         except UnicodeDecodeError:
             continue
-        assert not (raw.split() == [raw] and tokens(library, text) == 1 and raw not in table)
+        assert not (raw.split() == [raw] and tokens(library, text) == 1 and text not in table)
 
 
 POOLS = [
@@ -61,14 +61,23 @@ def test_counts_of_any_text_are_the_librarys(library, counter, pool):
         s = "".join(rng.choice(POOLS[pool]) for _ in range(rng.randint(0, 40)))
         if rng.random() < 0.2:
             s = s[:7] + "<|endoftext|>" + s[7:] + "<|StartOfText|><|startoftext|>"
-        assert counter.text(s.encode()) == tokens(library, s), s
+        assert counter.text(s) == tokens(library, s), s
 
 
 def test_long_chunks_are_merged_by_the_heap_alike(library, counter):
     rng = random.Random(1)
     for size in (47, 48, 49, 200, 20_000):
         s = "".join(rng.choice("theaindo") for _ in range(size))
-        assert counter.text(s.encode()) == tokens(library, s)
+        assert counter.text(s) == tokens(library, s)
+
+
+def test_a_long_text_is_counted_in_runs(library, counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "RUN_CHARS", 50)
+    monkeypatch.setattr(token_counts, "MOST_KNOWN", 20)
+    rng = random.Random(3)
+    for _ in range(50):
+        s = "".join(rng.choice(["the ", "Été\n", "x" * 60, "<|endoftext|>", "'s", " 12", "\x0b", "ñandú,", "fooBar "]) for _ in range(200))
+        assert counter.text(s) == tokens(library, s)
 
 
 def test_token_counts_of_documents(spark, library, docs, corpus, nothing):
