@@ -249,6 +249,72 @@ def test_longest_matches(docs, corpus, benchmark):
         assert any(w[p : p + k] == (v := WORD.findall(lower(x)))[j : j + k] and (p + k == len(w) or j + k == len(v) or w[p + k] != v[j + k]) for i, x in rows if i == item)
 
 
+def as_shard(texts):
+    raw = [t.encode() for t in texts]
+    return decontaminate.Shard(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 10)
+
+
+def test_repeats_on_both_sides_cost_their_sum():
+    """A word 4000 times against 80 000 times: as pairs that would be some 320 million."""
+    b, s = decontaminate.Benchmark([1, 2], ["ab " * 4000, "ab " * 3000 + "cd"], 10), as_shard(["ab " * 80_000, "ab " * 9, "cd"])
+    words, docs, sets = decontaminate.shard_hits(b, s)
+    assert len(b.rows) == 2 and words[:80_000].all() and not words[80_000:].any()
+    assert docs.tolist() == [0] and [b.sets[k] for k in sets] == [(0, 1)]
+
+
+def test_equal_items_are_looked_up_once(prose):
+    text = prose(31, 300)
+    one, many = (decontaminate.Benchmark(list(range(n)), [text] * n, 10) for n in (1, 50))
+    assert len(one.rows) == len(many.rows)
+    s = as_shard([prose(32, 50) + " " + text, prose(33, 40)])
+    for b, want in ((one, (0,)), (many, tuple(range(50)))):
+        words, docs, sets = decontaminate.shard_hits(b, s)
+        assert words.sum() == 300 and docs.tolist() == [0] and [b.sets[k] for k in sets] == [want]
+
+
+def test_words_of_equal_hashes_stay_apart(monkeypatch, prose):
+    """With hashes of two bits nearly all words have those of others; what is found is the same."""
+    texts, items = [prose(k, 200) for k in range(6)], [prose(2, 200)[100:700], prose(40, 60), "One"]
+    whole = decontaminate.shard_hits(decontaminate.Benchmark([1, 2, 3], items, 10), as_shard([*texts, "one two"]))
+    of = decontaminate.WordTable.of
+    monkeypatch.setattr(decontaminate.WordTable, "of", lambda *a: of(*a) & np.uint64(3))
+    narrow = decontaminate.shard_hits(decontaminate.Benchmark([1, 2, 3], items, 10), as_shard([*texts, "one two"]))
+    assert all((x == y).all() for x, y in zip(whole, narrow, strict=True)) and whole[0].any()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), min_size=1, max_size=4), st.lists(st.lists(st.integers(0, 2), max_size=16), min_size=1, max_size=4), st.integers(1, 5))
+def test_hits_of_few_words_match_brute_force(texts, items, window):
+    texts, items = ([" ".join("abc"[k] for k in t) for t in x] for x in (texts, items))
+    raw = [t.encode() for t in texts]
+    s = decontaminate.Shard(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), window)
+    b = decontaminate.Benchmark(list(range(len(items))), items, window)
+    words, docs, sets = decontaminate.shard_hits(b, s)
+    found = [set() for _ in texts]
+    for d, k in zip(docs, sets, strict=True):
+        found[d].update(str(b.ids[i]) for i in b.sets[k])
+    for d, (text, (_, n_hit, n_items, digest, _)) in enumerate(zip(texts, brute_hits(texts, list(enumerate(items)), window), strict=True)):
+        assert words[s.first[d] : s.first[d + 1]].sum() == n_hit and len(found[d]) == n_items, text
+        assert hashlib.sha256(",".join(sorted(found[d])).encode()).hexdigest() == digest
+
+
+def test_longest_matches_of_repeats(spark):
+    """Each match that can't be longer, once: the item's start anywhere, or the document's start against each of the item's."""
+    docs, items = ["x " + "ab " * 30], [(7, "ab " * 13 + "y")]
+    d = spark.createDataFrame([(1, docs[0])], "doc_id long, text string")
+    got = sorted((r.doc_start, r.item_start, r.n_words) for r in decontaminate.find_matches(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = []
+    w, v = docs[0].split(), items[0][1].split()
+    for p in range(len(w)):
+        for j in range(len(v)):
+            k = 0
+            while p + k < len(w) and j + k < len(v) and w[p + k] == v[j + k]:
+                k += 1
+            if k >= 10 and not (p and j and w[p - 1] == v[j - 1]):
+                want.append((p, j, k))
+    assert got == sorted(want)
+
+
 def test_decontamination_of_empty_tables(docs, nothing, benchmark):
     _, table = benchmark
     assert decontaminate.summary(nothing, table).collect() == []

@@ -6,7 +6,11 @@ and all suffixes are put in order by repeated doubling, as deep as a window or d
 every benchmark item is then looked up by binary search: the suffixes of the shard that begin with its
 first ``window`` words lie side by side, and their words are hit. ``find_matches`` follows each of them
 word by word to its full length; ``summary`` and ``decontaminate`` mark the words alone, which are the
-same. Word numbers come from 64-bit hashes; what is found is compared byte by byte.
+same. Windows that stand several times in a block of the benchmark are looked up once, and what is found stays
+an interval of the array: words are marked by a difference array over its ranks, so repeats on both sides
+cost their sum and never their product. Word numbers come from 64-bit hashes; where a shard's words are
+numbered, each is compared byte by byte with the first of its number, and the benchmark's words with that one, so equal
+numbers are equal words.
 
 Documents never leave their task, so there is no shuffle, and a document in which a passage is common
 costs no other task anything. The benchmark is stored once in the shared folder; tasks read it from there
@@ -37,6 +41,8 @@ from weftwork.llm.common import ALNUM, LOWER, arrow_rows, file_system, fresh, sc
 WINDOW = 10
 #: Text of one block of the benchmark, and the shards that a task holds against a block.
 BLOCK_BYTES, MOST_SHARDS = 4 << 20, 8
+#: Bytes of words that are compared with the first of their number at a time.
+CHECK_BYTES = 1 << 20
 
 
 class WordTable:
@@ -105,7 +111,12 @@ class Shard:
         self.data = LOWER[data]
         self.starts, self.ends, self.first = word_spans(self.data, off, ALNUM)
         h = _TABLE.of(self.data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
-        self.words, number = np.unique(h, return_inverse=True)
+        self.words, self.example, number = np.unique(h, return_index=True, return_inverse=True)
+        self.raw = self.data.tobytes()
+        #: Words whose hash is that of another one, by their text; they get numbers of their own.
+        self.odd: dict[bytes, int] = {}
+        for w in self._unlike(number).tolist():
+            number[w] = self.odd.setdefault(self.text(w), len(self.words) + len(self.odd))
         doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         #: Word numbers from 1, with a 0 after each document, and at the end as many as a comparison may read.
         self.place = np.arange(len(h)) + doc
@@ -115,12 +126,33 @@ class Shard:
         self.word = np.zeros(len(self.seq), np.int64)
         self.word[self.place] = np.arange(len(h))
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers of hashes, 0 for words that are not in the shard."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int32)
-        i = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[i] == hashes, i + 1, 0).astype(np.int32)
+    def text(self, word: int) -> bytes:
+        return self.raw[self.starts[word] : self.ends[word]]
+
+    def _unlike(self, number: np.ndarray) -> np.ndarray:
+        """Words that differ from the first word of their number."""
+        size, like = self.ends - self.starts, self.example[number]
+        out = [np.flatnonzero(size != size[like])]
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):  # about a megabyte of words at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHECK_BYTES, "right")))
+            n, other = size[lo:hi], like[lo:hi]
+            n = np.minimum(n, size[other])
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            bad = self.data[np.repeat(self.starts[lo:hi], n) + inside] != self.data[np.repeat(self.starts[other], n) + inside]
+            out.append(np.unique(np.repeat(np.arange(lo, hi), n)[bad]))
+            lo = hi
+        return np.unique(np.concatenate(out))
+
+    def numbers(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Word numbers of words with these hashes, 0 for words that are not in the shard."""
+        out = np.zeros(len(hashes), np.int32)
+        if len(self.words):
+            i = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            for k in np.flatnonzero(self.words[i] == hashes).tolist():
+                out[k] = i[k] + 1 if self.text(self.example[i[k]]) == words[k] else self.odd.get(words[k], -1) + 1
+        return out
 
     def bound(self, wanted: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
         """For rows of word numbers: the first suffix that is not less than the row's first ``length`` words, or (``after``) that is greater."""
@@ -147,45 +179,92 @@ class Benchmark:
             raw = data.tobytes()
             words.append([raw[a:b] for a, b in zip(s, e, strict=True)])
         kept = [(i, w) for i, w in zip(ids, words, strict=True) if w and i is not None]
-        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
+        self.ids, words = [i for i, _ in kept], [w for _, w in kept]
         number: dict[bytes, int] = {}
-        flat = [number.setdefault(x, len(number)) for w in self.words for x in w]
+        flat = [number.setdefault(x, len(number)) for w in words for x in w]
+        self.texts = list(number)
         ends = np.cumsum([len(x) for x in number], dtype=np.int64)
         self.hashes = _TABLE.of(np.frombuffer(b"".join(number), np.uint8), np.append(0, ends[:-1]), ends) if number else np.zeros(0, np.uint64)
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        size = np.minimum(window, sizes)
-        per = sizes - size + 1
-        self.item = np.repeat(np.arange(len(sizes)), per)
-        self.at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        self.length = size[self.item]
-        begin = (np.cumsum(sizes) - sizes)[self.item] + self.at
-        self.rows = np.append(np.array(flat, np.int64), np.zeros(window, np.int64))[begin[:, None] + np.arange(window)]
+        #: The items' words, one after the other, and where each item begins.
+        self.flat, self.sizes = np.array(flat, np.int64), np.array([len(w) for w in words], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        size = np.minimum(window, self.sizes)
+        per = self.sizes - size + 1
+        item = np.repeat(np.arange(len(per)), per)
+        at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        every = np.append(self.flat, np.full(window, -1))[(self.begin[item] + at)[:, None] + np.arange(window)]
+        every[np.arange(window) >= size[item][:, None]] = -1
+        #: Distinct windows, their lengths, and the (item, place) pairs of each, side by side.
+        self.rows, which = _distinct(every)
+        self.length = (self.rows >= 0).sum(axis=1)
+        order = np.argsort(which, kind="stable")
+        self.item, self.at = item[order], at[order]
+        self.first = np.searchsorted(which[order], np.arange(len(self.rows) + 1))
+        #: Sets of items: that of each item alone, then those of windows of several items. Windows with the same items have the same set.
+        n = max(1, len(per))
+        pair = np.unique(which * n + item)
+        first = np.searchsorted(pair // n, np.arange(len(self.rows) + 1))
+        self.sets: list[tuple] = [(i,) for i in range(len(per))]
+        self.set_of = pair[first[:-1]] % n
+        known: dict[tuple, int] = {}
+        for k in np.flatnonzero(np.diff(first) > 1).tolist():
+            items = tuple((pair[first[k] : first[k + 1]] % n).tolist())
+            self.set_of[k] = known.setdefault(items, len(self.sets))
+            if len(self.sets) == self.set_of[k]:
+                self.sets.append(items)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, which of them each row is): by a 64-bit key, that is checked, else by the rows themselves."""
+    key = (rows.astype(np.uint64) * (np.random.default_rng(11).integers(1, 2**63, rows.shape[1], dtype=np.uint64) | np.uint64(1))).sum(axis=1, dtype=np.uint64)
+    _, at, which = np.unique(key, return_index=True, return_inverse=True)
+    if (rows[at[which]] == rows).all():
+        return rows[at], which
+    out, which = np.unique(rows, axis=0, return_inverse=True)
+    return out, which.reshape(-1)
 
 
 _TABLE = WordTable()
 
 
-def shard_matches(b: Benchmark, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix of the benchmark, word of the shard) pairs: where the first words of each suffix occur."""
+def shard_intervals(b: Benchmark, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, first rank, rank after the last) of the windows that occur, and the shard's numbers of the block's words."""
+    number = shard.numbers(b.hashes, b.texts)
     none = np.zeros(0, np.int64)
-    if not len(b.item) or not len(shard.array):
-        return none, none
-    wanted = shard.numbers(b.hashes)[b.rows]
-    # a suffix is looked up if the shard has all its words
-    w = np.flatnonzero(((wanted > 0) | (np.arange(wanted.shape[1]) >= b.length[:, None])).all(axis=1))
+    if not len(b.rows) or not len(shard.array):
+        return none, none, none, number
+    inside = b.rows >= 0
+    wanted = np.where(inside, number[b.rows], 0)
+    # a window is looked up if the shard has all its words
+    w = np.flatnonzero(((wanted > 0) | ~inside).all(axis=1))
     if not len(w):
-        return none, none
-    wanted, length = wanted[w], b.length[w]
-    lo = shard.bound(wanted, length, False)
-    hi = shard.bound(wanted, length, True)
-    many = hi - lo
-    which = np.repeat(w, many)
-    at = shard.word[shard.array[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]]
-    if not len(which):
-        return none, none
-    raw, starts, ends = shard.data.tobytes(), shard.starts, shard.ends
-    good = np.fromiter((all(raw[starts[p + k] : ends[p + k]] == x for k, x in enumerate(b.words[b.item[w]][b.at[w] : b.at[w] + b.length[w]])) for w, p in zip(which, at, strict=True)), bool, len(which))
-    return which[good], at[good]
+        return none, none, none, number
+    lo, hi = (shard.bound(wanted[w], b.length[w], after) for after in (False, True))
+    some = hi > lo
+    return w[some], lo[some], hi[some], number
+
+
+def ranks(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which interval, rank) of all ranks of intervals."""
+    n = hi - lo
+    return np.repeat(np.arange(len(lo)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def shard_hits(b: Benchmark, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of the shard are hit, and (document, set of items) pairs of what is found, each once."""
+    w, lo, hi, _ = shard_intervals(b, shard)
+    hit = np.zeros(len(shard.starts) + 1, np.int64)
+    pairs = [np.zeros(0, np.int64)]
+    for size in np.unique(b.length[w]):  # intervals of windows of one length don't overlap
+        own = b.length[w] == size
+        which, rank = ranks(lo[own], hi[own])
+        at = shard.word[shard.array[rank]]
+        np.add.at(hit, at, 1)
+        np.add.at(hit, at + size, -1)
+        doc = np.searchsorted(shard.first, at, "right") - 1
+        pairs.append(np.unique(doc * len(b.sets) + b.set_of[w[own]][which]))
+    pair = np.unique(np.concatenate(pairs))
+    return np.cumsum(hit) > 0, pair // max(1, len(b.sets)), pair % max(1, len(b.sets))
 
 
 class Blocks:
@@ -261,20 +340,26 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             yield arrow_rows({id_col: batch.column(0).take(pa.array([lo + d for d in row.pop("doc")])), **row}, out)
 
     def _longest(b: Benchmark, shard: Shard) -> dict[str, list]:
-        raw, starts, ends, first = shard.data.tobytes(), shard.starts, shard.ends, shard.first
+        """Only pairs of places that can't begin a word earlier are made, which are the matches themselves."""
         row = {k: [] for k in ("doc", "item", "doc_start", "item_start", "n_words")}
-        which, at = shard_matches(b, shard)
-        doc = np.searchsorted(first, at, "right") - 1
-        seen = set(zip(b.item[which].tolist(), b.at[which].tolist(), at.tolist(), strict=True))
-        for w, p, d in zip(which.tolist(), at.tolist(), doc.tolist(), strict=True):
-            item, j = int(b.item[w]), int(b.at[w])
-            if (item, j - 1, p - 1) in seen and p > first[d]:
-                continue  # the match that begins a word earlier has it
-            words, k = b.words[item], int(b.length[w])
-            while j + k < len(words) and p + k < first[d + 1] and raw[starts[p + k] : ends[p + k]] == words[j + k]:
-                k += 1
-            for name, v in zip(row, (d, b.ids[item], p - first[d], j, k), strict=True):
-                row[name].append(v)
+        w, lo, hi, number = shard_intervals(b, shard)
+        words = np.append(number[b.flat], 0)
+        for k, low, high in zip(w.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            places = shard.array[low:high]
+            before = np.where(places > 0, shard.seq[places - 1], 0)
+            pairs = slice(b.first[k], b.first[k + 1])
+            starts = b.begin[b.item[pairs]] + b.at[pairs]
+            earlier = np.where(b.at[pairs] > 0, words[starts - 1], 0)
+            for v in np.unique(earlier):
+                for place in places[(before != v) | (before == 0)].tolist():
+                    for i, j in zip(b.item[pairs][earlier == v].tolist(), b.at[pairs][earlier == v].tolist(), strict=True):
+                        there = shard.seq[place : place + b.sizes[i] - j]
+                        rest = words[b.begin[i] + j : b.begin[i] + b.sizes[i]][: len(there)]
+                        same = (rest == there) & (rest > 0)
+                        p = int(shard.word[place])
+                        d = int(np.searchsorted(shard.first, p, "right")) - 1
+                        for name, x in zip(row, (d, b.ids[i], p - shard.first[d], j, len(rest) if same.all() else int(np.argmin(same))), strict=True):
+                            row[name].append(x)
         return row
 
     return docs.select(id_col, text_col).mapInArrow(tidy(search), out)
@@ -294,13 +379,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                 items: list[dict[int, set]] = [{} for _ in held]
                 for b in blocks:
                     for (_, _, s), h, found in zip(held, hit, items, strict=True):
-                        which, at = shard_matches(b, s)
-                        deep = np.zeros(len(h), np.int64)
-                        np.add.at(deep, at, 1)
-                        np.add.at(deep, at + b.length[which], -1)
-                        h |= np.cumsum(deep) > 0
-                        for d, w in zip((np.searchsorted(s.first, at, "right") - 1).tolist(), b.item[which].tolist(), strict=True):
-                            found.setdefault(d, set()).add(str(b.ids[w]))
+                        words, doc, some = shard_hits(b, s)
+                        h |= words
+                        for d, one in zip(doc.tolist(), some.tolist(), strict=True):
+                            found.setdefault(d, set()).update(str(b.ids[i]) for i in b.sets[one])
                 for (lo, hi, s), h, found in zip(held, hit, items, strict=True):
                     own = {c: batch.column(i).slice(lo, hi - lo) for i, c in enumerate(columns)}
                     bits = [np.packbits(x).tobytes() if (x := h[s.first[d] : s.first[d + 1]]).any() else b"" for d in range(hi - lo)]
