@@ -57,9 +57,9 @@ _HITS = f"""
     g AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS part FROM m),
     p AS (SELECT doc, CAST(min(line) AS INTEGER) AS line, string_agg(t, chr(10) ORDER BY line) AS t FROM g WHERE NOT blank GROUP BY doc, part),
     c AS (SELECT doc, line, regexp_replace(t, '[#*`>\\-]', '', 'g') AS clean, regexp_replace(regexp_replace(t, '[#*`>\\-]', '', 'g'), '{_EMPTY_CLASS}', '', 'g') AS content FROM p),
-    s AS (SELECT doc, line, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT doc, line, unnest(regexp_split_to_array(t, '[。.！!？?\\n]+')) AS x FROM p)),
-    u AS (SELECT doc, min(line) AS line, count(*) AS n, s FROM s WHERE length(s) >= 12 GROUP BY doc, s),
-    o AS (SELECT doc, line, s, row_number() OVER (PARTITION BY doc ORDER BY line, s) AS k, list_distinct(list_transform(range(1, length(regexp_replace(s, '\\s', '', 'g'))), lambda i: substr(regexp_replace(s, '\\s', '', 'g'), i, 2))) AS grams FROM u),
+    s AS (SELECT doc, line, nth, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s FROM (SELECT doc, line, unnest(a) AS x, generate_subscripts(a, 1) AS nth FROM (SELECT doc, line, regexp_split_to_array(t, '[。.！!？?\\n]+') AS a FROM p))),
+    u AS (SELECT doc, min(line) AS line, min((line, nth)) AS place, count(*) AS n, s FROM s WHERE length(s) >= 12 GROUP BY doc, s),
+    o AS (SELECT doc, line, s, row_number() OVER (PARTITION BY doc ORDER BY place) AS k, list_distinct(list_transform(range(1, length(regexp_replace(s, '\\s', '', 'g'))), lambda i: substr(regexp_replace(s, '\\s', '', 'g'), i, 2))) AS grams FROM u),
     f AS (SELECT doc, line, 'TEXT-001' AS rule, 1 AS n FROM p WHERE list_bool_or([{", ".join("starts_with(ltrim(t), '" + w.replace("'", "''") + "')" for w in R.OPENINGS)}])
           UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-002', {_sum_of_places("t", R.VAGUE)} FROM l
           UNION ALL SELECT doc, 0, 'TEXT-003', CAST(count(*) FILTER (WHERE regexp_matches(t, '^\\s*([-*+]|\\d+\\.)\\s+')) > greatest(10, 0.5 * count(*) FILTER (WHERE NOT blank)) AS INTEGER)
@@ -73,25 +73,32 @@ _HITS = f"""
           UNION ALL SELECT doc, 0, 'TEXT-007', count(*) FROM near WHERE counted GROUP BY doc
           UNION ALL SELECT doc, CAST(line AS INTEGER), 'TEXT-008', len(regexp_extract_all(t, '{_CITED}')) FROM l)
 """
-# what the detector of near sentences counts is an ordered choice; the oracle leaves line 0 of TEXT-007 to `sentence_near_duplicates`
-_HITS = _HITS.replace("          UNION ALL SELECT doc, 0, 'TEXT-007', count(*) FROM near WHERE counted GROUP BY doc\n", "")
+# what the detector of near sentences counts is an ordered choice: the pairs of a document are gone through one after the other
+_PAIRS = """
+    SELECT a.doc, a.k AS a, b.k AS b, len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) AS overlap
+    FROM o a JOIN o b ON a.doc = b.doc AND a.k < b.k AND least(len(a.grams), len(b.grams)) >= 0.7 * greatest(len(a.grams), len(b.grams))
+    WHERE len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) > 0.7"""
+_HITS = _HITS.replace("    WITH d AS", "    WITH RECURSIVE d AS").replace("    f AS (", f"""    pr AS (SELECT doc, a, b, row_number() OVER (PARTITION BY doc ORDER BY a, b) AS k FROM ({_PAIRS})),
+    walk AS (SELECT doc, 0 AS k, CAST(0 AS BIGINT) AS a, false AS done, CAST([] AS BIGINT[]) AS counted FROM pr GROUP BY doc
+             UNION ALL SELECT doc, k, a, spent OR hit, CASE WHEN hit THEN list_append(counted, b) ELSE counted END
+             FROM (SELECT *, NOT spent AND NOT list_contains(counted, b) AS hit
+                   FROM (SELECT w.doc, p.k, p.a, p.b, w.counted, CASE WHEN p.a = w.a THEN w.done ELSE list_contains(w.counted, p.a) END AS spent FROM walk w JOIN pr p ON p.doc = w.doc AND p.k = w.k + 1))),
+    near AS (SELECT doc, max(len(counted)) AS n FROM walk GROUP BY doc),
+    f AS (""").replace("SELECT doc, 0, 'TEXT-007', count(*) FROM near WHERE counted GROUP BY doc", "SELECT doc, 0, 'TEXT-007', n FROM near")
 _SEVERITY = "CASE rule WHEN 'TEXT-001' THEN 'Critical' WHEN 'TEXT-008' THEN 'Critical' ELSE 'Warning' END"
 
 
 @query("text_findings", _HITS + f"SELECT doc, line, rule, {_SEVERITY} AS severity, CAST(n AS BIGINT) AS n FROM f WHERE n > 0")
 def text_findings(spark, sf_dir):
-    return R.text_findings(_phrased(spark, sf_dir), "doc", "text").where("NOT (rule = 'TEXT-007' AND line = 0)")
+    return R.text_findings(_phrased(spark, sf_dir), "doc", "text")
 
 
 @query("text_scores", _HITS + f"SELECT doc, CAST(least(sum(n * CASE {_SEVERITY} WHEN 'Critical' THEN 15 ELSE 5 END), 100) AS BIGINT) AS score, count(*) FILTER (WHERE {_SEVERITY} = 'Critical') = 0 AS gate FROM f WHERE n > 0 GROUP BY doc")
 def text_scores(spark, sf_dir):
-    return R.text_score(R.text_findings(_phrased(spark, sf_dir), "doc", "text").where("NOT (rule = 'TEXT-007' AND line = 0)"))
+    return R.text_score(R.text_findings(_phrased(spark, sf_dir), "doc", "text"))
 
 
-@query("sentence_near_duplicates", _HITS.split("    f AS (")[0].rstrip().rstrip(",") + """
-    SELECT a.doc, count(*) AS pairs, round(sum(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams)))), 6) AS overlap
-    FROM o a JOIN o b ON a.doc = b.doc AND a.k < b.k AND least(len(a.grams), len(b.grams)) >= 0.7 * greatest(len(a.grams), len(b.grams))
-    WHERE len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) > 0.7 GROUP BY a.doc""")
+@query("sentence_near_duplicates", _HITS.split("    pr AS (")[0].rstrip().rstrip(",") + f" SELECT doc, count(*) AS pairs, round(sum(overlap), 6) AS overlap FROM ({_PAIRS}) GROUP BY doc")
 def sentence_near_duplicates(spark, sf_dir):
     pairs = R.sentence_pairs(_phrased(spark, sf_dir), "doc", "text")
     return pairs.groupBy("doc").agg(F.count("*").alias("pairs"), F.round(F.sum("overlap"), 6).alias("overlap"))
