@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.operators.relations import join_split
+from weftwork.operators.lineage import cut
+from weftwork.operators.relations import hot_share, join_split
 
 
 #: Rows of a search's front that are broadcast; more are joined by a shuffle.
 MOST_FRONT = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint in the shared folder. Only where Spark runs in one process (tests) may none be set; it is then a temporary one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="weftwork-"))
-    return df.checkpoint()
-
-
 def impact(edges: DataFrame, starts: DataFrame, depth: int = 3, most_depth: int = 6) -> DataFrame:
     """(id, depth): all that reach the starts against the edges' direction, with the least depth; the starts are left out.
 
     The edges are worked out once. Each round counts its front: a small one is broadcast to the edges, which then stay
     where they are.
     """
-    back = _cut(edges.select(F.col("dst").alias("id"), "src"))
-    seen = _cut(starts.select(F.col("id"), F.lit(0).alias("depth")).distinct())
+    back = cut(edges.select(F.col("dst").alias("id"), "src"))
+    seen = cut(starts.select(F.col("id"), F.lit(0).alias("depth")).distinct())
     front, size = seen, seen.count()
     for d in range(1, min(depth, most_depth) + 1):
         own = front.select("id")
         step = back.join(F.broadcast(own) if size <= MOST_FRONT else own, "id").select(F.col("src").alias("id")).distinct()
-        front = _cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth")))
+        front = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth")))
         size = front.count()
         seen = seen.unionByName(front)
         if not size:
@@ -48,20 +36,29 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 3, most_depth: int
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) by alternating star contraction; a component is named by its smallest id, isolated ids are absent.
 
-    Minima are aggregated before they are shuffled and joined by ``join_split``, so the edges of a hub stay where they are.
+    Minima are aggregated before they are shuffled. They are held for the round that uses them; only where a
+    vertex has a large share of the edges are they joined by ``join_split``, so that a hub's edges stay where they are.
     """
-    e = _cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     tally = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     lowest = lambda x: x.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     state = tally(e)
     for _ in range(most_rounds):
+        most = 2 * state[0]
+
+        def lowered(rows: DataFrame, low: DataFrame) -> DataFrame:
+            hub = (low.agg(F.max("n")).first()[0] or 0) > hot_share(most)  # noqa: B023
+            return join_split(rows, low, "a", "n", most) if hub else rows.join(low, "a")  # noqa: B023
+
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = lowest(both).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_split(both, low, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = lowest(large)
-        small = join_split(large, low, "a", "n", 2 * state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = _cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        low = lowest(both).select("a", F.least("a", "m").alias("m"), "n").persist()
+        large = lowered(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().persist()
+        next_low = lowest(large).persist()
+        small = lowered(large, next_low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(small.unionByName(next_low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = tally(e)
+        for held in (low, large, next_low):
+            held.unpersist()
         if now == state:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         state = now

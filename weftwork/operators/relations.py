@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftwork.operators.lineage import cut
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], prefix: str = "asof_") -> DataFrame:
     """Each left row with the columns ``take`` of the last right row of its group that is not after it.
@@ -25,6 +27,11 @@ def _struct_type(df: DataFrame, columns: list[str]) -> str:
     return "struct<" + ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in columns) + ">"
 
 
+def hot_share(total: int, most: int = 10_000) -> int:
+    """Rows from which on a key of ``total`` rows is hot."""
+    return max(1000, -(-total // most))
+
+
 def join_split(rows: DataFrame, table: DataFrame, key: str, count_col: str, total: int | None = None, most: int = 10_000) -> DataFrame:
     """Inner join of rows with a table that has one row for each key and, in ``count_col``, the number of rows that have it.
 
@@ -34,7 +41,7 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, count_col: str, tota
     """
     if total is None:
         total = table.agg(F.sum(count_col)).first()[0] or 0
-    hot = F.col(count_col) > max(1000, -(-total // most))
+    hot = F.col(count_col) > hot_share(total, most)
     heavy = F.broadcast(table.where(hot))
     light = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
     return rows.join(heavy, key).unionByName(light.join(table.where(~hot), key))
@@ -67,11 +74,23 @@ def compare_sets(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return sizes.select("both", "only_a", "only_b", (F.col("only_a") + F.col("only_b")).alias("symmetric"), F.when((F.col("only_a") == 0) & (F.col("only_b") == 0), "same").when(F.col("both") == 0, "disjoint").otherwise("overlap").alias("verdict"))
 
 
+def _classes(items: DataFrame, id_col: str, item_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored members (id, rep) and sets (rep, xs, size): identical sets are one class, told by a digest and named by its smallest id."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(item_col).alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
+    sets = rows.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    sets = cut(sets.select("id", "xs", F.sha2(F.to_json("xs"), 256).alias("sig")))
+    found = cut(sets.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    total = found.agg(F.sum("size"), F.max("size")).first()
+    members = sets.select("id", "sig")
+    hot = (total[1] or 0) > hot_share(total[0] or 0)
+    members = (join_split(members, found, "sig", "size", total[0]) if hot else members.join(found, "sig")).select("id", "rep")
+    first = sets.join(found.select(F.col("rep").alias("id"), "size"), "id").select(F.col("id").alias("rep"), "xs", "size")
+    return members, cut(first)
+
+
 def jaccard_classes(items: DataFrame, id_col: str, item_col: str) -> DataFrame:
     """(id, rep): identical sets are one class, named by its smallest id. Every id with an item is in one."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(item_col).alias("x")).where("id IS NOT NULL AND x IS NOT NULL").distinct()
-    sets = rows.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("x"))), 256).alias("sig"))
-    return sets.join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("id", "rep")
+    return _classes(items, id_col, item_col)[0]
 
 
 def jaccard_links(items: DataFrame, id_col: str, item_col: str, least: float) -> DataFrame:
@@ -79,35 +98,43 @@ def jaccard_links(items: DataFrame, id_col: str, item_col: str, least: float) ->
 
     Links between different sets are counted by class sizes, so copies are never expanded into pairs.
     """
-    classes = jaccard_classes(items, id_col, item_col)
-    sizes = classes.groupBy("rep").agg(F.count("*").alias("size"))
-    pairs = jaccard_pairs(items, id_col, item_col, least)
+    members, sets = _classes(items, id_col, item_col)
+    pairs = cut(_pairs(sets, least))
+    sizes = sets.select("rep", "size")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("near"))
+    near = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("near"))
     found = sizes.join(near, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    return classes.join(found, "rep").select("id", "rep", "links")
+    return members.join(found, "rep").select("id", "rep", "links")
 
 
 def jaccard_pairs(items: DataFrame, id_col: str, item_col: str, least: float) -> DataFrame:
     """(a, b, jaccard) of sets whose Jaccard similarity is ``least`` or more and below 1.
 
-    Prefix filtering keeps the join exact and small: each set is ordered from its rarest item on, and two
-    sets can only be similar enough if they share an item among the first ``n - ceil(least*n) + 1``.
     Identical sets are one class, whose representative stands for it here; ``jaccard_classes`` tells the
     members, and ``jaccard_links`` counts every document's links.
     """
-    rows = items.select(F.col(id_col).alias("id"), F.col(item_col).alias("x")).where("id IS NOT NULL AND x IS NOT NULL").distinct()
-    sets = rows.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    classes = sets.groupBy("xs").agg(F.min("id").alias("rep"))
-    flat = classes.select("rep", F.explode("xs").alias("x"), F.size("xs").alias("n"))
+    return _pairs(_classes(items, id_col, item_col)[1], least)
+
+
+def _pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of stored sets (rep, xs).
+
+    Prefix filtering keeps the join exact and small: each set is ordered from its rarest item on, and two
+    sets can only be similar enough if they share an item among the first ``n - ceil(least*n) + 1``; only the
+    pair's first common item makes it, so a pair is made once. Classes of sizes, each ``1 / least`` times the one before, are in the
+    join's key, so that an item of very many prefixes is dealt by the sizes of its sets: a set meets those of its own class and the next smaller one.
+    """
+    flat = sets.select("rep", F.explode("xs").alias("x"), F.size("xs").alias("n"))
     freq = flat.groupBy("x").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("rep").orderBy("f", "x")
-    ranked = flat.join(freq, "x").withColumn("k", F.row_number().over(order))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("rep", "x", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least)
-    pairs = a.join(b, F.col("a.x") == F.col("b.x")).where(fits).select(F.col("a.rep").alias("ra"), F.col("b.rep").alias("rb")).distinct()
-    full = classes.select(F.col("rep"), F.col("xs"))
-    joined = pairs.join(full.select(F.col("rep").alias("ra"), F.col("xs").alias("xa")), "ra").join(full.select(F.col("rep").alias("rb"), F.col("xs").alias("xb")), "rb")
+    ranked = flat.join(freq, "x").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    kept = F.slice("xs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int"))
+    prefix = cut(ranked.select("rep", "n", F.transform(kept, lambda s: s["x"]).alias("p")))
+    placed = prefix.select("rep", "n", "p", F.explode("p").alias("x"))
+    size = F.floor(F.log("n") / -F.log(F.lit(least)) + 1e-9).cast("int") if least < 1 else F.lit(0)
+    b = placed.select(F.col("rep").alias("rb"), size.alias("size"), F.col("p").alias("pb"), "x", F.col("n").alias("nb"))
+    a = placed.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("p").alias("pa"), "x", F.explode(F.array_distinct(F.array(size, size - 1))).alias("size"))
+    fits = ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("ra") < F.col("rb")))) & (F.col("nb") >= F.col("na") * least) & (F.array_intersect("pa", "pb")[0] == F.col("x"))
+    pairs = a.join(b, ["x", "size"]).where(fits).select("ra", "rb")
+    joined = pairs.join(sets.select(F.col("rep").alias("ra"), F.col("xs").alias("xa")), "ra").join(sets.select(F.col("rep").alias("rb"), F.col("xs").alias("xb")), "rb")
     j = F.size(F.array_intersect("xa", "xb")) / F.size(F.array_union("xa", "xb"))
-    return joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"), j.alias("jaccard")).where((F.col("jaccard") >= least) & (F.col("jaccard") < 1))
+    return joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), j.alias("jaccard")).where((F.col("jaccard") >= least) & (F.col("jaccard") < 1))

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.operators.code import each_file
-from weftwork.operators.graph import MOST_FRONT, _cut
+from weftwork.operators.graph import MOST_FRONT
+from weftwork.operators.lineage import cut
 
 # Calls whose result comes from outside, what they may be called on, and calls that are dangerous with it.
 SOURCES = ("get", "input", "getenv")
@@ -110,17 +111,17 @@ def tainted(links: DataFrame, trust_parameters: bool = True) -> DataFrame:
 
     If parameters are not trusted, every function's own count as from outside, so whatever passes one on is a start too.
     """
-    links = _cut(links)
+    links = cut(links)
     to = [F.col("to_file").alias("file"), F.col("to_fn").alias("fn"), F.col("to_pos").alias("pos")]
     start = links.where(F.col("origin") == OUTSIDE) if trust_parameters else links
-    front = seen = _cut(start.select(*to).distinct().withColumn("depth", F.lit(1)))
+    front = seen = cut(start.select(*to).distinct().withColumn("depth", F.lit(1)))
     steps = links.where(F.col("origin") != OUTSIDE).withColumnRenamed("origin", "pos")
     size, depth = front.count(), 1
     while size:
         depth += 1
         own = front.select("file", "fn", "pos")
         reached = steps.join(F.broadcast(own) if size <= MOST_FRONT else own, ["file", "fn", "pos"]).select(*(F.col(f"to_{c}").alias(c) for c in ("file", "fn", "pos"))).distinct()
-        front = _cut(reached.join(seen, ["file", "fn", "pos"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(reached.join(seen, ["file", "fn", "pos"], "left_anti").withColumn("depth", F.lit(depth)))
         size = front.count()
         seen = seen.unionByName(front)
     return seen
@@ -128,7 +129,7 @@ def tainted(links: DataFrame, trust_parameters: bool = True) -> DataFrame:
 
 def taint_findings(files: DataFrame, trust_parameters: bool = True) -> DataFrame:
     """(file, fn, line, sink, depth): dangerous calls that a value from outside reaches; depth 0 is within the function."""
-    found = _cut(facts(files))
+    found = cut(facts(files))
     sinks = found.where("kind = 'sink'").select("file", "fn", "line", F.col("name").alias("sink"), F.col("origin").alias("pos"))
     inside = sinks.where(F.col("pos") == OUTSIDE).withColumn("depth", F.lit(0))
     across = sinks.join(tainted(flows(found), trust_parameters), ["file", "fn", "pos"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftwork.operators.lineage import cut
 from weftwork.operators.relations import first_by
 
 K1, B = 1.5, 0.75
@@ -39,15 +40,27 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
+#: Terms that are looked up as a set in the plan; more are joined.
+MOST_LISTED = 10_000
+
+
 def term_hits(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings (doc, term, tf, dl) of the terms alone, and one row with the number of documents and their mean length.
 
-    Tokens that no query asks for are dropped where they are read, before anything is grouped or shuffled.
+    Texts are read and cut into tokens once: tokens that no query asks for are dropped where they are read, and a null
+    term stands for each document itself. What is left is stored; frequencies, lengths and scores come from it.
     """
+    asked = terms.select("term").where("term IS NOT NULL").distinct()
+    listed = [r.term for r in asked.limit(MOST_LISTED + 1).collect()]
+    few = len(listed) <= MOST_LISTED
     base = docs.select(F.col(id_col).alias("doc"), tokens.alias("t"))
-    asked = terms.select("term").distinct()
-    rows = base.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked, "term", "left_semi")
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), collection(base.select(F.size("t").alias("dl")))
+    kept = F.filter("t", lambda x: x.isin(listed)) if few else F.col("t")
+    none = F.array(F.lit(None).cast("string"))
+    rows = base.select("doc", F.size("t").alias("dl"), F.explode(F.concat(none, kept)).alias("term"))
+    if not few:
+        rows = rows.join(asked.withColumn("asked", F.lit(True)), "term", "left").where("term IS NULL OR asked").drop("asked")
+    every = cut(rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    return every.where("term IS NOT NULL"), collection(every.where("term IS NULL"))
 
 
 def collection(lengths: DataFrame) -> DataFrame:
