@@ -1,4 +1,4 @@
-"""Mesh files as vertex and face tables: OBJ, STL (text and binary) and text PLY; and OBJ text from tables.
+"""Mesh files as vertex and face tables: OBJ, STL (text and binary), text PLY and GLB (places and triangles of all its meshes); and OBJ text from tables.
 
 Polygons become fans of triangles. Faces with a vertex that is not there, and vertices that are not finite,
 are left out with what uses them. STL names no shared vertices; ``operators.mesh.weld`` joins them.
@@ -6,10 +6,12 @@ are left out with what uses them. STL names no shared vertices; ``operators.mesh
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +55,53 @@ def parse_ply(text: str) -> tuple[list, list]:
     return points, [t for x in body[n : n + size.get("face", 0)] for t in _fan([int(v) for v in x.split()[1:]])]
 
 
+#: Kinds of a GLB file's chunks, and of the numbers in its buffers.
+_JSON, _BIN = 0x4E4F534A, 0x004E4942
+_TYPES = {5121: "<u1", 5123: "<u2", 5125: "<u4", 5126: "<f4"}
+
+
+def _view(gltf: dict, data: bytes, accessor: int, width: int) -> np.ndarray:
+    """An accessor's rows as a typed view on the buffer; as many as the buffer has."""
+    a = gltf["accessors"][accessor]
+    v = gltf["bufferViews"][a["bufferView"]]
+    kind = np.dtype(_TYPES[a["componentType"]])
+    at, step = v.get("byteOffset", 0) + a.get("byteOffset", 0), v.get("byteStride", kind.itemsize * width)
+    if step <= 0 or at < 0 or at > len(data):
+        raise ValueError("a view without a stride, or outside its buffer")
+    room = (len(data) - at - kind.itemsize * width) // step + 1
+    return np.ndarray((max(0, min(a["count"], room)), width), kind, data, at, (step, kind.itemsize))
+
+
+def parse_glb(raw: bytes) -> tuple[list, list]:
+    """Places and triangles of a GLB file: of every mesh and primitive, each with its own vertices."""
+    if len(raw) < 12 or raw[:4] != b"glTF":
+        raise ValueError("no GLB file")
+    at, chunks = 12, {}
+    while at + 8 <= len(raw):
+        size, kind = struct.unpack_from("<II", raw, at)
+        if at + 8 + size > len(raw):
+            raise ValueError("a chunk that does not fit")
+        chunks.setdefault(kind, raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    gltf, data = json.loads(chunks.get(_JSON, b"").decode("utf-8", "replace")), chunks.get(_BIN, b"")
+    points, faces = [], []
+    for primitive in (p for m in gltf.get("meshes", ()) for p in m.get("primitives", ())):
+        place = primitive.get("attributes", {}).get("POSITION")
+        if place is None or gltf["accessors"][place].get("type") != "VEC3" or gltf["accessors"][place]["componentType"] != 5126 or primitive.get("mode", 4) != 4:
+            continue
+        own = _view(gltf, data, place, 3).astype(float)
+        ids = _view(gltf, data, primitive["indices"], 1)[:, 0] if primitive.get("indices") is not None else np.arange(len(own))
+        ids = ids[: len(ids) // 3 * 3].astype(np.int64).reshape(-1, 3)
+        faces += [tuple(t) for t in (ids[(ids < len(own)).all(axis=1)] + len(points)).tolist()]
+        points += [tuple(p) for p in own.tolist()]
+    return points, faces
+
+
 def _rows(path: str, raw: bytes) -> Iterator[tuple]:
     ext = path.rsplit(".", 1)[-1].lower()
     try:
-        points, faces = parse_stl(raw) if ext == "stl" else (parse_obj if ext == "obj" else parse_ply)(raw.decode("utf-8", "replace"))
-    except (ValueError, IndexError, struct.error):
+        points, faces = {"stl": parse_stl, "glb": parse_glb}[ext](raw) if ext in ("stl", "glb") else (parse_obj if ext == "obj" else parse_ply)(raw.decode("utf-8", "replace"))
+    except (ValueError, IndexError, KeyError, TypeError, struct.error):
         return
     good = [all(map(math.isfinite, p)) and len(p) == 3 for p in points]
     for n, p in enumerate(points):
@@ -68,8 +112,8 @@ def _rows(path: str, raw: bytes) -> Iterator[tuple]:
             yield path, "f", n, None, None, None, *t
 
 
-def read_meshes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of the mesh files below a folder."""
+def meshes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of mesh files whose content is at hand: (path, content)."""
     names = [c.split()[0] for c in ROWS.split(", ")]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,11 +121,16 @@ def read_meshes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> t
             for p, raw in zip(f["path"], f["content"], strict=True):
                 yield pd.DataFrame(list(_rows(p, bytes(raw))), columns=names).astype({k: "Int32" for k in ("n", "a", "b", "c")})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{obj,stl,ply}").load(path)
-    rows = files.where(F.col("length") <= most_bytes).select("path", "content").mapInPandas(parse, ROWS)
+    rows = files.select("path", "content").mapInPandas(parse, ROWS)
     return rows.where("kind = 'v'").select("mesh_id", F.col("n").alias("vid"), "x", "y", "z"), rows.where("kind = 'f'").select("mesh_id", F.col("n").alias("fid"), "a", "b", "c")
 
 
+def read_meshes(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of the mesh files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{obj,stl,ply,glb}").load(path)
+    return meshes(files.where(F.col("length") <= most_bytes))
+
+
 def obj_text(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(mesh_id, text): each mesh as OBJ text, vertices numbered anew in their order."""
     from pyspark.sql.window import Window
