@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.operators import collide
+from weftwork.operators import collide, lineage
 from weftwork.operators.mesh import bounds, corners
 
 _XYZ = "xyz"
@@ -57,7 +57,7 @@ def clip(vertices: DataFrame, faces: DataFrame, planes: DataFrame, keep_positive
         u, v = F.col(p), F.col(q)
         crosses = ((u["s"] > 0) & (v["s"] < 0)) | ((u["s"] < 0) & (v["s"] > 0))
         ring += [F.when(u["s"] >= 0, F.array(_point(u))).otherwise(F.array().cast(f"array<{_POINT}>")), F.when(crosses, F.array(_between(u, v, F.col("base")))).otherwise(F.array().cast(f"array<{_POINT}>"))]
-    cut = t.select("mesh_id", "fid", F.concat(*ring).alias("p")).where(F.size("p") >= 3)
+    cut = lineage.cut(t.select("mesh_id", "fid", F.concat(*ring).alias("p")).where(F.size("p") >= 3))
     fan = F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda j: F.struct((F.col("fid").cast("long") * 2 + j - 1).alias("fid"), F.col("p")[0]["vid"].alias("a"), F.get("p", j)["vid"].alias("b"), F.get("p", j + 1)["vid"].alias("c")))
     new_faces = cut.select("mesh_id", F.inline(fan))
     new_vertices = cut.select("mesh_id", F.inline("p")).groupBy("mesh_id", "vid").agg(*(F.first(c).alias(c) for c in _XYZ))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators import mesh as M
 from weftwork.operators import mesh_cut as K
+from weftwork.operators.lineage import cut
 from weftwork.plans.meshes import _boxes
 from weftwork.plans.registry import query, table
 
@@ -29,7 +30,7 @@ def mesh_clip_volumes(spark, sf_dir):
     planes = _planes(spark, sf_dir)
     sides = []
     for name, keep in (("kept", True), ("rest", False)):
-        cv, cf = K.clip(v, f, planes, keep, cap=True)
+        cv, cf = map(cut, K.clip(v, f, planes, keep, cap=True))
         size = M.mass(cv, cf).select("mesh_id", F.round("volume", 6).alias(name))
         sides.append(size.join(M.check(cv, cf).select("mesh_id", F.col("closed").alias(f"{name}_closed")), "mesh_id"))
     j = planes.select("mesh_id").join(sides[0], "mesh_id", "left").join(sides[1], "mesh_id", "left")

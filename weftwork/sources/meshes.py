@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files whose rows are handed on together.
+STEP_FILES = 32
 ROWS = "mesh_id string, kind string, n int, x double, y double, z double, a int, b int, c int"
 
 
@@ -118,8 +120,10 @@ def meshes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for p, raw in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(list(_rows(p, bytes(raw))), columns=names).astype({k: "Int32" for k in ("n", "a", "b", "c")})
+            for lo in range(0, len(f), STEP_FILES):
+                part = f.iloc[lo : lo + STEP_FILES]
+                rows = [r for p, raw in zip(part["path"], part["content"], strict=True) for r in _rows(p, bytes(raw))]
+                yield pd.DataFrame(rows, columns=names).astype({k: "Int32" for k in ("n", "a", "b", "c")})
 
     rows = files.select("path", "content").mapInPandas(parse, ROWS)
     return rows.where("kind = 'v'").select("mesh_id", F.col("n").alias("vid"), "x", "y", "z"), rows.where("kind = 'f'").select("mesh_id", F.col("n").alias("fid"), "a", "b", "c")
