@@ -44,11 +44,29 @@ CITATIONS = [
 ]
 #: Characters without content, besides white space.
 EMPTY_CHARS = "的了是在我有和人这中大为以与及或之其也而则对于上下来去到被把将该些" + "，。、；：？！\"\"''（）【】《》〈〉「」『』—…·,.:;!?\"'()[]{}<>-_/\\@#$%^&*+=|~`"
+#: English words without content.
+EMPTY_WORDS = (
+    "the a an is are was were be been being of to in on at for with by as from and or but not this that these those it its they them their we you he she his her our your which who whom what when "
+    "where why how can could will would should may might must shall do does did have has had"
+).split()
 #: Severities of the detectors, and what a finding adds to a text's score.
 SEVERITY = {"TEXT-001": "Critical", "TEXT-002": "Warning", "TEXT-003": "Warning", "TEXT-004": "Warning", "TEXT-005": "Warning", "TEXT-006": "Warning", "TEXT-007": "Warning", "TEXT-008": "Critical"}
 WEIGHTS = {"Blocker": 25, "Critical": 15, "Warning": 5}
 
 
+def text_density(text: Column) -> Column:
+    """A struct of three shares of a text: distinct characters with content among those with content (1 without any), those among all (0 of an empty text),
+    and words of letters that are no empty ones among all such words (-1 without any). A null text is empty."""
+    t = F.coalesce(text, F.lit(""))
+    content = F.regexp_replace(t, _class(EMPTY_CHARS), "")
+    words = F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0))
+    full = F.filter(words, lambda w: ~F.lower(w).isin(EMPTY_WORDS))
+    return F.struct(
+        F.when(content == "", 1.0).otherwise(F.size(F.array_distinct(F.regexp_extract_all(content, F.lit("(?s)."), F.lit(0)))) / F.length(content)).alias("diversity"),
+        F.when(t == "", 0.0).otherwise(F.length(content) / F.length(t)).alias("density"), F.when(F.size(words) == 0, -1.0).otherwise(F.size(full) / F.size(words)).alias("content_words"),
+    )
+
+
 def apply_rules(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str, ext_col: str, comment: Column | None = None, cap: int = 100) -> DataFrame:
     """(doc, line, rule, severity): lines that match the patterns of their suffix, the first ``cap`` of each rule and document.
 

@@ -205,6 +205,12 @@ def classify(text: Column) -> Column:
     return F.when(any_of(DROP_DOMAINS + DROP_KEYWORDS), "drop").when(any_of(KEEP_DOMAINS), "keep").otherwise("keep_unknown")
 
 
+def drop_reasons(text: Column) -> Column:
+    """The domains and words for which ``classify`` drops a text, in their order."""
+    t = F.lower(text)
+    return F.filter(F.array(*map(F.lit, DROP_DOMAINS + DROP_KEYWORDS)), lambda w: F.contains(t, w))
+
+
 def tags(message: Column) -> Column:
     """Tags whose keywords occur as substrings of a message."""
     t = F.lower(message)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftwork.operators import rules as R
 from weftwork.operators import text as X
 from weftwork.plans.registry import query, table
 
@@ -151,6 +152,44 @@ def email_valid(spark, sf_dir):
     return d.select("doc_id", F.rlike(F.concat(F.lower("source"), F.lit("@x-"), "lang", F.lit(".org")), pattern).alias("ok"), F.rlike("source", pattern).alias("bad"))
 
 
+_EMPTY_CLASS = r"[\s\x0B" + "".join("\\" + c if c in "[]\\^-" else c for c in dict.fromkeys(R.EMPTY_CHARS)).replace("'", "''") + "]"
+_REASONS = X.DROP_DOMAINS + X.DROP_KEYWORDS
+_MARKED = f"SELECT to_json({{'role': role, 'text': text || CASE WHEN conv_id % 3 = 0 THEN ([{', '.join(repr(w) for w in _REASONS)}])[1 + conv_id % {len(_REASONS)}] || CASE WHEN turn % 2 = 0 THEN '{_REASONS[0]}' ELSE '' END ELSE '' END}}) AS t FROM conversations"
+
+
+@query(
+    "data_filter_reasons",
+    f"""
+    WITH c AS ({_MARKED}), r AS (SELECT list_filter([{', '.join(repr(w) for w in _REASONS)}], lambda w: contains(lower(t), w)) AS why FROM c)
+    SELECT reason, count(*) AS n FROM (SELECT unnest(why) AS reason FROM r) GROUP BY reason UNION ALL SELECT 'dropped', count(*) FROM r WHERE len(why) > 0 UNION ALL SELECT 'kept', count(*) FROM r WHERE len(why) = 0""",
+)
+def data_filter_reasons(spark, sf_dir):
+    """A third of the conversations name something that is dropped, some of them two things."""
+    k = F.col("conv_id")
+    word = F.element_at(F.array(*map(F.lit, _REASONS)), (k % len(_REASONS) + 1).cast("int"))
+    more = F.when(k % 3 == 0, F.concat(word, F.when(F.col("turn") % 2 == 0, _REASONS[0]).otherwise(""))).otherwise("")
+    c = table(spark, sf_dir, "conversations").select(X.drop_reasons(F.to_json(F.struct("role", F.concat("text", more).alias("text")))).alias("why"))
+    both = F.concat("why", F.array(F.when(F.size("why") > 0, "dropped").otherwise("kept")))
+    return c.select(F.explode(both).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "text_densities",
+    f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' 的是 好。好' WHEN 1 THEN '' ELSE ' The end' END AS t FROM documents UNION ALL SELECT -doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' 的,' END FROM documents WHERE doc_id > 0),
+    c AS (SELECT doc_id, t, regexp_replace(t, '{_EMPTY_CLASS}', '', 'g') AS c, regexp_extract_all(t, '[A-Za-z]+') AS w FROM t)
+    SELECT doc_id, round(CASE WHEN c = '' THEN 1 ELSE len(list_distinct(regexp_extract_all(c, '(?s).'))) / length(c) END, 9) AS diversity, round(CASE WHEN t = '' THEN 0 ELSE length(c) / length(t) END, 9) AS density,
+           round(CASE WHEN len(w) = 0 THEN -1 ELSE len(list_filter(w, lambda x: lower(x) NOT IN ({', '.join(repr(w) for w in R.EMPTY_WORDS)}))) / len(w) END, 9) AS content_words FROM c""",
+)
+def text_densities(spark, sf_dir):
+    """Texts with words and characters that say nothing, and with them texts without a letter or without anything."""
+    d, k = _docs(spark, sf_dir).select("doc_id", "text"), F.col("doc_id")
+    more = F.when(k % 3 == 0, " 的是 好。好").when(k % 3 == 1, "").otherwise(" The end")
+    bare = d.where(k > 0).select((-k).alias("doc_id"), F.when(k % 2 == 0, "").otherwise(" 的,").alias("t"))
+    t = d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("t")).unionByName(bare)
+    return t.select("doc_id", R.text_density(F.col("t")).alias("d")).select("doc_id", *(F.round(f"d.{c}", 9).alias(c) for c in ("diversity", "density", "content_words")))
+
+
 @query("text_density", "SELECT doc_id, len(list_distinct(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), ''))) AS distinct_letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) AS letter_share FROM documents WHERE length(text) > 0 AND regexp_matches(text, '[A-Za-z]')")
 def text_density(spark, sf_dir):
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
