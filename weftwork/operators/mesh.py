@@ -37,6 +37,20 @@ def mass(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return t.select("mesh_id", "volume", "area", F.try_divide("area", F.abs("volume")).alias("ratio"), *(F.try_divide(f"m{x}", F.col("volume")).alias(f"c{x}") for x in "xyz"))
 
 
+def inertia(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, ixx, iyy, izz, ixy, ixz, iyz): second moments about the origin at density 1, the squares taken at the corners of each face's tetrahedron with the origin.
+
+    An approximation (a tetrahedron's exact moment has the products of different corners too); a mesh without volume has none.
+    """
+    p = {k: [F.col(k + x) for x in "xyz"] for k in "abc"}
+    det = sum((u * v for u, v in zip(p["a"][1:], _cross(p["b"], p["c"])[1:], strict=True)), p["a"][0] * _cross(p["b"], p["c"])[0])
+    over = lambda f: sum((f(p[k]) for k in "bc"), f(p["a"]))
+    square, product = lambda i, j: over(lambda q: q[i] * q[i] + q[j] * q[j]), lambda i, j: over(lambda q: q[i] * q[j])
+    parts = {"ixx": square(1, 2), "iyy": square(0, 2), "izz": square(0, 1), "ixy": product(0, 1), "ixz": product(0, 2), "iyz": product(1, 2)}
+    t = corners(vertices, faces).groupBy("mesh_id").agg(F.sum(det).alias("v6"), *(F.sum(det * v / 24).alias(n) for n, v in parts.items()))
+    return t.where(F.abs("v6") >= 1e-12).select("mesh_id", *((F.signum("v6") * F.col(n)).alias(n) for n in parts))
+
+
 def edges(faces: DataFrame) -> DataFrame:
     """(mesh_id, u, v, n): undirected edges and the faces at them."""
     e = faces.select("mesh_id", F.explode(F.array(*(F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))))).alias("e"))

@@ -30,6 +30,30 @@ def mesh_mass(spark, sf_dir):
     return M.mass(*_boxes(spark, sf_dir)).select("mesh_id", *(F.round(c, 6).alias(c) for c in ("volume", "area", "cx")))
 
 
+_CORNER = ", ".join(f"o + {'w' if n & 1 else '0'} AS x{n}, {'d' if n & 2 else '0'} AS y{n}, {'2.0' if n & 4 else '0'} AS z{n}" for n in range(8))
+_MOMENTS = {"ixx": "yy + zz", "iyy": "xx + zz", "izz": "xx + yy", "ixy": "xy", "ixz": "xz", "iyz": "yz"}
+
+
+def _sum(c: str, d: str, t: tuple) -> str:
+    return "(" + " + ".join(f"{c}{n} * {d}{n}" for n in t) + ")"
+
+
+_DETS = " UNION ALL ".join(
+    f"SELECT k, x{a} * (y{b} * z{c} - z{b} * y{c}) - y{a} * (x{b} * z{c} - z{b} * x{c}) + z{a} * (x{b} * y{c} - y{b} * x{c}) AS det, " + ", ".join(f"{_sum(c1, c2, (a, b, c))} AS {c1}{c2}" for c1, c2 in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM v"
+    for a, b, c in FACES
+)
+
+
+@query(
+    "mesh_inertia",
+    f"""
+    WITH v AS (SELECT k, {_CORNER} FROM (SELECT p_partkey AS k, p_partkey % 500 * 3.0::DOUBLE AS o, p_size::DOUBLE AS w, (p_partkey % 7 + 1)::DOUBLE AS d FROM part)), t AS ({_DETS})
+    SELECT k AS mesh_id, {", ".join(f"round(sign(sum(det)) * sum(det * ({m}) / 24), 4) AS {n}" for n, m in _MOMENTS.items())} FROM t GROUP BY k""",
+)
+def mesh_inertia(spark, sf_dir):
+    return M.inertia(*_boxes(spark, sf_dir)).select("mesh_id", *(F.round(c, 4).alias(c) for c in _MOMENTS))
+
+
 @query("mesh_check", "SELECT p_partkey AS mesh_id, 18::BIGINT AS n_edges, 0::BIGINT AS boundary, 0::BIGINT AS non_manifold, 0::BIGINT AS isolated, true AS closed, 2::BIGINT AS euler FROM part")
 def mesh_check(spark, sf_dir):
     return M.check(*_boxes(spark, sf_dir)).select("mesh_id", "n_edges", "boundary", "non_manifold", "isolated", "closed", "euler")
