@@ -61,7 +61,7 @@ def test_stages_match_brute_force(spark, tmp_path):
 @needs
 def test_every_operator_has_one_query_over_its_whole_table(spark):
     numbers = collections.Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == collections.Counter(range(1, 11))
+    assert numbers == collections.Counter(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) and "pipeline" in entry.queries()
     rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
     for name in ("op3_language_id", "op6_quality_ranking", "op9_toxicity_chain", "op4_sentencepiece"):
@@ -74,7 +74,7 @@ def test_oracle(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel, df = c.sql(ORACLES[name]), QUERIES[name](spark, SF)
     names = sorted(df.columns)
