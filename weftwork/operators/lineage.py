@@ -18,6 +18,11 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast. After an explode or a Python step the planner's estimate is that of the rows before it, so it would send any number of rows through the driver."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a checkpoint in the shared folder. Only where Spark runs in one process (tests) may none be set; it is then a temporary one."""
     spark = df.sparkSession

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.operators.lineage import shuffled
+
 
 def bounds(vertices: DataFrame) -> DataFrame:
     """Box, extents and bounding radius of each mesh."""
@@ -18,7 +20,7 @@ def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     out = faces
     for k in "abc":
         v = vertices.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz"))
-        out = out.join(v, ["mesh_id", k])
+        out = out.join(shuffled(v), ["mesh_id", k])
     return out
 
 
