@@ -139,7 +139,7 @@ def ray_hits(rays: DataFrame, vertices: DataFrame, faces: DataFrame, eps: float
     q = _cross(s, e1)
     u, v, t = (F.try_divide(x, det) for x in (dot(s, h), dot(d, q), dot(e2, q)))
     hit = (F.abs(det) > eps) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0)
-    met = rays.join(corners(vertices, faces), "mesh_id").where(hit).select("ray_id", "fid", t.alias("t"))
+    met = rays.join(shuffled(corners(vertices, faces)), "mesh_id").where(hit).select("ray_id", "fid", t.alias("t"))
     return met.groupBy("ray_id").agg(F.min_by("fid", F.struct("t", "fid")).alias("fid"), F.min("t").alias("t"))
 
 
