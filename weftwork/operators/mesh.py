@@ -87,7 +87,7 @@ def half_edges(faces: DataFrame) -> DataFrame:
     """(mesh_id, fid, u, v, boundary): directed edges; one without a twin in the other direction is boundary."""
     d = faces.select("mesh_id", "fid", F.explode(F.array(*(F.struct(F.col(p).alias("u"), F.col(q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))))).alias("e")).select("mesh_id", "fid", "e.u", "e.v")
     twin = d.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("_t")).distinct()
-    return d.join(twin, ["mesh_id", "u", "v"], "left").select("mesh_id", "fid", "u", "v", F.col("_t").isNull().alias("boundary"))
+    return d.join(shuffled(twin), ["mesh_id", "u", "v"], "left").select("mesh_id", "fid", "u", "v", F.col("_t").isNull().alias("boundary"))
 
 
 def box_overlaps(boxes: DataFrame, cell: float) -> DataFrame:
