@@ -177,6 +177,6 @@ def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame
 
     Weights are scaled to sum 1; a vertex with a negative or no weight in all stays where it is.
     """
-    ok = weights.groupBy("mesh_id", "vid").agg(F.sum("w").alias("total"), F.min("w").alias("least")).where("least >= 0 AND total > 0")
-    shift = weights.join(ok, ["mesh_id", "vid"]).join(bones, "bone").groupBy("mesh_id", "vid").agg(*(F.sum(F.col("w") / F.col("total") * F.col(f"t{x}")).alias(f"_{x}") for x in "xyz"))
-    return vertices.join(shift, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *(F.round(F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)), 6).alias(x) for x in "xyz"))
+    moved = weights.join(bones, "bone", "left").groupBy("mesh_id", "vid").agg(F.sum("w").alias("total"), F.min("w").alias("least"), *(F.sum(F.col("w") * F.col(f"t{x}")).alias(f"_{x}") for x in "xyz"))
+    shift = moved.where("least >= 0 AND total > 0").select("mesh_id", "vid", *((F.col(f"_{x}") / F.col("total")).alias(f"_{x}") for x in "xyz"))
+    return vertices.join(shuffled(shift), ["mesh_id", "vid"], "left").select("mesh_id", "vid", *(F.round(F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)), 6).alias(x) for x in "xyz"))
