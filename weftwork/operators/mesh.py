@@ -166,10 +166,11 @@ def voxels(vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
 
 def surface_voxels(cells: DataFrame) -> DataFrame:
     """Occupied cells with an empty one among their six neighbours."""
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, "xyz", strict=True))) for s in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))))
-    near = cells.select("mesh_id", "i", "j", "k", steps.alias("s")).select("mesh_id", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"), (F.col("k") + F.col("s.z")).alias("k"))
-    full = near.groupBy("mesh_id", "i", "j", "k").agg(F.count("*").alias("n")).where("n = 6")
-    return cells.join(full, ["mesh_id", "i", "j", "k"], "left_anti")
+    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, "xyz", strict=True))) for s in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))))
+    own = (F.col("s.x") == 0) & (F.col("s.y") == 0) & (F.col("s.z") == 0)
+    near = cells.select("mesh_id", "i", "j", "k", steps.alias("s")).select("mesh_id", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"), (F.col("k") + F.col("s.z")).alias("k"), own.alias("own"))
+    # the cells are read once: each tells its neighbours and itself
+    return near.groupBy("mesh_id", "i", "j", "k").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("n")).where("own > 0 AND n < 6").select("mesh_id", "i", "j", "k")
 
 
 def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame:
