@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators import mesh as M
 from weftwork.operators import mesh_cut as K
-from weftwork.operators.lineage import cut
+from weftwork.operators.lineage import cut, shuffled
 from weftwork.plans.meshes import _boxes
 from weftwork.plans.registry import query, table
 
@@ -32,8 +32,8 @@ def mesh_clip_volumes(spark, sf_dir):
     for name, keep in (("kept", True), ("rest", False)):
         cv, cf = map(cut, K.clip(v, f, planes, keep, cap=True))
         size = M.mass(cv, cf).select("mesh_id", F.round("volume", 6).alias(name))
-        sides.append(size.join(M.check(cv, cf).select("mesh_id", F.col("closed").alias(f"{name}_closed")), "mesh_id"))
-    j = planes.select("mesh_id").join(sides[0], "mesh_id", "left").join(sides[1], "mesh_id", "left")
+        sides.append(size.join(shuffled(M.check(cv, cf).select("mesh_id", F.col("closed").alias(f"{name}_closed"))), "mesh_id"))
+    j = planes.select("mesh_id").join(shuffled(sides[0]), "mesh_id", "left").join(shuffled(sides[1]), "mesh_id", "left")
     return j.select("mesh_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("kept", "rest")), (F.coalesce("kept_closed", F.lit(True)) & F.coalesce("rest_closed", F.lit(True))).alias("closed"))
 
 
@@ -54,7 +54,7 @@ def mesh_union(spark, sf_dir):
     k = F.col("p_partkey")
     groups = table(spark, sf_dir, "part").select(k.alias("mesh_id"), (F.floor(k / 500) * 500 + F.floor(k % 500 / 5) * 5).alias("into"))
     v, f = K.union(*_boxes(spark, sf_dir), groups)
-    return v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(f.groupBy("mesh_id").agg(F.count("*").alias("n_faces")), "mesh_id")
+    return v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(shuffled(f.groupBy("mesh_id").agg(F.count("*").alias("n_faces"))), "mesh_id")
 
 
 @query(
@@ -67,5 +67,5 @@ def mesh_union(spark, sf_dir):
 def mesh_relations(spark, sf_dir):
     k = F.col("p_partkey")
     parts = table(spark, sf_dir, "part")
-    pairs = parts.select(k.alias("a"), (k + 1).alias("b")).join(parts.select(k.alias("b")), "b", "left_semi")
+    pairs = parts.select(k.alias("a"), (k + 1).alias("b")).join(shuffled(parts.select(k.alias("b"))), "b", "left_semi")
     return K.relations(*_boxes(spark, sf_dir), pairs).select("a", "b", "relation")
