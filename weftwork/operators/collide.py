@@ -10,9 +10,12 @@ their planes are all the directions that need trying. Triangles that touch meet;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.operators.lineage import shuffled
 from weftwork.operators.mesh import corners
 
 #: Squared length of a normal below which a triangle has no area.
@@ -38,20 +41,33 @@ def _dot(p: Column, q: Column) -> Column:
 
 
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """(mesh_id, fid, p, e, d, lo_x .. hi_z): corners, edges and own directions (normal, edges' normals in the plane) as arrays, and the box; triangles without area are left out."""
+    """(mesh_id, fid, p, lo_x .. hi_z): the corners as an array, and the box; triangles without area are left out."""
     c = corners(vertices, faces)
     p = F.array(*(_vector(*(F.col(k + x).cast("double") for x in _XYZ)) for k in "abc"))
     t = c.select("mesh_id", "fid", p.alias("p"))
-    t = t.withColumn("e", F.array(*(_minus(F.col("p")[(k + 1) % 3], F.col("p")[k]) for k in range(3))))
-    t = t.withColumn("n", _cross(F.col("e")[0], F.col("e")[1])).where(_dot(F.col("n"), F.col("n")) >= FLAT)
+    t = t.withColumn("n", _cross(*(_minus(F.col("p")[(k + 1) % 3], F.col("p")[k]) for k in range(2)))).where(_dot(F.col("n"), F.col("n")) >= FLAT)
     side = lambda f, x: f(*(F.col("p")[k][x] for k in range(3)))
-    own = F.array(F.col("n"), *(_cross(F.col("n"), F.col("e")[k]) for k in range(3)))
-    return t.select("mesh_id", "fid", "p", "e", own.alias("d"), *(side(f, x).alias(f"{name}_{x}") for name, f in (("lo", F.least), ("hi", F.greatest)) for x in _XYZ))
+    return t.select("mesh_id", "fid", "p", *(side(f, x).alias(f"{name}_{x}") for name, f in (("lo", F.least), ("hi", F.greatest)) for x in _XYZ))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _directed(t: Column) -> Column:
+    """A row of ``triangles`` with its edges e and own directions d (normal, edges' normals in the plane): worked out where pairs are tried, so that they aren't shuffled."""
+    edges = F.array(*(_minus(t["p"][(k + 1) % 3], t["p"][k]) for k in range(3)))
+    own = lambda e, n: F.struct(t["p"].alias("p"), e.alias("e"), F.array(n, *(_cross(n, e[k]) for k in range(3))).alias("d"))
+    return _let(edges, lambda e: _let(_cross(e[0], e[1]), lambda n: own(e, n)))
 
 
 def meet(a: Column, b: Column) -> Column:
     """Whether two rows of ``triangles`` have a point in common."""
+    return _let(_directed(a), lambda p: _let(_directed(b), lambda q: _meet(p, q)))
+
 
+def _meet(a: Column, b: Column) -> Column:
     def apart(d: Column) -> Column:
         p, q = ([_dot(t["p"][k], d) for k in range(3)] for t in (a, b))
         return (F.greatest(*p) < F.least(*q)) | (F.greatest(*q) < F.least(*p))
@@ -80,14 +96,16 @@ def box_pairs(t: DataFrame) -> DataFrame:
         return t.select(empty.alias("a"), empty.alias("b"))
     dealt = _dealt(t, levels)
     cell = ["level", *(f"c_{x}" for x in _XYZ)]
-    side = lambda name: dealt.select(*cell, F.struct("own", *t.columns).alias(name))
-    a, b = side("a"), side("b")
+    side = lambda rows, name: rows.select(*cell, F.struct("own", *t.columns).alias(name))
+    # a lies on the pair's level, b there or on a finer one
+    a, b = side(dealt.where("own = level"), "a"), side(dealt, "b")
     edge = F.pow(F.lit(2.0), F.col("level"))
-    on = (F.col("a.mesh_id") < F.col("b.mesh_id")) & (F.greatest("a.own", "b.own") == F.col("level"))
+    on = (F.col("a.mesh_id") < F.col("b.mesh_id")) | ((F.col("a.mesh_id") > F.col("b.mesh_id")) & (F.col("b.own") < F.col("level")))
     for x in _XYZ:
         on &= (F.col(f"a.lo_{x}") <= F.col(f"b.hi_{x}")) & (F.col(f"b.lo_{x}") <= F.col(f"a.hi_{x}"))
         on &= F.floor(F.greatest(f"a.lo_{x}", f"b.lo_{x}") / edge) == F.col(f"c_{x}")
-    return a.join(b, cell).where(on).select("a", "b")
+    turned = F.col("a.mesh_id") > F.col("b.mesh_id")
+    return a.join(shuffled(b), cell).where(on).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def triangle_hits(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -112,8 +130,8 @@ def points_inside(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> D
     w = [side("b", "c"), side("c", "a"), side("a", "b")]
     over = ((w[0] > 0) & (w[1] > 0) & (w[2] > 0)) | ((w[0] < 0) & (w[1] < 0) & (w[2] < 0))
     z = F.try_divide(w[0] * F.col("az") + w[1] * F.col("bz") + w[2] * F.col("cz"), w[0] + w[1] + w[2])
-    crossed = points.join(corners(vertices, faces), "mesh_id").where(over & (z > F.col("z"))).groupBy("point_id").agg(F.count("*").alias("n"))
-    return points.select("point_id").join(crossed, "point_id", "left").select("point_id", (F.coalesce("n", F.lit(0)) % 2 == 1).alias("inside"))
+    crossed = points.join(shuffled(corners(vertices, faces)), "mesh_id").where(over & (z > F.col("z"))).groupBy("point_id").agg(F.count("*").alias("n"))
+    return points.select("point_id").join(shuffled(crossed), "point_id", "left").select("point_id", (F.coalesce("n", F.lit(0)) % 2 == 1).alias("inside"))
 
 
 def boxes_meet(boxes: DataFrame, query: tuple[tuple[float, float, float], tuple[float, float, float]]) -> DataFrame:
