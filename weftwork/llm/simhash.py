@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.llm.common import arrow_rows, fresh, join_split, schema_of, stored, text_chunks, tidy
+from weftwork.operators.relations import hot_share
 
 SHINGLE = 3
 SEED = 42
@@ -254,27 +255,31 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
 def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, most_rounds: int = 60) -> DataFrame:
     """(vertex, root) of every vertex in a link: alternating large-star and small-star rounds until nothing changes.
 
-    Minima are aggregated before they are shuffled and then joined by ``join_split``, so the links of a
-    vertex that has very many stay where they are.
+    Minima are aggregated before they are shuffled and then joined by ``join_split`` if a vertex has very
+    many links, which then stay where they are. What a step made is kept before the next one reads it, as
+    each reads it several times: a plan over whole rounds would hold every step many times over, in the driver.
     """
 
     def tally(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    def lowest(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    def with_lowest(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) with the lowest neighbour m of a, itself included, and (a, m)."""
+        low = keep(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "lowest")
+        hot = (low.agg(F.max("n")).first()[0] or 0) > hot_share(total)
+        return (join_split(e, low, "a", "n", total) if hot else e.join(low, "a")), low
 
     edges = keep(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = tally(edges)
     for _ in range(most_rounds if state[0] else 0):
         # large star: each vertex ties its larger neighbours to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = lowest(both).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_split(both, low, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        found, _ = with_lowest(both, 2 * state[0])
+        large = keep(found.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: each vertex ties its smaller neighbours and itself to the smallest of them
-        low = lowest(large)
-        small = join_split(large, low, "a", "n", 2 * state[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        found, low = with_lowest(large, 2 * state[0])
+        small = found.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = keep(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links")
         now = tally(edges)
         if now == state:
