@@ -41,7 +41,9 @@ def _bm25(spark, sf_dir, conjunctive=False):
     d = _docs(spark, sf_dir)
     t = X.plain_tokens(F.col("text"))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(t).alias("term"))
-    return X.bm25_scores(*X.term_hits(d, "doc_id", t, terms), terms, conjunctive)
+    if conjunctive:
+        return X.conjunctive_scores(d, "doc_id", t, terms)
+    return X.bm25_scores(*X.term_hits(d, "doc_id", t, terms), terms)
 
 
 def _ranked(scored):
