@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftwork.operators.lineage import cut
+from weftwork.operators.lineage import cut, shuffled
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str], prefix: str = "asof_") -> DataFrame:
@@ -47,6 +47,26 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, count_col: str, tota
     return rows.join(heavy, key).unionByName(light.join(table.where(~hot), key))
 
 
+#: Slices of a group of intervals, each met by the whole group in a task of its own, and partitions that the slices are dealt to, at least.
+SLICES, SLICE_PARTS = 8, 48
+
+
+def overlap_pairs(df: DataFrame, key: str, by: list[str], start: Column, end: Column, slices: int = SLICES) -> DataFrame:
+    """(a, b): keys a < b of rows of one group whose closed intervals meet.
+
+    Pairs are in proportion to the square of a group, and the rows are few bytes: joined as they are, they would be
+    broadcast to the few tasks that read the file, or a few groups brought into few tasks. So each row is in one slice of its
+    group as a, and in all as b, and slices are dealt to a number of partitions that is not made smaller by their size.
+    """
+    parts = max(SLICE_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [f"_g{k}" for k in range(len(by))]
+    p = df.select(F.col(key).alias("_k"), *(F.col(c).alias(g) for c, g in zip(by, names, strict=True)), start.alias("_0"), end.alias("_1"))
+    a = p.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(slices)).cast("int")).withColumnsRenamed({"_k": "a", "_0": "a0", "_1": "a1"})
+    b = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumnsRenamed({"_k": "b", "_0": "b0", "_1": "b1"})
+    a, b = (x.repartition(parts, *names, "_s") for x in (a, b))
+    return a.join(shuffled(b), [*names, "_s"]).where("a < b AND a0 <= b1 AND b0 <= a1").select("a", "b")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, mark: str, truncated: bool = False) -> DataFrame:
     """(key, status) with status added, changed or removed; without an old snapshot nothing, and no removals of a truncated one."""
     o, n = old.select(key, F.col(mark).alias("_o"), F.lit(1).alias("_in_o")), new.select(key, F.col(mark).alias("_n"), F.lit(1).alias("_in_n"))

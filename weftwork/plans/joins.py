@@ -168,11 +168,7 @@ def claim_evidence(spark, sf_dir):
     SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type
     AND a.p_retailprice <= b.p_retailprice + b.p_size AND b.p_retailprice <= a.p_retailprice + a.p_size""")
 def interval_overlap(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    meets = (F.col("a.p_retailprice") <= F.col("b.p_retailprice") + F.col("b.p_size")) & (F.col("b.p_retailprice") <= F.col("a.p_retailprice") + F.col("a.p_size"))
-    return a.join(b, on & meets).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return R.overlap_pairs(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"], F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size"))
 
 
 @query("grouping_report", """
