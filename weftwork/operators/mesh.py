@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftwork.operators.lineage import shuffled
 from weftwork.operators.relations import SLICE_PARTS, SLICES
@@ -151,34 +152,68 @@ def ray_hits(rays: DataFrame, vertices: DataFrame, faces: DataFrame, eps: float
     return met.groupBy("ray_id").agg(F.min_by("fid", F.struct("t", "fid")).alias("fid"), F.min("t").alias("t"))
 
 
-def voxels(vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
-    """(mesh_id, i, j, k): cells whose centre lies inside its closed mesh, by the parity of faces above the centre.
+#: Columns of cells on a side of the blocks that meshes are dealt to.
+BLOCK = 64
+
+
+def _columns(vertices: DataFrame, faces: DataFrame, cell: float, rim: int) -> DataFrame:
+    """(mesh_id, bi, bj, i, j, ks): the occupied cells of each column of cells, in each block of columns that the column is in or lies within ``rim`` of.
 
-    Faces are dealt to the columns of cells that their shadow covers, so no grid is crossed with a mesh.
+    Faces are dealt to the blocks that their shadow covers, and only then to columns: what is multiplied after that stays in its task.
     A shadow's edges count on one side alone (x and y are moved by a tiny, fixed step), so a shared edge counts once.
     """
-    col = lambda lo, n: F.explode(F.sequence(F.floor(lo / cell), F.greatest(F.floor(n / cell), F.floor(lo / cell)))).alias
+    parts = max(SLICE_PARTS, int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     least = lambda x: F.least(F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"c{x}"))
     most = lambda x: F.greatest(F.col(f"a{x}"), F.col(f"b{x}"), F.col(f"c{x}"))
-    t = corners(vertices, faces).select("*", col(least("x"), most("x"))("i")).select("*", col(least("y"), most("y"))("j"))
+    low, high = (lambda x: F.floor(least(x) / cell)), (lambda x: F.greatest(F.floor(most(x) / cell), F.floor(least(x) / cell)))
+    t = corners(vertices, faces).where((least("x") < most("x")) & (least("y") < most("y"))).select("mesh_id", *(k + x for k in "abc" for x in "xyz"))
+    for n, x in (("bi", "x"), ("bj", "y")):
+        t = t.withColumn(n, F.explode(F.sequence(F.floor((low(x) - rim) / BLOCK), F.floor((high(x) + rim) / BLOCK))))
+    t = t.repartition(parts, "mesh_id", "bi", "bj")
+    for n, x in (("i", "x"), ("j", "y")):
+        t = t.withColumn(n, F.explode(F.sequence(F.greatest(low(x), F.col(f"b{n}") * BLOCK - rim), F.least(high(x), F.col(f"b{n}") * BLOCK + (BLOCK - 1 + rim)))))
     px, py = (F.col("i") + 0.5 + 1.1e-7) * cell, (F.col("j") + 0.5 + 0.7e-7) * cell
     side = lambda p, q: (F.col(f"{q}x") - F.col(f"{p}x")) * (py - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (px - F.col(f"{p}x"))
     w = [side("b", "c"), side("c", "a"), side("a", "b")]
     inside = ((w[0] > 0) & (w[1] > 0) & (w[2] > 0)) | ((w[0] < 0) & (w[1] < 0) & (w[2] < 0))
     z = F.try_divide(w[0] * F.col("az") + w[1] * F.col("bz") + w[2] * F.col("cz"), w[0] + w[1] + w[2])
-    crossed = t.where(inside).groupBy("mesh_id", "i", "j").agg(F.array_sort(F.collect_list(z)).alias("zs"))
-    k = F.explode(F.sequence(F.floor(F.col("zs")[0] / cell), F.floor(F.element_at("zs", -1) / cell))).alias("k")
-    above = F.size(F.filter("zs", lambda v: v > (F.col("k") + 0.5) * cell))
-    return crossed.select("mesh_id", "i", "j", "zs", k).where(above % 2 == 1).select("mesh_id", "i", "j", "k")
-
-
-def surface_voxels(cells: DataFrame) -> DataFrame:
-    """Occupied cells with an empty one among their six neighbours."""
-    steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(s, "xyz", strict=True))) for s in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))))
-    own = (F.col("s.x") == 0) & (F.col("s.y") == 0) & (F.col("s.z") == 0)
-    near = cells.select("mesh_id", "i", "j", "k", steps.alias("s")).select("mesh_id", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"), (F.col("k") + F.col("s.z")).alias("k"), own.alias("own"))
-    # the cells are read once: each tells its neighbours and itself
-    return near.groupBy("mesh_id", "i", "j", "k").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("n")).where("own > 0 AND n < 6").select("mesh_id", "i", "j", "k")
+    column = ["mesh_id", "bi", "bj", "i", "j"]
+    crossed = t.where(inside).select(*column, z.alias("z")).where("z IS NOT NULL")
+    # windows in the order that the neighbours' want, where an aggregate would be made and sorted twice
+    one = Window.partitionBy(*column).orderBy("z")
+    zs = F.collect_list("z").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    crossed = crossed.select(*column, zs.alias("zs"), F.row_number().over(one).alias("nth")).where("nth = 1")
+    above = lambda k: F.size(F.filter("zs", lambda v: v > (k + 0.5) * cell))
+    ks = F.filter(F.sequence(F.floor(F.col("zs")[0] / cell), F.floor(F.element_at("zs", -1) / cell)), lambda k: above(k) % 2 == 1)
+    return crossed.select(*column, ks.alias("ks"))
+
+
+def voxels(vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
+    """(mesh_id, i, j, k): cells whose centre lies inside its closed mesh, by the parity of faces above the centre."""
+    return _columns(vertices, faces, cell, 0).select("mesh_id", "i", "j", F.explode("ks").alias("k"))
+
+
+def surface_voxels(vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
+    """(mesh_id, i, j, k): those of ``voxels`` with an empty one among their six neighbours.
+
+    A column finds the four beside it in its block, whose rim is there too, so no cell is sent anywhere.
+    """
+    t = _columns(vertices, faces, cell, 1)
+    beside = []
+    for n, other in (("j", "i"), ("i", "j")):
+        line = Window.partitionBy("mesh_id", "bi", "bj", other).orderBy(n)
+        for name, f, step in ((f"{n}_before", F.lag, -1), (f"{n}_after", F.lead, 1)):
+            t = t.withColumn(name, F.when(f(n).over(line) == F.col(n) + step, f("ks").over(line)))
+            beside.append(F.col(name))
+    own = F.col("ks")
+    inner = own
+    for other in (*beside, F.transform(own, lambda k: k + 1), F.transform(own, lambda k: k - 1)):
+        inner = F.array_intersect(inner, other)
+    closed = F.lit(True)
+    for c in beside:
+        closed &= c.isNotNull()
+    t = t.where((F.floor(F.col("i") / BLOCK) == F.col("bi")) & (F.floor(F.col("j") / BLOCK) == F.col("bj")))
+    return t.select("mesh_id", "i", "j", F.explode(F.when(closed, F.array_except(own, inner)).otherwise(own)).alias("k"))
 
 
 def skin(vertices: DataFrame, weights: DataFrame, bones: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def mesh_voxels(spark, sf_dir):
 
 @query("mesh_surface_voxels", "SELECT p_partkey AS mesh_id, CAST(p_size * (p_partkey % 7 + 1) * 3 - greatest(p_size - 2, 0) * greatest(p_partkey % 7 - 1, 0) AS BIGINT) AS n FROM part")
 def mesh_surface_voxels(spark, sf_dir):
-    return M.surface_voxels(M.voxels(*_boxes(spark, sf_dir, 3.0), 1.0)).groupBy("mesh_id").agg(F.count("*").alias("n"))
+    return M.surface_voxels(*_boxes(spark, sf_dir, 3.0), 1.0).groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
 @query("mesh_skin", "SELECT p_partkey AS mesh_id, round(p_partkey % 500 * 3.0::DOUBLE + p_size + 2.5, 6) AS max_x FROM part")
